@@ -29,6 +29,12 @@ TITLE_TAG_RE = r"<title>([^<]*)</title>"
 ARTICLE_RE = r"(?s)<article>(.*)</article>"
 
 
+def xml_escape(c: F.Column) -> F.Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def html_fetches(pages: DataFrame) -> DataFrame:
     return pages.select(
         U.site_of("url").alias("site"),
@@ -51,8 +57,7 @@ def markdown_fetches(pages: DataFrame) -> DataFrame:
     u = U.lookup_key("url")
     md = base.select(
         U.site_of("url").alias("site"),
-        F.when(F.col("lang") == "en", F.concat(u, F.lit(".md")))
-        .otherwise(F.concat(u, F.lit(".md"))).alias("url"),
+        F.concat(u, F.lit(".md")).alias("url"),
         F.when(F.col("lang") == "en", markdown_body(F.col("html"))).otherwise(F.col("html")).alias("body"),
     )
     readme = base.where(F.col("lang") == "de").select(
@@ -82,7 +87,7 @@ def sitemap_fetches(pages: DataFrame, urls_per_sitemap: int = URLS_PER_SITEMAP)
     )
     urlsets = (
         entries.groupBy("site", "chunk")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))), "")
+        .agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url><loc>"), xml_escape(F.col("url")), F.lit("</loc></url>")))), "")
              .alias("locs"))
         .join(chunks.select("site", "root"), "site")
         .select(
