@@ -81,8 +81,19 @@ def hierarchy_lookup(pages: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 # -- heading re-levelling --------------------------------------------------------
 
-def relevel(content: Column, target_level: Column, title: Column, tested_rule: bool = False) -> Column:
-    """Shift every heading so the page's top heading sits one below its title.
+def _heads(content: Column) -> Column:
+    """Per line: (line, heading level or 0, stripped heading text)."""
+    return F.transform(F.split(content, "\n", -1), lambda l: F.struct(
+        l.alias("line"),
+        F.length(F.regexp_extract(l, HEAD_RE, 1)).alias("lvl"),
+        TX.py_strip(F.regexp_extract(l, HEAD_RE, 2)).alias("txt"),
+    ))
+
+
+def relevel(df: DataFrame, content: str, target: str, title: str, out: str,
+            tested_rule: bool = False) -> DataFrame:
+    """Add ``out``: ``content`` with every heading shifted so the page's top
+    heading sits one below its title.
 
     shift = (target + 1) - min level; each heading -> ``max(1, level + shift)``
     ``#`` + stripped text; the first heading is dropped when it matches the page
@@ -90,35 +101,35 @@ def relevel(content: Column, target_level: Column, title: Column, tested_rule: b
     is returned unchanged. ``tested_rule`` selects the variant in which a
     title-duplicate ``h1`` maps to the page level and no whitespace clean-up
     follows.
+
+    Three stacked projections, so each line array is built once per page (an
+    array referenced inside a lambda would be rebuilt for every line).
     """
-    lines = F.split(content, "\n", -1)
-    heads = F.transform(lines, lambda l: F.struct(
-        F.length(F.regexp_extract(l, HEAD_RE, 1)).alias("lvl"),
-        TX.py_strip(F.regexp_extract(l, HEAD_RE, 2)).alias("txt"),
-    ))
-    levels = F.filter(F.transform(heads, lambda h: h["lvl"]), lambda x: x > 0)
-    min_level = F.array_min(levels)
-    first = F.try_element_at(F.filter(heads, lambda h: h["lvl"] > 0), F.lit(1))
-    first_idx = F.array_position(F.transform(heads, lambda h: h["lvl"] > 0), True)
+    cols = df.columns
+    d = df.select(*cols, _heads(F.col(content)).alias("_heads"))
+    hs = F.filter(F.col("_heads"), lambda h: h["lvl"] > 0)
+    first = F.try_element_at(hs, F.lit(1))
+    min_level = F.array_min(F.transform(hs, lambda h: h["lvl"]))
     ct = TX.fold_for_match(first["txt"])
-    cl = TX.fold_for_match(title)
-    similar = (ct == cl) | F.instr(ct, cl).__gt__(0) | F.instr(cl, ct).__gt__(0)
+    cl = TX.fold_for_match(F.col(title))
+    similar = (ct == cl) | (F.instr(ct, cl) > 0) | (F.instr(cl, ct) > 0)
+    tgt = F.col(target)
     if tested_rule:
         dupe = first.isNotNull() & similar
-        base = F.when((min_level == 1) & dupe, target_level).otherwise(target_level + 1)
+        base = F.when((min_level == 1) & dupe, tgt).otherwise(tgt + 1)
     else:
-        dupe = first.isNotNull() & (F.coalesce(title, F.lit("")) != "") & similar
-        base = target_level + 1
-    shift = base - min_level
-    out = F.transform(lines, lambda l, i: F.when(
-        heads.getItem(i)["lvl"] > 0,
-        F.when(dupe & (i + 1 == first_idx), F.lit(None).cast("string")).otherwise(
-            F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), heads.getItem(i)["lvl"] + shift)),
-                     F.lit(" "), heads.getItem(i)["txt"])),
-    ).otherwise(l))
-    joined = F.array_join(F.array_compact(out), "\n")
+        dupe = first.isNotNull() & (F.coalesce(F.col(title), F.lit("")) != "") & similar
+        base = tgt + 1
+    d = d.select(*cols, "_heads", min_level.alias("_min"), dupe.alias("_dupe"), (base - min_level).alias("_shift"),
+                 F.array_position(F.transform("_heads", lambda h: h["lvl"] > 0), True).alias("_first"))
+    lines = F.transform(F.col("_heads"), lambda h, i: F.when(
+        h["lvl"] > 0,
+        F.when(F.col("_dupe") & (i + 1 == F.col("_first")), F.lit(None).cast("string")).otherwise(
+            F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), h["lvl"] + F.col("_shift"))), F.lit(" "), h["txt"])),
+    ).otherwise(h["line"]))
+    joined = F.array_join(F.array_compact(lines), "\n")
     processed = joined if tested_rule else TX.py_strip(TX.squeeze_newlines(joined))
-    return F.when(min_level.isNull(), content).otherwise(processed)
+    return d.select(*cols, F.when(F.col("_min").isNull(), F.col(content)).otherwise(processed).alias(out))
 
 
 def min_heading(content: Column) -> Column:
@@ -181,7 +192,9 @@ def page_blocks(kept: DataFrame, breaks: DataFrame, tested_rule: bool = False) -
     title = F.when(F.col("title").contains("|"), title).otherwise(F.col("title"))
     target = F.coalesce(F.col("h_level") + 1, F.lit(2))
     b = kept.join(breaks.select("site", "k1", "k2", "section"), ["site", "k1", "k2"], "left")
-    body = relevel(F.col("content"), target, title, tested_rule)
+    b = b.select("site", "k1", "k2", "section", "content", target.alias("_tgt"), title.alias("_title"))
+    b = relevel(b, "content", "_tgt", "_title", "_body", tested_rule)
+    target, title, body = F.col("_tgt"), F.col("_title"), F.col("_body")
     page = F.concat(F.repeat(F.lit("#"), F.greatest(target, F.lit(0))), F.lit(" "), title, F.lit("\n\n"), body)
     unit = F.concat(
         F.when(F.col("section").isNotNull(), F.concat(F.lit("\n## "), F.col("section"), F.lit("\n\n"))).otherwise(F.lit("")),

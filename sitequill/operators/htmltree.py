@@ -166,6 +166,8 @@ def matches(node: Node, step: tuple) -> bool:
 def select(root: Node, selector: list) -> list[Node]:
     """Elements under ``root`` matching a descendant-combinator selector."""
     *ancestors, last = selector
+    if not ancestors:
+        return [n for n in root.descendants() if matches(n, last)]
     out = []
     for n in root.descendants():
         if not matches(n, last):
@@ -183,13 +185,69 @@ def select(root: Node, selector: list) -> list[Node]:
 
 def select_any(root: Node, selectors: list) -> list[Node]:
     """Union of several selectors, in document order (a CSS selector group)."""
+    if all(len(s) == 1 for s in selectors):
+        hit = compile_steps([s[0] for s in selectors])
+        return [n for n in root.descendants() if hit(n)]
     hits = set()
     for s in selectors:
         hits.update(id(n) for n in select(root, s))
     return [n for n in root.descendants() if id(n) in hits]
 
 
+def compile_steps(steps: list):
+    """Predicate ``node -> bool`` true when any step matches; single-condition
+    tag/class/attr steps become set lookups."""
+    tags, classes, attrs, other = set(), set(), set(), []
+    for st in steps:
+        if len(st) == 1 and st[0][0] == "tag":
+            tags.add(st[0][1])
+        elif len(st) == 1 and st[0][0] == "class":
+            classes.add(st[0][1])
+        elif len(st) == 1 and st[0][0] == "attr":
+            attrs.add((st[0][1], st[0][2]))
+        else:
+            other.append(st)
+    attr_names = {a for a, _ in attrs}
+
+    def pred(n: Node) -> bool:
+        if n.tag in tags:
+            return True
+        if classes:
+            c = n.attrs.get("class")
+            if c and not classes.isdisjoint(c.split()):
+                return True
+        if attr_names:
+            for a in attr_names:
+                v = n.attrs.get(a)
+                if v is not None and (a, v) in attrs:
+                    return True
+        return any(matches(n, st) for st in other) if other else False
+
+    return pred
+
+
+def remove_matching(root: Node, steps: list) -> None:
+    """Decompose every element matching any of ``steps`` (one traversal;
+    the subtree of a removed element is not visited)."""
+    doomed = []
+    hit = compile_steps(steps)
+    stack = list(reversed(root.elements()))
+    while stack:
+        n = stack.pop()
+        if hit(n):
+            doomed.append(n)
+            continue
+        stack.extend(reversed(n.elements()))
+    for n in doomed:
+        n.decompose()
+
+
 def select_one(root: Node, selector: list) -> Node | None:
+    if len(selector) == 1:
+        for n in root.descendants():
+            if matches(n, selector[0]):
+                return n
+        return None
     r = select(root, selector)
     return r[0] if r else None
 

@@ -174,8 +174,8 @@ def _relevel_query(tested: bool):
         pages, hier, _ = _inputs(spark, sf)
         p = C.hierarchy_lookup(pages, hier)
         t = F.when(F.col("title").contains("|"), TX.clean_title("title")).otherwise(F.col("title"))
-        return p.select("site", "url", C.relevel(F.col("content"), F.coalesce(F.col("h_level") + 1, F.lit(2)), t,
-                                                 tested).alias("body"))
+        p = p.select("site", "url", "content", F.coalesce(F.col("h_level") + 1, F.lit(2)).alias("tgt"), t.alias("ptitle"))
+        return C.relevel(p, "content", "tgt", "ptitle", "body", tested).select("site", "url", "body")
     return run
 
 
