@@ -82,8 +82,9 @@ def hierarchy_lookup(pages: DataFrame, hierarchy: DataFrame) -> DataFrame:
 # -- heading re-levelling --------------------------------------------------------
 
 def _heads(content: Column) -> Column:
-    """Per line: (line, heading level or 0, stripped heading text)."""
-    return F.transform(F.split(content, "\n", -1), lambda l: F.struct(
+    """Per line: (idx, line, heading level or 0, stripped heading text)."""
+    return F.transform(F.split(content, "\n", -1), lambda l, i: F.struct(
+        i.alias("idx"),
         l.alias("line"),
         F.length(F.regexp_extract(l, HEAD_RE, 1)).alias("lvl"),
         TX.py_strip(F.regexp_extract(l, HEAD_RE, 2)).alias("txt"),
@@ -102,8 +103,10 @@ def relevel(df: DataFrame, content: str, target: str, title: str, out: str,
     title-duplicate ``h1`` maps to the page level and no whitespace clean-up
     follows.
 
-    Three stacked projections, so each line array is built once per page (an
-    array referenced inside a lambda would be rebuilt for every line).
+    Linear per page: the line array is built once in its own projection, and
+    the per-page values (drop flag, shift, first heading index) reach the line
+    lambda through ``zip_with`` with ``array_repeat`` -- an expression written
+    inside the lambda would be evaluated again for every line.
     """
     cols = df.columns
     d = df.select(*cols, _heads(F.col(content)).alias("_heads"))
@@ -120,16 +123,16 @@ def relevel(df: DataFrame, content: str, target: str, title: str, out: str,
     else:
         dupe = first.isNotNull() & (F.coalesce(F.col(title), F.lit("")) != "") & similar
         base = tgt + 1
-    d = d.select(*cols, "_heads", min_level.alias("_min"), dupe.alias("_dupe"), (base - min_level).alias("_shift"),
-                 F.array_position(F.transform("_heads", lambda h: h["lvl"] > 0), True).alias("_first"))
-    lines = F.transform(F.col("_heads"), lambda h, i: F.when(
+    meta = F.struct(F.coalesce(dupe, F.lit(False)).alias("dupe"), (base - min_level).alias("shift"),
+                    F.coalesce(first["idx"], F.lit(-1)).alias("first"))
+    lines = F.zip_with(F.col("_heads"), F.array_repeat(meta, F.size("_heads")), lambda h, m: F.when(
         h["lvl"] > 0,
-        F.when(F.col("_dupe") & (i + 1 == F.col("_first")), F.lit(None).cast("string")).otherwise(
-            F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), h["lvl"] + F.col("_shift"))), F.lit(" "), h["txt"])),
+        F.when(m["dupe"] & (h["idx"] == m["first"]), F.lit(None).cast("string")).otherwise(
+            F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), h["lvl"] + m["shift"])), F.lit(" "), h["txt"])),
     ).otherwise(h["line"]))
     joined = F.array_join(F.array_compact(lines), "\n")
     processed = joined if tested_rule else TX.py_strip(TX.squeeze_newlines(joined))
-    return d.select(*cols, F.when(F.col("_min").isNull(), F.col(content)).otherwise(processed).alias(out))
+    return d.select(*cols, F.when(min_level.isNull(), F.col(content)).otherwise(processed).alias(out))
 
 
 def min_heading(content: Column) -> Column:
