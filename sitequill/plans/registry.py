@@ -32,4 +32,4 @@ def query(name: str, oracle: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from . import q_assets, q_consolidate, q_fusion, q_html, q_library, q_pipeline, q_progress, q_urls  # noqa: F401
+    from . import q_assets, q_consolidate, q_fusion, q_html, q_library, q_pipeline, q_progress, q_tree, q_urls  # noqa: F401
