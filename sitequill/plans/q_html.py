@@ -214,3 +214,27 @@ def html_tables(spark, sf):
 @query("detect_repo")
 def detect_repo(spark, sf):
     return L.detect_repo(_pages(spark, sf))
+
+
+@query("embedded_json")
+def embedded_json(spark, sf):
+    """Keys of embedded Next.js data or ids of JSON scripts per page."""
+    return X.embedded_json(_pages(spark, sf))
+
+
+@query("scan_diagnostics", oracle=f"""
+WITH {_ANCHORS}, edges AS (
+  SELECT DISTINCT page_id, {D.clean_link_url('abs_url')} AS to_url FROM resolved
+  WHERE {D.url_netloc('abs_url')} = {D.url_netloc('url')} AND NOT ({_BLOCK})
+)
+SELECT p.page_id, (SELECT count(*) FROM anchors a WHERE a.page_id = p.page_id) AS total_anchors,
+       (SELECT count(*) FROM edges e WHERE e.page_id = p.page_id) AS filtered_links, 'heuristic' AS method
+FROM pages p""")
+def scan_diagnostics(spark, sf):
+    """Per page: anchors seen, distinct same-host links kept, scan method."""
+    pages = _pages(spark, sf)
+    total = X.anchors(pages).groupBy("page_id").agg(F.count("*").alias("total_anchors"))
+    kept = L.link_edges(pages).groupBy("page_id").agg(F.count("*").alias("filtered_links"))
+    return (pages.select("page_id").join(total, "page_id", "left").join(kept, "page_id", "left")
+            .na.fill(0, ["total_anchors", "filtered_links"])
+            .select("page_id", "total_anchors", "filtered_links", F.lit("heuristic").alias("method")))

@@ -95,3 +95,17 @@ WITH {LINES_SQL}
 SELECT task_id, seq, current, total FROM ev WHERE type = 'progress' AND (current % 5 = 0 OR current = total)""")
 def progress_sampling(spark, sf):
     return PG.progress_sampling(_parsed(spark, sf))
+
+
+@query("task_status", oracle=f"""
+WITH last AS (
+  SELECT user_id AS task_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id
+)
+SELECT task_id, CASE WHEN last_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN last_type = 'error' THEN 'Process exited with code 1' END AS error
+FROM last""")
+def task_status(spark, sf):
+    """Run status per task from its output and exit line."""
+    events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    lines = PG.event_lines(events).unionByName(PG.exit_lines(events))
+    return PG.task_status(lines)

@@ -51,6 +51,29 @@ def event_lines(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), line.alias("line"))
 
 
+def exit_lines(events: DataFrame) -> DataFrame:
+    """One ``EXIT <code>`` line per task after its last event: code 1 when the
+    last event was an error, else 0 (the process exit the runner observes)."""
+    last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"),
+                                         F.max("event_id").alias("last_seq"))
+    return last.select(F.col("user_id").alias("task_id"), (F.col("last_seq") + 1).alias("seq"),
+                       F.concat(F.lit("EXIT "), F.when(F.col("last_type") == "error", F.lit("1"))
+                                .otherwise(F.lit("0"))).alias("line"))
+
+
+def task_status(lines: DataFrame) -> DataFrame:
+    """pending (no output) / running (output, no exit) / completed / failed."""
+    t = lines.select("task_id", "seq", TX.py_strip("line").alias("line"))
+    ex = t.where(F.col("line").rlike(r"^EXIT -?[0-9]+$")).groupBy("task_id").agg(
+        F.max_by(F.substring("line", 6, 20).cast("int"), "seq").alias("code"))
+    seen = t.where(F.col("line") != "").select("task_id").distinct()
+    j = seen.join(ex, "task_id", "left")
+    status = (F.when(F.col("code").isNull(), F.lit("running"))
+              .when(F.col("code") == 0, F.lit("completed")).otherwise(F.lit("failed")))
+    err = F.when(F.col("code") != 0, F.concat(F.lit("Process exited with code "), F.col("code").cast("string")))
+    return j.select("task_id", status.alias("status"), err.alias("error"))
+
+
 def parse_event_lines(lines: DataFrame) -> DataFrame:
     """(task_id, seq, kind, type, current, total, status, stage, text).
 
