@@ -13,7 +13,7 @@ from ..operators import sitemaps as SM
 from ..sources import fetches as FE
 from ..sources.tables import read_table
 from . import duck as D
-from .q_html import _ANCHORS, _BLOCK, _NAV, decode
+from .q_html import _ANCHORS, _BLOCK, _NAV, _md_oracle, decode
 from .registry import query
 
 NL = "chr(10)"
@@ -253,8 +253,8 @@ def _body_title(body: str) -> str:
             f"WHEN length({_H1.replace('body', body)}) BETWEEN 1 AND 199 THEN {D.strip_title_suffix(_H1.replace('body', body))} END)")
 
 
-@query("body_fallback", oracle=f"""
-WITH {MD_FETCH_SQL},
+_BODY_CTES = f"""
+{MD_FETCH_SQL},
 urls AS (SELECT DISTINCT {D.site_of('url')} AS site, url FROM pages),
 md AS (
   SELECT u.site, u.url, f.url AS page_url, min(f.body) AS body FROM urls u
@@ -266,7 +266,11 @@ md AS (
   SELECT site, url, page_url, body AS content, 'sitemap-md' AS source, body AS tsrc FROM md
   UNION ALL
   SELECT site, url, url, {_HTML_TEXT}, 'sitemap-html', body FROM html WHERE {_HTML_TEXT} <> ''
-)
+)"""
+
+
+@query("body_fallback", oracle=f"""
+WITH {_BODY_CTES}
 SELECT site, page_url AS url,
   coalesce(nullif({_body_title('tsrc')}, ''), {D.title_from_url('url', keep_underscore=True)}) AS title,
   md5(content) AS content_md5, source
@@ -280,7 +284,15 @@ def body_fallback(spark, sf):
     return out.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
 
 
-@query("strategy_fallback")
+@query("strategy_fallback", oracle=f"""
+WITH {_BODY_CTES},
+md_pages AS ({_md_oracle()}),
+sm AS (SELECT site, count(*) AS n FROM both_ GROUP BY site),
+sc AS (SELECT {D.site_of('p.url')} AS site, count(*) AS n FROM md_pages m JOIN pages p ON p.page_id = m.page_id
+       WHERE m.content <> '' GROUP BY 1)
+SELECT coalesce(sm.site, sc.site) AS site, CASE WHEN sm.n > 0 THEN 'sitemap' ELSE 'scraping' END AS strategy,
+       CASE WHEN sm.n > 0 THEN sm.n ELSE sc.n END AS n_pages
+FROM sm FULL JOIN sc ON sm.site = sc.site""")
 def strategy_fallback(spark, sf):
     """Pages of the first strategy (github, sitemap, scraping) that yields any
     page, per site; counted per (site, strategy)."""
