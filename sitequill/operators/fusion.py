@@ -92,7 +92,8 @@ def probe_resolve(urls: DataFrame, fetches: DataFrame) -> DataFrame:
     with a body not starting ``<!doctype html``. An accepted empty body ends
     the search without a hit. (site, url, cand_rank, content)."""
     cands = urls.select("site", "url", F.inline(U.md_candidates("url")))
-    ok = fetches.where((F.col("status") == 200) & P.looks_like_markdown("body")).select(
+    # Every candidate URL ends in ".md": other responses can never match.
+    ok = fetches.where((F.col("status") == 200) & F.col("url").endswith(".md") & P.looks_like_markdown("body")).select(
         "site", F.col("url").alias("cand_url"), "body")
     hits = cands.join(ok, ["site", "cand_url"])
     first = hits.groupBy("site", "url").agg(F.min_by(F.struct("cand_rank", "body"), F.struct("cand_rank", "body")).alias("h"))
@@ -143,7 +144,8 @@ def body_fallback(urls: DataFrame, fetches: DataFrame) -> DataFrame:
     URL. (site, url, title, content, source)."""
     ok = fetches.where(F.col("status") == 200).select("site", F.col("url").alias("f_url"), "body")
     u = urls.select("site", "url").distinct().withColumn("md", U.md_url("url"))
-    md = (u.join(ok, (u.site == ok.site) & (u.md == ok.f_url)).select(u.site, u.url, F.col("md").alias("page_url"), "body")
+    ok_md = ok.where(F.col("f_url").endswith(".md"))
+    md = (u.join(ok_md, (u.site == ok_md.site) & (u.md == ok_md.f_url)).select(u.site, u.url, F.col("md").alias("page_url"), "body")
           .groupBy("site", "url").agg(F.min_by(F.struct("page_url", "body"), "body").alias("m"))
           .select("site", "url", "m.page_url", "m.body"))
     rest = u.join(md.select("site", "url"), ["site", "url"], "left_anti")

@@ -19,14 +19,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """Distinct same-host links per page: (page_id, site, to_url).
 
     Resolved, blocklisted paths dropped, ``#``/``?`` cut and one trailing
-    slash removed.
+    slash removed. The page URL rides along the extraction pass (no join back).
     """
-    a = X.anchors(pages.select("page_id", "url", "html")).join(
-        pages.select("page_id", U.url_netloc("url").alias("page_netloc"), U.site_of("url").alias("site")),
-        "page_id",
-    )
-    kept = a.where((U.url_netloc("abs_url") == F.col("page_netloc")) & ~P.link_blocked("abs_url"))
-    return kept.select("page_id", "site", U.clean_link_url("abs_url").alias("to_url")).distinct()
+    a = X.anchors(pages.select("page_id", "url", "html"), keep_url=True)
+    kept = a.where((U.url_netloc("abs_url") == U.url_netloc("url")) & ~P.link_blocked("abs_url"))
+    return kept.select("page_id", U.site_of("url").alias("site"), U.clean_link_url("abs_url").alias("to_url")).distinct()
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
@@ -35,32 +32,31 @@ def nav_links(pages: DataFrame) -> DataFrame:
     Selectors are taken in rank order; the walk stops after the selector at
     which the running total of valid links exceeds 5. Links are then
     de-duplicated by URL (first wins). A page with no link yields itself as
-    ``Main Page``.
+    ``Main Page``. One extraction pass; every window is partitioned by page
+    (one shuffle), so its size is one page's links.
     """
-    base = pages.select("page_id", "url", U.url_netloc("url").alias("page_netloc"))
-    nav = X.nav_anchors(pages.select("page_id", "url", "html")).join(base.select("page_id", "page_netloc"), "page_id")
-    valid = nav.where(
-        (F.col("href") != "") & (F.col("text") != "") & P.valid_page_url("abs_url", "page_netloc")
-    )
-    per_rank = valid.groupBy("page_id", "sel_rank").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("page_id").orderBy("sel_rank").rowsBetween(Window.unboundedPreceding, -1)
-    taken = per_rank.select(
-        "page_id", "sel_rank", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("held_before")
-    ).where(F.col("held_before") <= NAV_CUTOFF)
-    links = valid.join(taken.select("page_id", "sel_rank"), ["page_id", "sel_rank"])
-    first = links.groupBy("page_id", F.col("abs_url").alias("link_url")).agg(
-        F.min(F.struct("sel_rank", "pos", "text")).alias("k")
-    )
-    ordered = first.select(
-        "page_id",
-        F.row_number().over(Window.partitionBy("page_id").orderBy("k.sel_rank", "k.pos")).alias("rn"),
-        F.col("link_url").alias("url"),
-        F.left(F.col("k.text"), F.lit(TITLE_MAX)).alias("title"),
-    ).select("page_id", (F.col("rn") - 1).alias("pos"), "url", "title")
-    fallback = base.join(ordered.select("page_id").distinct(), "page_id", "left_anti").select(
-        "page_id", F.lit(0).alias("pos"), "url", F.lit("Main Page").alias("title")
-    )
-    return ordered.unionByName(fallback)
+    nav = X.nav_anchors(pages.select("page_id", "url", "html"), keep_url=True)
+    valid = nav.where((F.col("href") != "") & (F.col("text") != "")
+                      & P.valid_page_url("abs_url", U.url_netloc("url"))).select(
+        "page_id", "sel_rank", "pos", "abs_url", "text", F.lit(1).alias("real"))
+    # One sentinel per page (no HTML read) stands for the "Main Page" fallback;
+    # it survives only when the page has no real link.
+    sentinel = pages.select("page_id", F.lit(1 << 30).alias("sel_rank"), F.lit(0).alias("pos"),
+                            F.col("url").alias("abs_url"), F.lit("Main Page").alias("text"), F.lit(0).alias("real"))
+    rows = valid.unionByName(sentinel)
+    upto = Window.partitionBy("page_id").orderBy("sel_rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("page_id", "sel_rank")
+    held_before = F.sum("real").over(upto) - F.sum("real").over(same)
+    taken = rows.withColumn("held_before", held_before).where(
+        (F.col("real") == 0) | (F.col("held_before") <= NAV_CUTOFF))
+    page = Window.partitionBy("page_id")
+    kept = taken.withColumn("n_real", F.sum("real").over(page)).where((F.col("real") == 1) | (F.col("n_real") == 0))
+    first = Window.partitionBy("page_id", "abs_url").orderBy("sel_rank", "pos")
+    dedup = kept.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1)
+    order = Window.partitionBy("page_id").orderBy("sel_rank", "pos")
+    return dedup.select(
+        "page_id", (F.row_number().over(order) - 1).alias("pos"), F.col("abs_url").alias("url"),
+        F.when(F.col("real") == 1, F.left(F.col("text"), F.lit(TITLE_MAX))).otherwise(F.col("text")).alias("title"))
 
 
 def detect_repo(pages: DataFrame) -> DataFrame:

@@ -53,15 +53,14 @@ def resolve_sitemap_index(fetches: DataFrame, start: DataFrame, max_depth: int =
     seen = frontier
     found = None
     for _ in range(max_depth):
-        parsed = parse_sitemap(frontier.join(bodies, ["site", "url"]))
-        parsed = cut_lineage(parsed)
+        # Checkpointed once per round: it feeds both the page URLs and the next frontier.
+        parsed = cut_lineage(parse_sitemap(frontier.join(bodies, ["site", "url"])))
         locs = parsed.where(F.col("kind") == "url").select("site", F.col("loc").alias("url"))
         found = locs if found is None else found.unionByName(locs)
         nxt = (parsed.where(F.col("kind") == "sitemap").select("site", F.col("loc").alias("url")).distinct()
                .join(seen, ["site", "url"], "left_anti"))
-        nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(nxt))
+        seen = seen.unionByName(nxt)
         frontier = nxt
     return found.distinct()

@@ -21,6 +21,7 @@ from ..operators import extract as X
 from ..operators import fusion as FU
 from ..operators import links as L
 from ..operators import sitemaps as SM
+from ..session import cut_lineage
 
 
 @dataclass
@@ -49,6 +50,11 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
     """Consolidated document blocks per site (see ``consolidate.consolidate``)."""
     opts = opts or SiteOptions()
     fused, entry = discover(pages, fetches)
+    # Stage outputs used several times downstream are checkpointed to the shared
+    # folder: later stages re-plan a leaf instead of copies of the discovery
+    # plan, and a lost executor recomputes from here.
+    fused = cut_lineage(fused)
+    entry = cut_lineage(entry)
     urls = fused.where(P.include_exclude("url", opts.section_path, opts.exclude_path)).select("site", "url", "title")
     hits = FU.probe_resolve(urls.select("site", "url"), fetches)
     native = FU.native_pages(hits, urls).select("site", "url", "title", "content")
@@ -65,7 +71,7 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
         P.min_content(F.col("content"), F.col("h1_title"))
     ).select("site", "url", F.coalesce(F.nullif("h1_title", F.lit("")), "title", F.lit("Untitled Page")).alias("title"),
              "content")
-    site_pages = native.unionByName(scraped)
+    site_pages = cut_lineage(native.unionByName(scraped))
     hierarchy = fused.select("site", "url", F.col("depth").alias("level"), "ord",
                              F.lit(None).cast("string").alias("section"))
     bases = entry.select("site", "base_url")

@@ -61,8 +61,8 @@ cands AS (
 
 
 def _probe_inputs(spark, sf):
-    pages = read_table(spark, sf, "pages", "url", "html")
-    fetches = FE.markdown_fetches(pages)
+    pages = read_table(spark, sf, "pages", "url")
+    fetches = FE.fetch_table(spark, sf, ("md",))
     urls = pages.select(U.site_of("url").alias("site"), "url").distinct()
     return urls, fetches
 
@@ -121,8 +121,7 @@ def native_pages(spark, sf):
 def sitemap_urls(spark, sf):
     """Page URLs reachable from each site's sitemap index (index loop with a
     seen set; the index lists itself)."""
-    pages = read_table(spark, sf, "pages", "url")
-    fetches = FE.sitemap_fetches(pages)
+    fetches = FE.fetch_table(spark, sf, ("sitemap",))
     start = SM.scan_sitemaps(fetches).select("site", "url")
     return SM.resolve_sitemap_index(fetches, start)
 
@@ -136,8 +135,8 @@ FROM (SELECT site, root, unnest(range(0, CAST(greatest(1, ceil(n / {FE.URLS_PER_
 UNION ALL
 SELECT site, 'sitemap', root || '/sitemap.xml' FROM s""")
 def parse_sitemap(spark, sf):
-    pages = read_table(spark, sf, "pages", "url")
-    return SM.parse_sitemap(FE.sitemap_fetches(pages).select("site", "url", "body")).select("site", "kind", "loc")
+    fetches = FE.fetch_table(spark, sf, ("sitemap",))
+    return SM.parse_sitemap(fetches.select("site", "url", "body")).select("site", "kind", "loc")
 
 
 @query("entry_pages", oracle=f"WITH {ENTRY_SQL} SELECT site, page_id, url, base_url FROM entry")
@@ -211,7 +210,7 @@ def _fusion_inputs(spark, sf):
     entry_html = pages.join(entry.select("page_id"), "page_id", "left_semi")
     sidebar = X.sidebar_hierarchy_rows(entry_html).join(entry.select("page_id", "site"), "page_id").select(
         "site", "url", "title", "level", "ord")
-    fetches = FE.sitemap_fetches(pages.select("url"))
+    fetches = FE.fetch_table(spark, sf, ("sitemap",))
     smap = SM.resolve_sitemap_index(fetches, SM.scan_sitemaps(fetches).select("site", "url"))
     edges = L.link_edges(entry_html)
     heur = FU.urls_to_nodes(edges.join(entry.select("site", "base_url"), "site")
@@ -277,8 +276,8 @@ SELECT site, page_url AS url,
 FROM both_""")
 def body_fallback(spark, sf):
     """Sitemap strategy pages: native ``.md`` when served, else the HTML text."""
-    pages = read_table(spark, sf, "pages", "url", "html")
-    fetches = FE.html_fetches(pages).unionByName(FE.markdown_fetches(pages))
+    pages = read_table(spark, sf, "pages", "url")
+    fetches = FE.fetch_table(spark, sf, ("html", "md"))
     urls = pages.select(U.site_of("url").alias("site"), "url").distinct()
     out = FU.body_fallback(urls, fetches)
     return out.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
@@ -297,7 +296,7 @@ def strategy_fallback(spark, sf):
     """Pages of the first strategy (github, sitemap, scraping) that yields any
     page, per site; counted per (site, strategy)."""
     pages = read_table(spark, sf, "pages", "page_id", "url", "html")
-    fetches = FE.html_fetches(pages.select("url", "html")).unionByName(FE.markdown_fetches(pages.select("url", "html")))
+    fetches = FE.fetch_table(spark, sf, ("html", "md"))
     urls = pages.select(U.site_of("url").alias("site"), "url").distinct()
     sitemap = FU.body_fallback(urls, fetches).select("site", "url", F.lit("sitemap").alias("strategy"))
     scraping = (X.markdown_pages(pages).join(pages.select("page_id", "url"), "page_id")

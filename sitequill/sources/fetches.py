@@ -16,6 +16,8 @@ data:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +133,35 @@ def build_fetches(spark: SparkSession, sf_dir: str, kinds=("html", "md", "sitema
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def fetch_table(spark: SparkSession, sf_dir: str, kinds=("html", "md", "sitemap")) -> DataFrame:
+    """``fetches`` as a stored table, as production has it.
+
+    The derived Markdown and sitemap rows are written once per session to the
+    shared checkpoint folder, partitioned by ``kind`` (readers prune
+    partitions); HTML rows stay a projection of ``pages`` (never copied).
+    """
+    from ..session import ensure_checkpoint_dir  # local import: avoid a cycle at package import
+
+    pages = read_table(spark, sf_dir, "pages", "url", "html")
+    derived_kinds = [k for k in kinds if k != "html"]
+    parts = [html_fetches(pages)] if "html" in kinds else []
+    if derived_kinds:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        path = _WRITTEN.get(key)
+        if path is None:
+            base = ensure_checkpoint_dir(spark).replace("file:", "")
+            path = f"{base}/fetches-{uuid.uuid4().hex}"
+            (markdown_fetches(pages).unionByName(sitemap_fetches(pages.select("url")))
+             .write.mode("overwrite").partitionBy("kind").parquet(path))
+            _WRITTEN[key] = path
+        stored = spark.read.parquet(path).where(F.col("kind").isin(*derived_kinds))
+        parts.append(stored.select("site", "url", "status", "body", "kind"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
