@@ -33,32 +33,33 @@ def _score_sql(title: str, url: str) -> str:
             f"+ coalesce({num}, 0) + greatest(0, 100 - {words}) + greatest(0, 50 - {segs}) AS DECIMAL(38,0))")
 
 
-def _mapped_sql() -> str:
+def _mapped_sql(pages_sql: str | None = CP.PAGES_SQL, hier_sql: str | None = CP.HIERARCHY_SQL) -> str:
+    """``cpages`` (and ``chier``) CTEs unless given as None (defined by the caller), then ``mapped``."""
+    defs = "".join(f"{n} AS ({q}),\n" for n, q in (("cpages", pages_sql), ("chier", hier_sql)) if q is not None)
     return f"""
-pages AS ({CP.PAGES_SQL}),
-hier AS ({CP.HIERARCHY_SQL}),
-mapped AS (
+{defs}mapped AS (
   SELECT p.*,
     CASE WHEN h1.url IS NOT NULL THEN h1.level ELSE h2.level END AS h_level,
     CASE WHEN h1.url IS NOT NULL THEN h1.ord ELSE h2.ord END AS h_ord,
     CASE WHEN h1.url IS NOT NULL THEN h1.section ELSE h2.section END AS h_section
-  FROM pages p
-  LEFT JOIN hier h1 ON h1.site = p.site AND h1.url = p.url
-  LEFT JOIN hier h2 ON h2.site = p.site AND ends_with(p.url, '.md') AND h2.url = substr(p.url, 1, length(p.url) - 3)
+  FROM cpages p
+  LEFT JOIN chier h1 ON h1.site = p.site AND h1.url = p.url
+  LEFT JOIN chier h2 ON h2.site = p.site AND ends_with(p.url, '.md') AND h2.url = substr(p.url, 1, length(p.url) - 3)
 )"""
 
 
-def _ordered_sql(hierarchy: bool) -> str:
+def _ordered_sql(hierarchy: bool, pages_sql: str | None = CP.PAGES_SQL,
+                 hier_sql: str | None = CP.HIERARCHY_SQL) -> str:
     if hierarchy:
-        return f"""{_mapped_sql()},
+        return f"""{_mapped_sql(pages_sql, hier_sql)},
 ordered AS (
   SELECT *, CAST(coalesce(h_ord, {C.UNMAPPED_ORDER}) AS DECIMAL(38,0)) AS k1, url AS k2 FROM mapped
 )"""
+    defs = f"cpages AS ({pages_sql}),\n" if pages_sql is not None else ""
     return f"""
-pages AS ({CP.PAGES_SQL}),
-ordered AS (
+{defs}ordered AS (
   SELECT *, CAST(NULL AS INTEGER) AS h_level, CAST(NULL AS VARCHAR) AS h_section,
-         -({_score_sql('title', 'url')}) AS k1, url AS k2 FROM pages
+         -({_score_sql('title', 'url')}) AS k1, url AS k2 FROM cpages
 )"""
 
 
@@ -106,7 +107,7 @@ r4 AS (SELECT *, {dupe} AS dupe FROM r3),
 r5 AS (SELECT *, CASE WHEN min_level IS NULL THEN content ELSE {processed} END AS body FROM r4)"""
 
 
-def _header_sql() -> str:
+def _header_sql(bases_sql: str = CP.BASE_URLS_SQL) -> str:
     host = D.url_netloc("b.base_url")
     title = D.py_title(f"replace(replace({host}, '.gitbook.io', ''), '.com', '')")
     return f"""
@@ -115,18 +116,21 @@ hdr AS (
     '# ' || {title} || {NL} || {NL} || {D.q(C.TOOL_LINE)} || {NL} || {NL} || '**Source:** ' || b.base_url
     || '  ' || {NL} || '**Pages:** ' || CAST(c.n AS VARCHAR) || '  ' || {NL} || '**Downloaded:** '
     || {D.q(DOWNLOADED)} || '  ' || {NL} || {NL} || '---' || {NL} AS block
-  FROM ({CP.BASE_URLS_SQL}) b JOIN (SELECT site, count(*) AS n FROM pages GROUP BY site) c ON c.site = b.site
+  FROM ({bases_sql}) b JOIN (SELECT site, count(*) AS n FROM cpages GROUP BY site) c ON c.site = b.site
 )"""
 
 
-def _document_sql(hierarchy: bool, tested: bool = False) -> str:
+def _document_sql(hierarchy: bool, tested: bool = False, pages_sql: str | None = CP.PAGES_SQL,
+                  hier_sql: str | None = CP.HIERARCHY_SQL, bases_sql: str = CP.BASE_URLS_SQL,
+                  prefix: str = "") -> str:
+    """Consolidated blocks; ``prefix`` holds CTEs the page/hierarchy/base SQL refer to."""
     return f"""
-WITH {_ordered_sql(hierarchy)}, {_KEPT}, {_BREAKS},
+WITH {prefix}{_ordered_sql(hierarchy, pages_sql, hier_sql)}, {_KEPT}, {_BREAKS},
 src AS (
   SELECT k.site, k.k1, k.k2, k.content, coalesce(k.h_level + 1, 2) AS tgt, {_title_sql('k.title')} AS ptitle,
          b.section
   FROM kept k LEFT JOIN breaks b ON b.site = k.site AND b.k1 = k.k1 AND b.k2 = k.k2
-), {_relevel_ctes('src', tested)}, {_header_sql()}
+), {_relevel_ctes('src', tested)}, {_header_sql(bases_sql)}
 SELECT site, part, k1, k2, block FROM hdr
 UNION ALL
 SELECT site, 1 AS part, k1, k2,
@@ -195,7 +199,7 @@ def section_breaks(spark, sf):
     return C.section_breaks(C.dedup_content(C.order_pages(pages, hier)))
 
 
-@query("document_header", oracle=f"WITH pages AS ({CP.PAGES_SQL}), {_header_sql()} SELECT site, block FROM hdr")
+@query("document_header", oracle=f"WITH cpages AS ({CP.PAGES_SQL}), {_header_sql()} SELECT site, block FROM hdr")
 def document_header(spark, sf):
     pages, _, bases = _inputs(spark, sf)
     return C.document_header(pages, bases, DOWNLOADED).select("site", "block")
