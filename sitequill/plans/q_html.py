@@ -139,7 +139,8 @@ def page_text(spark, sf):
     return X.text_pages(_pages(spark, sf)).select("page_id", "content")
 
 
-def _md_oracle() -> str:
+def _md_oracle(src: str = "pages", keep: str = "page_id") -> str:
+    """Markdown and h1 title of ``src.html`` (the test pages' markup), keeping ``keep`` columns."""
     rest = f"regexp_extract({_ARTICLE}, '(?s)</h1>(.*)$', 1)"
     head = f"(CASE WHEN strpos({rest}, '<p><b>') > 0 THEN split_part({rest}, '<p><b>', 1) ELSE {rest} END)"
     tail = f"(CASE WHEN strpos({rest}, '<p><b>') > 0 THEN substr({rest}, strpos({rest}, '<p><b>')) ELSE '' END)"
@@ -148,9 +149,9 @@ def _md_oracle() -> str:
     blocks = f"list_filter(list_append({paras}, {clean(tail)}), lambda b: b <> '')"
     h1 = D.py_strip(_H1)
     return f"""
-SELECT page_id, {h1} AS title,
+SELECT {keep}, {h1} AS title,
   {D.py_strip(f"'# ' || {h1} || chr(10) || chr(10) || array_to_string({blocks}, chr(10) || chr(10))")} AS content
-FROM pages"""
+FROM {src}"""
 
 
 @query("page_markdown", oracle=_md_oracle())
