@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import urls as U
+from .scan import neighbor_value
 
 UNMAPPED_ORDER = 999_999
 TOOL_LINE = "*Compiled with sitequill*"
@@ -180,13 +181,15 @@ def dedup_content(ordered: DataFrame) -> DataFrame:
 
 def section_breaks(kept: DataFrame) -> DataFrame:
     """Pages before which ``## <section>`` is emitted: section set and different
-    from the last non-null section of an earlier kept page."""
+    from the last non-null section of an earlier kept page.
+
+    The previous section comes from ``scan.neighbor_value`` over the pages that
+    carry a section, so no window ever holds a whole site.
+    """
     s = kept.where(F.col("h_section").isNotNull()).select("site", "k1", "k2", "url", "h_section")
-    w = Window.partitionBy("site").orderBy("k1", "k2")
-    prev = F.lag("h_section").over(w)
-    return s.select("site", "k1", "k2", "url", "h_section", prev.alias("prev")).where(
-        F.col("prev").isNull() | (F.col("prev") != F.col("h_section"))
-    ).select("site", "k1", "k2", "url", F.col("h_section").alias("section"))
+    s = neighbor_value(s, "site", ["k1", "k2"], "h_section", "prev")
+    return s.where(F.col("prev").isNull() | (F.col("prev") != F.col("h_section"))).select(
+        "site", "k1", "k2", "url", F.col("h_section").alias("section"))
 
 
 def page_blocks(kept: DataFrame, breaks: DataFrame, tested_rule: bool = False) -> DataFrame:

@@ -30,3 +30,34 @@ def exclusive_running_sum(df: DataFrame, group: str, order: list[str], value: st
     with_local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     return with_local.join(offsets, ["_pid", group]).withColumn(
         out, (F.col("_base") + F.col("_local")).cast("long")).drop("_pid", "_local", "_base")
+
+
+def neighbor_value(df: DataFrame, group: str, order: list[str], value: str, out: str,
+                   direction: str = "prev", n_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = ``value`` of the previous (``prev``) or next (``next``)
+    row of the same ``group`` in ``order`` -- ``lag``/``lead`` without a
+    window over the whole group.
+
+    Local lag/lead runs per (range partition, group); the first (last) row of
+    each piece takes the carried value of the nearest earlier (later)
+    partition holding the group: one row per partition a group spans.
+    """
+    n = n_partitions or max(2, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id()))
+    key = F.struct(*order)
+    if direction == "prev":
+        local = Window.partitionBy("_pid", group).orderBy(*order)
+        edge = ranged.groupBy("_pid", group).agg(F.max_by(value, key).alias("_edge"))
+        carry = edge.select("_pid", group, F.lag("_edge").over(Window.partitionBy(group).orderBy("_pid")).alias("_carry"))
+        step = F.lag(value).over(local)
+    elif direction == "next":
+        local = Window.partitionBy("_pid", group).orderBy(*[F.col(c).desc() for c in order])
+        edge = ranged.groupBy("_pid", group).agg(F.min_by(value, key).alias("_edge"))
+        carry = edge.select("_pid", group, F.lead("_edge").over(Window.partitionBy(group).orderBy("_pid")).alias("_carry"))
+        step = F.lag(value).over(local)
+    else:
+        raise ValueError(direction)
+    marked = ranged.withColumn("_step", step).withColumn("_rn", F.row_number().over(local))
+    return (marked.join(carry, ["_pid", group])
+            .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_step")))
+            .drop("_pid", "_step", "_rn", "_carry"))

@@ -17,10 +17,11 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators.scan import neighbor_value
 from ..session import ensure_checkpoint_dir
 
 PREFIX = "JSON-SINK:"
@@ -125,14 +126,11 @@ def task_log(parsed: DataFrame) -> DataFrame:
 
 
 def stage_timeline(parsed: DataFrame) -> DataFrame:
-    """Stage events per task with the sequence number of the next stage.
-
-    The window holds stage events only: a run reports each of a handful of
-    stages once, which bounds a task's window partition.
-    """
+    """Stage events per task with the sequence number of the next stage
+    (``scan.neighbor_value``: no window holds a whole task)."""
     s = parsed.where(F.col("type") == "stage").select("task_id", "seq", "stage")
-    w = Window.partitionBy("task_id").orderBy("seq")
-    return s.select("task_id", "seq", "stage", F.lead("seq").over(w).alias("next_seq"))
+    return neighbor_value(s, "task_id", ["seq"], "seq", "next_seq", direction="next").select(
+        "task_id", "seq", "stage", "next_seq")
 
 
 def progress_sampling(parsed: DataFrame, every: int = 5) -> DataFrame:

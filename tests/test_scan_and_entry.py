@@ -57,3 +57,17 @@ def test_oracles_small(spark):
         dcols = [d[0] for d in res.description]
         assert sorted(df.columns) == sorted(dcols), name
         assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall()), name
+
+
+def test_neighbor_value_matches_pandas(spark):
+    from sitequill.operators.scan import neighbor_value
+    rows = [("big" if i % 4 else f"s{i % 3}", i, f"v{(i * 13) % 17}") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k int, v string")
+    pdf = pd.DataFrame(rows, columns=["g", "k", "v"]).sort_values(["g", "k"])
+    pdf["prev"] = pdf.groupby("g")["v"].shift(1)
+    pdf["next"] = pdf.groupby("g")["v"].shift(-1)
+    for d in ("prev", "next"):
+        got = neighbor_value(df, "g", ["k"], "v", "out", direction=d, n_partitions=5).toPandas()
+        m = got.merge(pdf, on=["g", "k"])
+        assert len(m) == 300
+        assert (m["out"].fillna("<none>") == m[d].fillna("<none>")).all(), d
