@@ -129,14 +129,14 @@ def path_segments(x):
 
 
 def depth_from_path(x, base_depth: str = "0"):
-    return f"greatest(0, len({path_segments(x)}) - {base_depth})"
+    return f"CAST(greatest(0, len({path_segments(x)}) - {base_depth}) AS INTEGER)"
 
 
 def estimate_depth(x, base):
     up = f"trim({url_path(x)}, '/')"
     bp = f"trim({url_path(base)}, '/')"
     rest = f"(CASE WHEN starts_with({up}, {bp}) THEN trim(substr({up}, length({bp}) + 1), '/') ELSE {up} END)"
-    return f"(CASE WHEN {up} = '' OR {up} = {bp} THEN 0 ELSE len(string_split({rest}, '/')) END)"
+    return f"CAST(CASE WHEN {up} = '' OR {up} = {bp} THEN 0 ELSE len(string_split({rest}, '/')) END AS INTEGER)"
 
 
 def md_url(x):

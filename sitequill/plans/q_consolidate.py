@@ -166,7 +166,7 @@ def dedup_content(spark, sf):
 @query("min_heading_level", oracle=f"""
 WITH pages AS ({CP.PAGES_SQL}), src AS (SELECT site, url, content, 2 AS tgt, title AS ptitle FROM pages),
 {_relevel_ctes('src')}
-SELECT site, url, coalesce(min_level, 99) AS min_level, coalesce(first_h.txt, '') AS first_text FROM r3""")
+SELECT site, url, CAST(coalesce(min_level, 99) AS INTEGER) AS min_level, coalesce(first_h.txt, '') AS first_text FROM r3""")
 def min_heading_level(spark, sf):
     pages = CP.corpus_pages(spark, sf)
     m = C.min_heading(F.col("content"))

@@ -83,7 +83,7 @@ WITH {_NAV}, valid AS (
 ), firsts AS (
   SELECT page_id, abs_url, min(i) AS i FROM valid GROUP BY page_id, abs_url
 ), ordered AS (
-  SELECT f.page_id, row_number() OVER (PARTITION BY f.page_id ORDER BY f.i) - 1 AS pos,
+  SELECT f.page_id, CAST(row_number() OVER (PARTITION BY f.page_id ORDER BY f.i) - 1 AS INTEGER) AS pos,
          f.abs_url AS url, left(v.text, 100) AS title
   FROM firsts f JOIN valid v ON v.page_id = f.page_id AND v.i = f.i
 )
@@ -173,7 +173,7 @@ WITH {_NAV}, counted AS (
 ), firsts AS (
   SELECT page_id, url, min(i) AS i FROM entries GROUP BY page_id, url
 )
-SELECT f.page_id, row_number() OVER (PARTITION BY f.page_id ORDER BY f.i) - 1 AS ord,
+SELECT f.page_id, CAST(row_number() OVER (PARTITION BY f.page_id ORDER BY f.i) - 1 AS INTEGER) AS ord,
        1 AS level, CAST(NULL AS VARCHAR) AS section, f.url, e.title
 FROM firsts f JOIN entries e ON e.page_id = f.page_id AND e.i = f.i""")
 def sidebar_hierarchy(spark, sf):
@@ -188,7 +188,7 @@ WITH m AS (
   UNION ALL SELECT '.sidebar', len(regexp_extract_all(html, '<[a-z0-9]+ [^>]*class="([^"]* )?sidebar( [^"]*)?"')) FROM pages
   UNION ALL SELECT 'aside', len(regexp_extract_all(html, '<aside[ >]')) FROM pages
 )
-SELECT selector, count(*) FILTER (WHERE n > 0) AS n_pages, sum(n) AS n_matches FROM m GROUP BY selector""")
+SELECT selector, count(*) FILTER (WHERE n > 0) AS n_pages, CAST(sum(n) AS BIGINT) AS n_matches FROM m GROUP BY selector""")
 def selector_profile(spark, sf):
     """How many pages carry each sidebar structure, and how many matches."""
     prof = X.selector_profile_rows(_pages(spark, sf))
@@ -199,7 +199,7 @@ def selector_profile(spark, sf):
 
 @query("link_count_per_container", oracle="""
 SELECT page_id, 0 AS cand_pos, 'nav' AS cand_tag,
-       len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a[ >]')) AS n_links
+       CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a[ >]')) AS INTEGER) AS n_links
 FROM pages WHERE strpos(html, '<nav>') > 0""")
 def link_count_per_container(spark, sf):
     """Links per sidebar candidate (nav, aside, div.*sidebar*, [data-testid=sidebar])."""

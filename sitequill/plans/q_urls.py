@@ -87,7 +87,7 @@ WITH k AS (
 ), firsts AS (
   SELECT site, ckey, min(page_id) AS page_id FROM k GROUP BY site, ckey
 )
-SELECT f.site, count(*) AS n_canonical, any_value(n.n_pages) AS n_pages, sum(f.page_id) AS sum_first_page_id
+SELECT f.site, count(*) AS n_canonical, any_value(n.n_pages) AS n_pages, CAST(sum(f.page_id) AS BIGINT) AS sum_first_page_id
 FROM firsts f JOIN (SELECT site, count(*) AS n_pages FROM k GROUP BY site) n ON f.site = n.site
 GROUP BY f.site""")
 def url_dedup(spark, sf):
