@@ -138,10 +138,21 @@ def native_pages(hits: DataFrame, hierarchy: DataFrame) -> DataFrame:
                     F.lit("native_probe").alias("source"))
 
 
+def _md_body_rows(url, body):
+    yield body, X.extract_title(body)
+
+
+def _html_body_rows(url, body):
+    yield X.page_text(body), X.extract_title(body)
+
+
 def body_fallback(urls: DataFrame, fetches: DataFrame) -> DataFrame:
     """Sitemap strategy page bodies: ``<url>.md`` if it answered 200, else the
     HTML page's main text (dropped when empty). Titles from the body, else the
-    URL. (site, url, title, content, source)."""
+    URL. (site, url, title, content, source).
+
+    One Python pass per body kind; site, URLs and fallback titles ride along.
+    """
     ok = fetches.where(F.col("status") == 200).select("site", F.col("url").alias("f_url"), "body")
     u = urls.select("site", "url").distinct().withColumn("md", U.md_url("url"))
     ok_md = ok.where(F.col("f_url").endswith(".md"))
@@ -151,20 +162,19 @@ def body_fallback(urls: DataFrame, fetches: DataFrame) -> DataFrame:
     rest = u.join(md.select("site", "url"), ["site", "url"], "left_anti")
     html = (rest.join(ok, (rest.site == ok.site) & (rest.url == ok.f_url)).select(rest.site, rest.url, "body")
             .groupBy("site", "url").agg(F.min("body").alias("body")))
-    md_pages = md.select("site", "url", "page_url", F.col("body").alias("content"), F.lit("sitemap-md").alias("source"),
-                         F.col("body").alias("title_src"))
-    html_keyed = html.select(F.concat_ws("\u0001", "site", "url").alias("key"), "site", "url", "body")
-    txt = X.map_pages(html_keyed, lambda url, body: [(X.page_text(body),)], "content string",
-                      id_col="key", url_col="url", html_col="body")
-    html_pages = (html_keyed.join(txt, "key").where(F.col("content") != "")
-                  .select("site", "url", F.col("url").alias("page_url"), "content",
-                          F.lit("sitemap-html").alias("source"), F.col("body").alias("title_src")))
-    both = md_pages.unionByName(html_pages).withColumn("key", F.concat_ws("\u0001", "site", "page_url"))
-    titles = X.body_titles(both.select("key", "page_url", "title_src"), "key", "page_url", "title_src")
-    fallback_title = U.title_from_url("url", keep_underscore=True)
-    return both.join(titles, "key", "left").select(
+    fallback = U.title_from_url("url", keep_underscore=True).alias("fallback_title")
+    md_in = md.select("site", "page_url", "body", fallback)
+    html_in = html.select("site", F.col("url").alias("page_url"), "body", fallback)
+    out = "content string, title string"
+    md_pages = X.map_pages(md_in, _md_body_rows, out, id_col="site", url_col="page_url", html_col="body",
+                           keep_url=True, carry=["fallback_title"]).withColumn("source", F.lit("sitemap-md"))
+    html_pages = (X.map_pages(html_in, _html_body_rows, out, id_col="site", url_col="page_url", html_col="body",
+                              keep_url=True, carry=["fallback_title"])
+                  .where(F.col("content") != "").withColumn("source", F.lit("sitemap-html")))
+    both = md_pages.unionByName(html_pages)
+    return both.select(
         "site", F.col("page_url").alias("url"),
-        F.when(F.col("title").isNull() | (F.col("title") == ""), fallback_title).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("title").isNull() | (F.col("title") == ""), F.col("fallback_title")).otherwise(F.col("title")).alias("title"),
         "content", "source")
 
 

@@ -62,9 +62,8 @@ def nav_links(pages: DataFrame) -> DataFrame:
 def detect_repo(pages: DataFrame) -> DataFrame:
     """Per site, the first repository link (``github.com`` with ``/blob/``)
     in selector-rank then page then position order -> ``<prefix>.git``."""
-    r = X.repo_anchors(pages.select("page_id", "url", "html")).where(
+    r = X.repo_anchors(pages.select("page_id", "url", "html"), keep_url=True).where(
         F.col("href").contains("github.com") & F.col("href").contains("/blob/")
-    )
-    r = r.join(pages.select("page_id", U.site_of("url").alias("site")), "page_id")
+    ).withColumn("site", U.site_of("url"))
     best = r.groupBy("site").agg(F.min(F.struct("sel_rank", "page_id", "pos", "href")).alias("k"))
     return best.select("site", F.concat(F.substring_index(F.col("k.href"), "/blob/", 1), F.lit(".git")).alias("repo_url"))

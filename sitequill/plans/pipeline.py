@@ -63,11 +63,10 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
         "site", "url", F.col("body").alias("html"))
     # One captured body per URL (the smallest when a URL was captured twice).
     html = html.groupBy("site", "url").agg(F.min("html").alias("html"))
-    todo = rest.join(html, ["site", "url"]).select(
-        F.concat_ws("\u0001", "site", "url").alias("key"), "site", "url", "title", "html")
-    md = X.map_pages(todo.select("key", "url", "html"), X.markdown_rows, "content string, h1_title string",
-                     id_col="key")
-    scraped = todo.select("key", "site", "url", "title").join(md, "key").where(
+    todo = rest.join(html, ["site", "url"]).select("site", "url", "title", "html")
+    md = X.map_pages(todo, X.markdown_rows, "content string, h1_title string",
+                     id_col="site", keep_url=True, carry=["title"])
+    scraped = md.where(
         P.min_content(F.col("content"), F.col("h1_title"))
     ).select("site", "url", F.coalesce(F.nullif("h1_title", F.lit("")), "title", F.lit("Untitled Page")).alias("title"),
              "content")

@@ -117,15 +117,20 @@ FROM t""")
 def page_titles(spark, sf):
     """Title of a captured page: Markdown ``# `` line, else ranked HTML
     selectors (suffix cut), else derived from the URL."""
-    pages = _pages(spark, sf)
-    html_t = X.html_titles(pages)
-    md = F.regexp_extract("html", r"(?md)^#\s+(.*)", 1)
-    return pages.join(html_t, "page_id", "left").select(
+    # The Markdown and blank checks run in Catalyst and ride through the HTML pass.
+    pages = _pages(spark, sf).select(
+        "page_id", "url", "html",
+        (F.coalesce(F.length("html"), F.lit(0)) == 0).alias("blank"),
+        F.col("html").rlike(r"(?md)^#\s+").alias("md_hit"),
+        TX.py_strip(F.regexp_extract("html", r"(?md)^#\s+(.*)", 1)).alias("md_title"),
+        U.title_from_url("url", keep_underscore=True).alias("url_title"))
+    t = X.map_pages(pages, X.title_rows, "html_title string", carry=["blank", "md_hit", "md_title", "url_title"])
+    return t.select(
         "page_id",
-        F.when(TX.is_blank("html") & (F.coalesce(F.length("html"), F.lit(0)) == 0), F.lit("Untitled Page"))
-        .when(F.col("html").rlike(r"(?md)^#\s+"), TX.py_strip(md))
+        F.when(F.col("blank"), F.lit("Untitled Page"))
+        .when(F.col("md_hit"), F.col("md_title"))
         .when(F.col("html_title").isNotNull(), F.col("html_title"))
-        .otherwise(U.title_from_url("url", keep_underscore=True)).alias("title"),
+        .otherwise(F.col("url_title")).alias("title"),
     )
 
 
