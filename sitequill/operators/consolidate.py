@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import urls as U
+from ..session import cut_lineage
 from .scan import neighbor_value
 
 UNMAPPED_ORDER = 999_999
@@ -241,7 +242,9 @@ def consolidate(pages: DataFrame, hierarchy: DataFrame | None, base_urls: DataFr
     """
     pages = pages.select("site", "url", "title", "content")
     ordered = order_pages(pages, hierarchy)
-    kept = dedup_content(ordered)
+    # The de-duplicated page set feeds both the section scan and the blocks:
+    # checkpointed once so the ordering joins and the md5 aggregate run once.
+    kept = cut_lineage(dedup_content(ordered))
     breaks = section_breaks(kept)
     blocks = page_blocks(kept, breaks, tested_rule)
     return document_header(pages, base_urls, downloaded, section_path).unionByName(blocks)
