@@ -109,3 +109,17 @@ def task_status(spark, sf):
     events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     lines = PG.event_lines(events).unionByName(PG.exit_lines(events))
     return PG.task_status(lines)
+
+
+@query("task_runs_stateful", oracle=_STATE_SQL.replace(
+    "SELECT a.task_id, p.p.current AS current,",
+    "SELECT a.task_id, CASE WHEN l.last_type = 'error' THEN 'failed' ELSE 'completed' END AS run_status, "
+    "p.p.current AS current,").replace(
+    "FROM a LEFT JOIN p ON p.task_id = a.task_id",
+    "FROM a JOIN (SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id) l "
+    "ON l.user_id = a.task_id LEFT JOIN p ON p.task_id = a.task_id"))
+def task_runs_stateful(spark, sf):
+    """Task state by a custom stateful streaming operator (applyInPandasWithState)
+    that drops a task's state when its run exits."""
+    events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    return PG.stream_task_runs(spark, PG.event_lines(events), PG.exit_lines(events), PG.scratch_root(spark, "runs"))

@@ -163,7 +163,94 @@ def stream_task_state(spark: SparkSession, source_dir: str, out_dir: str, checkp
     return spark.read.parquet(out_dir)
 
 
-def scratch_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).replace("file:", "")
-    root = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def scratch_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
+    root = scratch_root(spark, name)
     return os.path.join(root, "source"), os.path.join(root, "state"), os.path.join(root, "checkpoint")
+
+
+# -- custom stateful operator -------------------------------------------------------
+
+EXIT_RE = r"^EXIT (-?[0-9]+)$"
+STATEFUL_OUT = ("task_id long, current long, total long, status string, stage string, n_log_lines long, "
+                "last_seq long, run_status string")
+STATEFUL_STATE = ("p_seq long, current long, total long, status string, s_seq long, stage string, "
+                  "n_log long, last_seq long")
+
+
+def _stateful_update(key, batches, state):
+    """Fold one task's new lines into its state; emit the task's row; drop the
+    state once the exit line has been seen (the run is over)."""
+    import pandas as pd
+
+    if state.exists:
+        p_seq, cur, tot, st, s_seq, stage, n_log, last = state.get
+    else:
+        p_seq = cur = tot = st = s_seq = stage = None
+        n_log, last = 0, None
+    code = None
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.kind == "exit":
+                code = int(row.exit_code)
+                continue
+            last = row.seq if last is None else max(last, row.seq)
+            if row.kind == "log":
+                n_log += 1
+            elif row.type == "progress" and (p_seq is None or row.seq > p_seq):
+                p_seq, cur, tot, st = row.seq, row.current, row.total, row.status
+            elif row.type == "stage" and (s_seq is None or row.seq > s_seq):
+                s_seq, stage = row.seq, row.stage
+    def opt_int(v):
+        return None if v is None or pd.isna(v) else int(v)
+
+    p_seq, cur, tot, s_seq, last = (opt_int(v) for v in (p_seq, cur, tot, s_seq, last))
+    keep_stage = s_seq is not None and (p_seq is None or s_seq > p_seq)
+    run_status = "running" if code is None else ("completed" if code == 0 else "failed")
+    if code is None:
+        state.update((p_seq, cur, tot, st, s_seq, stage, int(n_log), last))
+    else:
+        state.remove()
+
+    yield pd.DataFrame([{
+        "task_id": int(key[0]), "current": opt_int(cur), "total": opt_int(tot), "status": st,
+        "stage": stage if keep_stage else None, "n_log_lines": int(n_log), "last_seq": opt_int(last),
+        "run_status": run_status,
+    }])
+
+
+def stream_task_runs(spark: SparkSession, lines: DataFrame, exits: DataFrame, root: str) -> DataFrame:
+    """Per-task state kept by ``applyInPandasWithState`` and dropped when a run
+    exits. Run output is landed first and each task's exit line afterwards (a
+    later micro-batch), as a process prints before it exits. Each trigger
+    appends its updated rows; the result is the latest row per task."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    source, out, ckpt = (os.path.join(root, d) for d in ("source", "out", "checkpoint"))
+
+    def run_once():
+        src = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 4).json(source)
+        parsed = parse_event_lines(src).withColumn("exit_code", F.regexp_extract("text", EXIT_RE, 1))
+        parsed = parsed.withColumn("kind", F.when(F.col("text").rlike(EXIT_RE), F.lit("exit")).otherwise(F.col("kind")))
+        q = (parsed.select("task_id", "seq", "kind", "type", "current", "total", "status", "stage", "exit_code")
+             .groupBy("task_id")
+             .applyInPandasWithState(_stateful_update, STATEFUL_OUT, STATEFUL_STATE, "update",
+                                     GroupStateTimeout.NoTimeout)
+             .writeStream.outputMode("update")
+             .foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(out))
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    lines.repartition(8).write.mode("append").json(source)
+    run_once()
+    exits.repartition(2).write.mode("append").json(source)
+    run_once()
+    rows = spark.read.parquet(out)
+    cols = [c for c in rows.columns if c not in ("task_id", "batch_id")]
+    latest = rows.groupBy("task_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
+    return latest.select("task_id", *[F.col("r." + c).alias(c) for c in cols])
