@@ -77,6 +77,12 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
     return C.consolidate(site_pages, hierarchy, bases, opts.downloaded, opts.section_path, opts.tested_rule)
 
 
+def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
+    """Diagnostics (discovery counts, scan diagnostics, run statistics) as JSON
+    lines, one file set per site under ``site=<site>/``."""
+    diagnostics.write.mode("overwrite").partitionBy("site").json(path)
+
+
 def run_stats(documents: DataFrame, assets: DataFrame | None, duration_sec: float) -> DataFrame:
     """Per site: pages, assets, duration and pages / max(duration, 0.1)."""
     pages = documents.where(F.col("part") == 1).groupBy("site").agg(F.count("*").alias("pages_downloaded"))
@@ -90,4 +96,4 @@ def run_stats(documents: DataFrame, assets: DataFrame | None, duration_sec: floa
                         (F.col("pages_downloaded") / F.lit(max(d, 0.1))).alias("pages_per_second"))
 
 
-__all__ = ["SiteOptions", "site_documents", "discover", "run_stats", "U"]
+__all__ = ["SiteOptions", "site_documents", "discover", "run_stats", "write_diagnostics", "U"]

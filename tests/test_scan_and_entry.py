@@ -71,3 +71,11 @@ def test_neighbor_value_matches_pandas(spark):
         m = got.merge(pdf, on=["g", "k"])
         assert len(m) == 300
         assert (m["out"].fillna("<none>") == m[d].fillna("<none>")).all(), d
+
+
+def test_write_diagnostics(spark, tmp_path):
+    from sitequill.plans.pipeline import write_diagnostics
+    df = spark.createDataFrame([("a", 3, 5), ("b", 1, 1)], "site string, sidebar long, merged long")
+    write_diagnostics(df, str(tmp_path / "diag"))
+    back = spark.read.json(str(tmp_path / "diag"))
+    assert sorted((r.site, r.merged) for r in back.collect()) == [("a", 5), ("b", 1)]
