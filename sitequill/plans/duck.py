@@ -6,7 +6,7 @@ with the same semantics as the Spark function of the same name.
 
 from __future__ import annotations
 
-from ..functions.text import CASED, FOLD_DROP, PY_WHITESPACE, TITLE_RUNS
+from ..functions.text import FOLD_DROP, PY_WHITESPACE, TITLE_RUNS
 from ..functions.urls import URL_RE
 
 
@@ -150,5 +150,3 @@ def asset_filename(x):
 def url_extension(x):
     return f"lower(regexp_extract({url_path(x)}, '(\\.[^./]*)$', 1))"
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["CASED"]

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions import urls as U
 from ..operators import consolidate as C
 from ..operators import extract as X
 from ..operators import fusion as FU
@@ -96,4 +95,4 @@ def run_stats(documents: DataFrame, assets: DataFrame | None, duration_sec: floa
                         (F.col("pages_downloaded") / F.lit(max(d, 0.1))).alias("pages_per_second"))
 
 
-__all__ = ["SiteOptions", "site_documents", "discover", "run_stats", "write_diagnostics", "U"]
+__all__ = ["SiteOptions", "site_documents", "discover", "run_stats", "write_diagnostics"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import fusion as FU
@@ -305,5 +304,3 @@ def strategy_fallback(spark, sf):
     kept = FU.strategy_fallback(sitemap.unionByName(scraping))
     return kept.groupBy("site", "strategy").agg(F.count("*").alias("n_pages"))
 
-
-__all__ = ["TX"]

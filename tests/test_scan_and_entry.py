@@ -1,9 +1,6 @@
 """Distributed ordered scan, repository scan, and the driver contract."""
 
-import os
-
 import pandas as pd
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from sitequill.operators.scan import exclusive_running_sum
