@@ -11,6 +11,7 @@ from ..functions import predicates as P
 from ..functions import text as TX
 from ..functions import urls as U
 from ..functions.resolve import resolve_pairs
+from ..session import cut_lineage
 
 # Reference patterns (case-insensitive) and the group holding the URL.
 ASSET_PATTERNS = [
@@ -40,9 +41,11 @@ def asset_refs(pages: DataFrame) -> DataFrame:
     """
     text = F.concat(F.coalesce("content", F.lit("")), F.coalesce("html", F.lit("")))
     refs = pages.select("site", F.col("url").alias("base"), F.explode(reference_strings(text)).alias("ref"))
-    refs = refs.where(~P.skip_asset_url("ref")).distinct()
+    # The references (far smaller than the HTML) are read by both resolution
+    # branches: computed once, so the pages are scanned once.
+    refs = cut_lineage(refs.where(~P.skip_asset_url("ref")).distinct())
     resolved = resolve_pairs(refs, "base", "ref", "asset_url")
-    return resolved.where(P.asset_extension("asset_url")).select("site", "asset_url").distinct()
+    return cut_lineage(resolved.where(P.asset_extension("asset_url")).select("site", "asset_url").distinct())
 
 
 def asset_inventory(refs: DataFrame) -> DataFrame:

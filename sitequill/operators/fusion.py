@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as TX
 from ..functions import urls as U
+from ..session import cut_lineage
 from . import extract as X
 
 # Order offsets of fused sources, strategy priority, titles to repair.
@@ -182,6 +183,7 @@ def strategy_fallback(candidates: DataFrame) -> DataFrame:
     """Per site keep every page of the first strategy (github, sitemap,
     scraping) that produced at least one page. candidates(site, strategy, ...)."""
     prio = F.array_position(F.array(*[F.lit(s) for s in STRATEGY_PRIORITY]), F.col("strategy"))
-    c = candidates.withColumn("_prio", prio)
+    # Used twice (winner per site, then the winner's pages): computed once.
+    c = cut_lineage(candidates.withColumn("_prio", prio))
     win = c.groupBy("site").agg(F.min("_prio").alias("_prio"))
     return c.join(win, ["site", "_prio"], "left_semi").drop("_prio")

@@ -170,8 +170,8 @@ def page_layouts(pages: DataFrame) -> DataFrame:
     return X.map_pages(pages, _layout_rows, "layout string, n_toclinks int")
 
 
-def page_crumbs(pages: DataFrame) -> DataFrame:
-    return X.map_pages(pages, _crumb_rows, "crumbs array<string>, page_title string")
+def page_crumbs(pages: DataFrame, keep_url: bool = False) -> DataFrame:
+    return X.map_pages(pages, _crumb_rows, "crumbs array<string>, page_title string", keep_url=keep_url)
 
 
 def missing_from_tree(tree: DataFrame, sitemap_urls: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import fusion as FU
 from ..operators import links as L
 from ..operators import sitemaps as SM
 from ..sources import fetches as FE
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import duck as D
 from .q_html import _ANCHORS, _BLOCK, _NAV, _md_oracle, decode
@@ -235,7 +236,8 @@ c AS (
 SELECT c.site, c.sidebar, c.sitemap, c.heuristic, m.merged
 FROM c JOIN (SELECT site, count(*) AS merged FROM fused GROUP BY site) m ON m.site = c.site""")
 def discovery_counts(spark, sf):
-    sidebar, smap, heur, bases = _fusion_inputs(spark, sf)
+    # Each source feeds both the fusion and the counts: computed once.
+    sidebar, smap, heur, bases = (cut_lineage(d) for d in _fusion_inputs(spark, sf))
     fused = FU.fuse_sources(sidebar, smap, heur, bases)
     return FU.discovery_counts(sidebar, smap, heur, fused)
 

@@ -239,8 +239,11 @@ FROM pages p""")
 def scan_diagnostics(spark, sf):
     """Per page: anchors seen, distinct same-host links kept, scan method."""
     pages = _pages(spark, sf)
-    total = X.anchors(pages).groupBy("page_id").agg(F.count("*").alias("total_anchors"))
-    kept = L.link_edges(pages).groupBy("page_id").agg(F.count("*").alias("filtered_links"))
-    return (pages.select("page_id").join(total, "page_id", "left").join(kept, "page_id", "left")
+    a = X.anchors(pages, keep_url=True)
+    keep = (U.url_netloc("abs_url") == U.url_netloc("url")) & ~P.link_blocked("abs_url")
+    per_page = a.groupBy("page_id").agg(
+        F.count("*").alias("total_anchors"),
+        F.count_distinct(F.when(keep, U.clean_link_url("abs_url"))).alias("filtered_links"))
+    return (pages.select("page_id").join(per_page, "page_id", "left")
             .na.fill(0, ["total_anchors", "filtered_links"])
             .select("page_id", "total_anchors", "filtered_links", F.lit("heuristic").alias("method")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import fusion as FU
 from ..operators import tree as TR
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import duck as D
 from .q_html import _NAV, decode
@@ -83,7 +84,9 @@ def missing_from_tree(spark, sf):
 def heal_tree(spark, sf):
     """Nodes that attach every missing URL to its site's tree by breadcrumbs."""
     pages, tree, smap = _entry_inputs(spark, sf)
-    missing = TR.missing_from_tree(tree, smap)
-    crumbs = TR.page_crumbs(pages.join(missing.select("url").distinct(), "url", "left_semi")).join(
-        pages.select("page_id", U.site_of("url").alias("site"), "url"), "page_id").drop("page_id")
-    return TR.heal_tree(tree, missing, crumbs)
+    # The tree is read by the verification and by every matching round: computed once.
+    tree = cut_lineage(tree)
+    missing = cut_lineage(TR.missing_from_tree(tree, smap))
+    crumbs = TR.page_crumbs(pages.join(missing.select("url").distinct(), "url", "left_semi"), keep_url=True).select(
+        U.site_of("url").alias("site"), "url", "crumbs", "page_title")
+    return TR.heal_tree(tree, missing, cut_lineage(crumbs))
