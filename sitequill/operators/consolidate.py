@@ -28,6 +28,9 @@ from .scan import neighbor_value
 UNMAPPED_ORDER = 999_999
 TOOL_LINE = "*Compiled with sitequill*"
 
+# Host suffixes removed (in this order) to form a document title.
+TITLE_HOST_SUFFIXES = [".gitbook.io", ".com"]
+
 # Title words of the heuristic reading order.
 INTRO_WORDS = ["readme", "introduction", "intro", "start", "index"]      # +1000
 OVERVIEW_WORDS = ["getting started", "quick start", "overview"]         # +900
@@ -212,7 +215,9 @@ def page_blocks(kept: DataFrame, breaks: DataFrame, tested_rule: bool = False) -
 
 def site_title(base_url: Column, section_path: str | None) -> Column:
     host = U.url_netloc(base_url)
-    t = TX.py_title(F.replace(F.replace(host, F.lit(".gitbook.io"), F.lit("")), F.lit(".com"), F.lit("")))
+    for suffix in TITLE_HOST_SUFFIXES:
+        host = F.replace(host, F.lit(suffix), F.lit(""))
+    t = TX.py_title(host)
     if section_path:
         t = F.concat(t, F.lit(" - " + section_path.replace("/", " / ").title()))
     return t

@@ -109,7 +109,9 @@ r5 AS (SELECT *, CASE WHEN min_level IS NULL THEN content ELSE {processed} END A
 
 def _header_sql(bases_sql: str = CP.BASE_URLS_SQL) -> str:
     host = D.url_netloc("b.base_url")
-    title = D.py_title(f"replace(replace({host}, '.gitbook.io', ''), '.com', '')")
+    for suffix in C.TITLE_HOST_SUFFIXES:
+        host = f"replace({host}, {D.q(suffix)}, '')"
+    title = D.py_title(host)
     return f"""
 hdr AS (
   SELECT b.site, 0 AS part, CAST(NULL AS DECIMAL(38,0)) AS k1, CAST(NULL AS VARCHAR) AS k2,
