@@ -28,8 +28,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Pages are a few kB to a few MB; keep Arrow batches bounded in bytes.
+        # Pages are a few kB to a few MB: 512 pages per Arrow batch, and 64-bit
+        # string offsets so a batch of large pages cannot overflow 2 GB.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        .config("spark.sql.execution.arrow.useLargeVarTypes", "true")
         .config("spark.driver.memory", os.environ.get("SITEQUILL_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -38,6 +40,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+# Settings meant for a large cluster run (100 TB of captured pages); the
+# submitting environment applies them, the library does not force them.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    # Initial shuffle width ~ shuffled bytes / 256 MB; AQE coalesces from there.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.useLargeVarTypes": "true",
+    # Set by the cluster to a shared file system; read, never overridden.
+    # "spark.checkpoint.dir": "<shared folder>",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
