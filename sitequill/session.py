@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -74,15 +74,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local one.
-
-    The input is persisted while the checkpoint is written: writing the
-    checkpoint files is a second job over the same data, which would
-    otherwise recompute it. The cache is dropped once the files exist.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back: later stages start from the written files (an executor loss
+    recomputes nothing upstream), the data is computed once, AQE still sizes
+    the written partitions, and readers prune columns. Never a local checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/cut-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -30,7 +30,7 @@ def test_markdown_corpus_scan(spark, tmp_path):
 
 def test_entry_and_registry(spark):
     df = E.entry(spark)
-    assert df.count() > 0 and set(df.columns) == {"site", "n_canonical", "n_pages", "sum_first_page_id"}
+    assert df.count() > 0 and df.columns == ["site", "part", "k1", "k2", "block"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 50
