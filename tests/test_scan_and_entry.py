@@ -76,3 +76,15 @@ def test_write_diagnostics(spark, tmp_path):
     write_diagnostics(df, str(tmp_path / "diag"))
     back = spark.read.json(str(tmp_path / "diag"))
     assert sorted((r.site, r.merged) for r in back.collect()) == [("a", 5), ("b", 1)]
+
+
+def test_cli_run_writes_documents(spark, tmp_path):
+    from sitequill.cli import run
+    out = str(tmp_path / "out")
+    run(spark, "/root/testdata/sf0.001/pages.parquet", out, section="en", exclude="/de/", downloaded="T")
+    docs = spark.read.text(f"{out}/documents", wholetext=True)
+    assert docs.count() > 0
+    one = docs.first()[0]
+    assert "**Downloaded:** T" in one or one.startswith("\n")
+    diag = spark.read.json(f"{out}/diagnostics")
+    assert {"site", "pages_downloaded", "pages_per_second"} <= set(diag.columns)
