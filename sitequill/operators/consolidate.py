@@ -162,10 +162,14 @@ def order_pages(pages: DataFrame, hierarchy: DataFrame | None) -> DataFrame:
     -score. k2 = url breaks ties (the reference's ties follow fetch order).
     """
     if hierarchy is not None:
+        # A site without any hierarchy entry falls back to the heuristic order.
+        mapped_sites = hierarchy.select(F.col("site").alias("_hs")).distinct()
         p = hierarchy_lookup(pages, hierarchy)
-        return p.select(*pages.columns, "h_level", "h_section",
-                        F.coalesce(F.col("h_ord").cast("decimal(38,0)"), F.lit(UNMAPPED_ORDER).cast("decimal(38,0)")).alias("k1"),
-                        F.col("url").alias("k2"))
+        p = p.join(mapped_sites, p.site == mapped_sites._hs, "left")
+        k1 = F.when(F.col("_hs").isNotNull(),
+                    F.coalesce(F.col("h_ord").cast("decimal(38,0)"), F.lit(UNMAPPED_ORDER).cast("decimal(38,0)"))
+                    ).otherwise(-heuristic_score(F.col("title"), F.col("url")))
+        return p.select(*pages.columns, "h_level", "h_section", k1.alias("k1"), F.col("url").alias("k2"))
     return pages.select(*pages.columns, F.lit(None).cast("int").alias("h_level"),
                         F.lit(None).cast("string").alias("h_section"),
                         (-heuristic_score(F.col("title"), F.col("url"))).alias("k1"), F.col("url").alias("k2"))

@@ -62,13 +62,15 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
         "site", "url", F.col("body").alias("html"))
     # One captured body per URL (the smallest when a URL was captured twice).
     html = html.groupBy("site", "url").agg(F.min("html").alias("html"))
-    todo = rest.join(html, ["site", "url"]).select("site", "url", "title", "html")
-    md = X.map_pages(todo, X.markdown_rows, "content string, h1_title string",
-                     id_col="site", keep_url=True, carry=["title"])
-    scraped = md.where(
-        P.min_content(F.col("content"), F.col("h1_title"))
-    ).select("site", "url", F.coalesce(F.nullif("h1_title", F.lit("")), "title", F.lit("Untitled Page")).alias("title"),
-             "content")
+    # Remaining pages come from rendered captures: kept when the main content is
+    # non-empty, titled by the content's h1, else by the document title.
+    todo = rest.join(html, ["site", "url"]).select("site", "url", "html")
+    md = X.map_pages(todo, X.rendered_page_rows, "content string, h1_title string, doc_title string",
+                     id_col="site", keep_url=True)
+    scraped = md.where(F.col("content") != "").select(
+        "site", "url",
+        F.when(F.coalesce(F.col("h1_title"), F.lit("")) != "", F.col("h1_title")).otherwise(F.col("doc_title")).alias("title"),
+        "content")
     site_pages = cut_lineage(native.unionByName(scraped))
     hierarchy = fused.select("site", "url", F.col("depth").alias("level"), "ord",
                              F.lit(None).cast("string").alias("section"))

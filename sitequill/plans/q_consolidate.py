@@ -53,7 +53,8 @@ def _ordered_sql(hierarchy: bool, pages_sql: str | None = CP.PAGES_SQL,
     if hierarchy:
         return f"""{_mapped_sql(pages_sql, hier_sql)},
 ordered AS (
-  SELECT *, CAST(coalesce(h_ord, {C.UNMAPPED_ORDER}) AS DECIMAL(38,0)) AS k1, url AS k2 FROM mapped
+  SELECT *, CASE WHEN site IN (SELECT site FROM chier) THEN CAST(coalesce(h_ord, {C.UNMAPPED_ORDER}) AS DECIMAL(38,0))
+                 ELSE -({_score_sql('title', 'url')}) END AS k1, url AS k2 FROM mapped
 )"""
     defs = f"cpages AS ({pages_sql}),\n" if pages_sql is not None else ""
     return f"""

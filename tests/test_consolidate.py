@@ -56,3 +56,19 @@ def test_heuristic_score(spark):
     df = spark.createDataFrame([("Getting Started 2", "https://x/a/b"), ("Intro", "https://x/a")], "title string, url string")
     got = [r[0] for r in df.select(C.heuristic_score(F.col("title"), F.col("url"))).collect()]
     assert [int(g) for g in got] == [1000 + 900 + 798 + 97 + 45, 1000 + 99 + 46]
+
+
+def test_site_without_hierarchy_uses_heuristic_order(spark):
+    pages = spark.createDataFrame([
+        ("m", "https://m.example/b", "Beta", "b body"), ("m", "https://m.example/a", "Alpha", "a body"),
+        ("h", "https://h.example/z/deep/page", "Zeta", "z body"), ("h", "https://h.example/intro", "Introduction", "i body"),
+    ], "site string, url string, title string, content string")
+    hier = spark.createDataFrame([("m", "https://m.example/b", 1, 0, None), ("m", "https://m.example/a", 1, 1, None)],
+                                 "site string, url string, level int, ord int, section string")
+    bases = spark.createDataFrame([("m", "https://m.example"), ("h", "https://h.example")], "site string, base_url string")
+    blocks = C.consolidate(pages, hier, bases, "T0").where("part = 1").orderBy("site", "k1", "k2").collect()
+    order = {}
+    for r in blocks:
+        order.setdefault(r.site, []).append(r.block.split("\n", 1)[0])
+    assert order["m"] == ["## Beta", "## Alpha"]                 # sidebar order
+    assert order["h"] == ["## Introduction", "## Zeta"]          # no hierarchy: intro words first
