@@ -72,3 +72,29 @@ def test_site_without_hierarchy_uses_heuristic_order(spark):
         order.setdefault(r.site, []).append(r.block.split("\n", 1)[0])
     assert order["m"] == ["## Beta", "## Alpha"]                 # sidebar order
     assert order["h"] == ["## Introduction", "## Zeta"]          # no hierarchy: intro words first
+
+
+def test_sink_splits_a_site_over_ordered_part_files(spark, tmp_path):
+    import glob
+    import os
+
+    pages = spark.createDataFrame(
+        [("big", f"https://big.example/p{i:03d}", f"Page {i}", f"# H{i}\nbody {i}\n") for i in range(60)]
+        + [("small", "https://small.example/x", "X", "x body")],
+        "site string, url string, title string, content string")
+    hier = spark.createDataFrame([("big", f"https://big.example/p{i:03d}", 1, 60 - i, None) for i in range(60)],
+                                 "site string, url string, level int, ord int, section string")
+    bases = spark.createDataFrame([("big", "https://big.example"), ("small", "https://small.example")],
+                                  "site string, base_url string")
+    blocks = C.consolidate(pages, hier, bases, "T0")
+    want = {}
+    for r in blocks.orderBy("site", "part", "k1", "k2").collect():
+        want.setdefault(r.site, []).append(r.block)
+    out = str(tmp_path / "docs")
+    C.sink_documents(blocks, out, n_partitions=6)
+    big_parts = sorted(glob.glob(os.path.join(out, "site=big", "part-*")))
+    assert len(big_parts) > 1                      # the hot site spans several files
+    for site, bl in want.items():
+        files = sorted(glob.glob(os.path.join(out, f"site={site}", "part-*")))
+        text = "".join(open(f, encoding="utf-8").read() for f in files)
+        assert text == "\n".join(bl)               # files in name order = the document
