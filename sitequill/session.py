@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -60,12 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system; a
-    machine-local folder is used only when nothing is configured (tests).
+    machine-local folder is used only in local mode (tests), where driver and
+    executors are one process. Anywhere else an unset folder is an error: each
+    executor would write to its own disk and later reads would miss rows.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="sitequill-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -73,13 +78,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """Shuffle files of an execution go when it ends: what it wrote stays."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: later stages start from the written files (an executor loss
     recomputes nothing upstream), the data is computed once, AQE still sizes
     the written partitions, and readers prune columns. Never a local checkpoint.
+    The shuffle files behind the written table are dropped with its execution.
     """
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cut-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    schema = df.schema
+    with _dropping_shuffles(spark):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
