@@ -40,7 +40,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     """``mapInArrow`` with a schema given as (name, type) pairs."""
     schema = T.StructType()
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind)
     return df.mapInArrow(fn, schema)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_decode_digests
 from .common import documents
 from .packing import pack_documents
+from .simhash import simhash_classes
+from .substring_dedup import remove_repeated_windows
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +29,38 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     s AS (SELECT doc_id, unnest(range(len(ws) - 34)) AS p, ws FROM w WHERE len(ws) >= 35),
+     g AS (SELECT doc_id, p, md5(array_to_string(ws[p + 1 : p + 35], ' ')) AS h FROM s),
+     r AS (SELECT doc_id, p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+     c AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM r) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(coalesce(k.kept, CASE WHEN gone IS NULL THEN ws ELSE [] END), ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+LEFT JOIN (SELECT t.doc_id, list(t.x ORDER BY t.i) AS kept
+           FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w) t
+           JOIN c ON t.doc_id = c.doc_id
+           LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM c) o ON t.doc_id = o.doc_id AND t.i = o.i
+           WHERE o.i IS NULL GROUP BY t.doc_id) k ON w.doc_id = k.doc_id
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(documents(spark, sf_dir), digest=True)
+
+
 @query("op2_bpe_codec")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(documents(spark, sf_dir))
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
