@@ -8,23 +8,23 @@ the documents, however unequal their lengths. A document whose hashes all lie
 above the threshold keeps its smallest one, so only documents without words
 have an empty sketch.
 
-The hash is MD5, as SQL engines agree on it; "below a fraction of 1/16" is
-then "its first hexadecimal digit is 0", a plain string comparison.
+The hash is the first 64 bits of MD5, as SQL engines agree on it; "below a
+fraction of 1/16" is then "its first hexadecimal digit is 0", a plain string
+comparison.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_text
+from ..operators.scan import neighbor_value
+from .common import id_text
 
 SHINGLE_WORDS = 5
 #: Hashes below this string are retained: one in 16.
 THRESHOLD = "1"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of a run of neighbouring ids that are handled together.
-RUN_ROWS = 2000
 
 
 def words(text: Column) -> Column:
@@ -37,7 +37,7 @@ def sketch(text: Column, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOL
 
     def retained(w: Column) -> Column:
         n = F.greatest(F.size(w) - (shingle - 1), F.least(F.size(w), F.lit(1)))
-        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice(w, i, shingle), " ").cast("binary")))
+        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, shingle), " ").cast("binary")), 1, 16))
         return F.when(n > 0, hashes).otherwise(F.array().cast("array<string>"))
 
     def kept(hashes: Column) -> Column:
@@ -70,41 +70,73 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str =
     return id_text(docs, id_col, text_col).select("doc_id", sketch(F.col("text"), shingle, threshold).alias("sketch"))
 
 
-def _runs(ids: DataFrame, rows: int) -> list:
-    """Bounds of runs of neighbouring ids, each with about ``rows`` rows; as
-    many as the table has times ``rows``, so a short list beside the table."""
-    n = ids.count()
-    parts = max(1, n // rows)
-    if parts == 1:
-        return []
-    found = ids.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(x) for x in found})
+def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of every row and of its edited text: the last
+    floor(n_chars / 2) code points replaced by as many first ones (or all) of
+    the next row by falling doc_id; the last row's next is the first.
 
+    The order is found on thin rows, range-partitioned. Each row then meets
+    the row before it, learns how much of its text that one needs, and sends
+    only this part and its sketch; its own text is shuffled once.
 
-def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOLD, id_col: str = "doc_id",
-                        text_col: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
-    """Fingerprints of every row and of its edited text.
-
-    The edited text has the last floor(n_chars / 2) code points replaced by
-    as many first ones (or all) of the next row, by falling doc_id (rows that
-    share an id by falling text); the last row's next is the first. Rows are
-    dealt out by runs of neighbouring ids, and the first row of a run is
-    handed to the run before it, so no task sees more than a run.
-
-    Null texts are empty and null ids come last; repeated rows are rows of
-    their own; a single row is its own next; an empty table gives an empty
-    result; other columns are not read.
+    Null texts are empty and null ids come last; rows that share an id are
+    ordered by a hash of their text, and rows equal in both are one document
+    with one result on each of its rows; a single document is its own next;
+    an empty table gives an empty result; other columns are not read.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint and
     edited_fingerprint (MD5 of the sketch), near_edited, near_next
-    (``likeness``), sketch_size.
+    (``likeness``) and sketch_size.
     """
     src = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    bounds = _runs(src.where("doc_id IS NOT NULL").select("doc_id"), run_rows)
-    # Run numbers rise as ids fall: 0 for the greatest ids, the last for nulls.
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    run = F.lit(len(bounds)) - F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    if bounds:
-        run = F.lit(len(bounds)) - _count_at_most(F.col("doc_id"), bounds)
-    src = src.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(run))
-    return src
+    src = src.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", F.lit(7)).alias("k2"), "text", F.length("text").cast("long").alias("n_chars"))
+    full = src.withColumn("sketch", sketch(F.col("text"), shingle, threshold))
+
+    order = src.select("doc_id", "k1", "k2", "n_chars").distinct()
+    me = F.struct("k1", "k2", "n_chars")
+    least = order.agg(F.min(F.struct("doc_id", "k1", "k2", "n_chars"))).first()[0]
+    if least is None:
+        lowest = F.lit(None).cast("struct<k1:bigint,k2:int,n_chars:bigint>")
+    else:
+        lowest = F.struct(F.lit(least["k1"]).cast("long").alias("k1"), F.lit(least["k2"]).cast("int").alias("k2"), F.lit(least["n_chars"]).cast("long").alias("n_chars"))
+    # Rising ids: the row that follows is the one whose edited text begins with this row's.
+    chain = neighbor_value(order.select("doc_id", "k1", me.alias("me"), F.lit(0).alias("all")), "all", ["doc_id", "k1"], "me", "before", "next")
+    chain = chain.select(F.col("me.k1").alias("c1"), F.col("me.k2").alias("c2"), F.coalesce("before", lowest).alias("before"))
+
+    here = full.join(chain, (full["k1"] == chain["c1"]) & (full["k2"] == chain["c2"])).drop("c1", "c2")
+    sent = here.groupBy(F.col("before.k1").alias("b1"), F.col("before.k2").alias("b2")).agg(
+        F.first(F.expr("left(text, cast(before.n_chars div 2 as int))")).alias("head"), F.first("sketch").alias("next_sketch"))
+    met = here.join(sent, (here["k1"] == sent["b1"]) & (here["k2"] == sent["b2"]))
+    edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "head"))
+    both = edited.withColumn("edited_sketch", sketch(F.col("edited"), shingle, threshold))
+    return both.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.size("sketch").cast("long").alias("sketch_size"))
+
+
+def _sql_sketch(text: str) -> str:
+    """DuckDB expression of ``sketch``."""
+    w = f"list_filter(string_split_regex({text}, '{WHITE_SPACE}'), lambda w: w <> '')"
+    k = SHINGLE_WORDS
+    hashes = (f"list_transform([{w}], lambda ws: CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(greatest(len(ws) - {k - 1}, 1)), "
+              f"lambda i: left(md5(array_to_string(ws[i + 1 : i + {k}], ' ')), 16)) END)")
+    return (f"list_transform({hashes}, lambda hs: CASE WHEN len(hs) > 0 AND len(list_filter(hs, lambda h: h < '{THRESHOLD}')) = 0 "
+            f"THEN [list_min(hs)] ELSE list_sort(list_distinct(list_filter(hs, lambda h: h < '{THRESHOLD}'))) END)[1]")
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    return (f"CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b})) "
+            f"WHEN len({a}) = len({b}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
+
+
+EDITED_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+     e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx FROM d),
+     f AS (SELECT *, left(t, n - n // 2) || left(nx, n // 2) AS ed FROM e),
+     g AS (SELECT *, {_sql_sketch("t")} AS a, {_sql_sketch("ed")} AS b, {_sql_sketch("nx")} AS c FROM f)
+SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, md5(array_to_string(a, '')) AS fingerprint, md5(array_to_string(b, '')) AS edited_fingerprint,
+       {_sql_likeness("a", "b")} AS near_edited, {_sql_likeness("a", "c")} AS near_next, CAST(len(a) AS BIGINT) AS sketch_size
+FROM g
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_decode_digests
 from .common import documents
+from .fingerprints import EDITED_SQL, edited_fingerprints
 from .packing import pack_documents
 from .simhash import simhash_classes
 from .substring_dedup import remove_repeated_windows
@@ -69,3 +70,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_document_fingerprints", EDITED_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
