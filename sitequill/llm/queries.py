@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_decode_digests
 from .common import documents
 from .fingerprints import EDITED_SQL, edited_fingerprints
+from .language_id import predict, train
 from .packing import pack_documents
 from .simhash import simhash_classes
 from .substring_dedup import remove_repeated_windows
@@ -57,6 +58,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    return predict(docs, train(docs, pieces), pieces)
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
