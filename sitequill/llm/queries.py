@@ -8,10 +8,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pu_quality, quality_rules
 from .bpe_codec import encode_decode_digests
+from ..sources.tables import read_table
 from .common import documents
 from .fingerprints import EDITED_SQL, edited_fingerprints
 from .language_id import predict, train
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .simhash import simhash_classes
 from .substring_dedup import remove_repeated_windows
@@ -58,12 +61,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+query("op3_quality_rules", quality_rules.SQL)(quality_rules.query)
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pieces = documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
     return predict(docs, train(docs, pieces), pieces)
 
 
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pu_quality.score_documents(docs, pu_quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir))
