@@ -12,7 +12,6 @@ from ..session import cut_lineage
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap-pages.xml", "/sitemap_index.xml"]
 
 SITEMAP_SCHEMA = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>"
-MAX_INDEX_DEPTH = 16
 
 
 def scan_sitemaps(fetches: DataFrame) -> DataFrame:
@@ -32,35 +31,37 @@ def parse_sitemap(bodies: DataFrame) -> DataFrame:
     """
     x = bodies.select("site", F.col("url").alias("sitemap_url"),
                       F.from_xml("body", SITEMAP_SCHEMA, {"mode": "PERMISSIVE"}).alias("x"))
-    pages = x.select("site", "sitemap_url", F.lit("url").alias("kind"),
-                     F.explode_outer("x.url.loc").alias("loc"))
-    children = x.select("site", "sitemap_url", F.lit("sitemap").alias("kind"),
-                        F.explode_outer("x.sitemap.loc").alias("loc"))
-    return pages.unionByName(children).where(F.col("loc").isNotNull()).select(
-        "site", "sitemap_url", "kind", F.trim("loc").alias("loc"))
 
+    def entries(field: str, kind: str):
+        locs = F.coalesce(F.col(f"x.{field}.loc"), F.array().cast("array<string>"))
+        return F.transform(locs, lambda l: F.struct(F.lit(kind).alias("kind"), F.trim(l).alias("loc")))
 
-def resolve_sitemap_index(fetches: DataFrame, start: DataFrame, max_depth: int = MAX_INDEX_DEPTH) -> DataFrame:
+    # One generator over both lists: a body is parsed once.
+    both = x.select("site", "sitemap_url", F.inline(F.concat(entries("url", "url"), entries("sitemap", "sitemap"))))
+    return both.where(F.col("loc").isNotNull())
+
+
+def resolve_sitemap_index(fetches: DataFrame, start: DataFrame, distinct: bool = True) -> DataFrame:
     """Page URLs reachable from ``start(site, url)`` sitemaps.
 
     Frontier loop: parse the frontier's bodies, collect page locs, and follow
-    child sitemaps not seen before (``left_anti`` on the seen set, so a cycle
-    ends). Each round is checkpointed to cut lineage. The driver only tests the
-    frontier for emptiness. Returns distinct (site, url).
+    child sitemaps not seen before, until no new one is found; a cycle ends
+    because its sitemaps are in the seen set, and no depth is too deep. Parsed
+    rows and frontiers are written each round, so the seen set is a union of
+    leaf tables and no plan grows with the depth. The driver only tests the
+    frontier for emptiness. Returns (site, url), distinct unless
+    ``distinct=False`` keeps every listing.
     """
     bodies = fetches.where((F.col("status") == 200) & (F.col("kind") == "sitemap")).select("site", "url", "body")
-    frontier = start.select("site", "url").distinct()
-    seen = frontier
-    found = None
-    for _ in range(max_depth):
-        # Checkpointed once per round: it feeds both the page URLs and the next frontier.
+    frontier = cut_lineage(start.select("site", "url").distinct())
+    seen, found = frontier, None
+    while True:
+        # Feeds both the page URLs and the next frontier.
         parsed = cut_lineage(parse_sitemap(frontier.join(bodies, ["site", "url"])))
         locs = parsed.where(F.col("kind") == "url").select("site", F.col("loc").alias("url"))
         found = locs if found is None else found.unionByName(locs)
-        nxt = (parsed.where(F.col("kind") == "sitemap").select("site", F.col("loc").alias("url")).distinct()
-               .join(seen, ["site", "url"], "left_anti"))
-        if nxt.isEmpty():
-            break
-        seen = seen.unionByName(nxt)
-        frontier = nxt
-    return found.distinct()
+        children = parsed.where(F.col("kind") == "sitemap").select("site", F.col("loc").alias("url")).distinct()
+        frontier = cut_lineage(children.join(seen, ["site", "url"], "left_anti"))
+        if frontier.isEmpty():
+            return found.distinct() if distinct else found
+        seen = seen.unionByName(frontier)
