@@ -132,12 +132,15 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
+    """Tree of a page. The standard parser gives up on a few malformed
+    declarations with an AssertionError; what it has not read by then is kept
+    as text, so no page loses content."""
     b = _Builder()
     try:
         b.feed(html or "")
         b.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was built
-        pass
+    except AssertionError:
+        b.handle_data(b.rawdata)
     return b.root
 
 

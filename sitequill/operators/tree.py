@@ -8,6 +8,7 @@ extraction); verification and healing are joins over all sites at once.
 
 from __future__ import annotations
 
+from collections import Counter
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..session import cut_lineage
 from . import extract as X
+from .extract import list_items
 from .htmltree import Node, parse, select_any
 
 ROOT_TITLE = "Documentation Root"
@@ -25,114 +27,91 @@ CRUMB_HEADS = ["home", "docs"]
 # Breadcrumb items, nav[aria-label='Breadcrumb'] li and .gitbook-breadcrumbs a.
 BREADCRUMB_SELECTORS = [[(("tag", "nav"), ("attr", "aria-label", "Breadcrumb")), (("tag", "li"),)],
                         [(("class", "gitbook-breadcrumbs"),), (("tag", "a"),)]]
-MAX_CRUMB_DEPTH = 32
 
 
 def _is_toclink(n: Node) -> bool:
     return n.tag == "a" and any("toclink" in c for c in n.classes)
 
 
-def _direct_link(li: Node) -> Node | None:
-    a = li.find(lambda n: n.tag == "a", recursive=False)
-    if a is None:
-        wrap = li.find(lambda n: n.tag == "div", recursive=False)
-        if wrap is not None:
-            a = wrap.find(lambda n: n.tag == "a", recursive=False)
-    return a
-
-
 def layout_kind(root: Node) -> tuple[str, int]:
     n = len(root.find_all(_is_toclink))
     return ("flat" if n > FLAT_MIN_TOCLINKS else "nested"), n
 
 
+def _target(link: Node, base_url: str) -> str | None:
+    href = link.get("href")
+    return urljoin(base_url, href).partition("#")[0] if href else None
+
+
+def _enclosing_items(n: Node) -> list[Node]:
+    """The ``li`` elements around a node, nearest first."""
+    found = []
+    while (n := n.parent) is not None:
+        if n.tag == "li":
+            found.append(n)
+    return found
+
+
+def _links_below(link: Node) -> list[Node]:
+    """Table-of-contents links that belong under one: for each list beside it
+    in its item the first such link of every entry, elsewhere every one."""
+    found: list[Node] = []
+    for part in (_enclosing_items(link) or [Node("li")])[0].elements():
+        if part.tag == "a":
+            continue
+        inner = part if part.tag == "ul" else part.find(lambda n: n.tag == "ul") if part.tag == "div" else None
+        if inner is None:
+            found += part.find_all(_is_toclink)
+        else:
+            firsts = (li.find(_is_toclink) for li in inner.elements() if li.tag == "li")
+            found += [a for a in firsts if a is not None]
+    return found
+
+
+def _flat_nodes(root: Node, base_url: str):
+    """(parent, title, level, url) of flat layouts; a URL is placed once."""
+    links = root.find_all(_is_toclink)
+    depths = [len(_enclosing_items(a)) for a in links]
+    todo = [(a, 0, 1) for a, d in zip(links, depths, strict=True) if d == min(depths)][::-1]
+    placed: set[str] = set()
+    count = 0
+    while todo:
+        link, parent, level = todo.pop()
+        url = _target(link, base_url)
+        if url in placed:
+            continue
+        if url:
+            placed.add(url)
+        count += 1
+        yield parent, link.text(strip=True), level, url
+        todo += [(a, count, level + 1) for a in reversed(_links_below(link))]
+
+
+def _nested_nodes(root: Node, base_url: str):
+    """(parent, title, level, url) of nested lists. A header without a list of
+    its own takes the links that follow it in its list, up to the next header."""
+    top = root.find(lambda n: n.tag == "ul")
+    header_of: dict[int, int | None] = {}  # by holder: the header that takes the next links
+    for i, item in enumerate(list_items(top) if top is not None else []):
+        if item.link is None:
+            title, url, parent = (item.labels or ["Unknown"])[0], None, item.holder + 1
+            header_of[item.holder] = None if item.holds_list else i + 1
+        else:
+            title, url = item.link.text(strip=True), _target(item.link, base_url)
+            parent = header_of.get(item.holder) or item.holder + 1
+        yield parent, title, item.level, url
+
+
 def build_tree(root: Node, base_url: str) -> list[tuple]:
-    """Nodes (node_id, parent_id, title, level, url, sib_ord) of a page's tree."""
-    nodes: list[list] = []  # node_id is the index + 1; the root is 0
-    kids = {0: 0}
-
-    def add(title, level, url, parent):
-        nid = len(nodes) + 1
-        nodes.append([nid, parent, title, level, url, kids.get(parent, 0)])
-        kids[parent] = kids.get(parent, 0) + 1
-        return nid
-
-    def resolve(href):
-        return urljoin(base_url, href).split("#")[0] if href else None
-
-    kind, _ = layout_kind(root)
-    if kind == "flat":
-        links = root.find_all(_is_toclink)
-        depth = {}
-        for a in links:
-            d, p = 0, a.parent
-            while p is not None:
-                d += p.tag == "li"
-                p = p.parent
-            depth[id(a)] = d
-        min_depth = min(depth.values())
-        seen: set = set()
-
-        def visit(link, parent, level):
-            url = resolve(link.get("href"))
-            if url and url in seen:
-                return
-            if url:
-                seen.add(url)
-            nid = add(link.text(strip=True), level, url, parent)
-            li = link.parent
-            while li is not None and li.tag != "li":
-                li = li.parent
-            if li is None:
-                return
-            for child in li.elements():
-                if child.tag == "a":
-                    continue
-                ul = child.find(lambda n: n.tag == "ul") if child.tag == "div" else (child if child.tag == "ul" else None)
-                if ul is not None:
-                    for c_li in ul.find_all(lambda n: n.tag == "li", recursive=False):
-                        for c in c_li.find_all(lambda n: n.tag == "a"):
-                            if _is_toclink(c):
-                                visit(c, nid, level + 1)
-                                break
-                else:
-                    for sl in child.find_all(_is_toclink):
-                        visit(sl, nid, level + 1)
-
-        for a in links:
-            if depth[id(a)] == min_depth:
-                visit(a, 0, 1)
-        return [tuple(n) for n in nodes]
-
-    root_ul = root.find(lambda n: n.tag == "ul")
-    if root_ul is None:
-        box = root.find(lambda n: n.tag == "div" and n.get("data-testid") == "toc-scroll-container")
-        root_ul = box.find(lambda n: n.tag == "ul") if box is not None else None
-    if root_ul is None:
-        return []
-
-    def walk(ul, parent, level):
-        section = None
-        for li in ul.find_all(lambda n: n.tag == "li", recursive=False):
-            a = _direct_link(li)
-            title, url, kind_b = "Unknown", None, a is None
-            if a is not None:
-                title, url = a.text(strip=True), resolve(a.get("href"))
-            else:
-                for d in li.find_all(lambda n: n.tag == "div", recursive=False):
-                    if d.find(lambda n: n.tag == "a") is None:
-                        title = d.text(strip=True)
-                        break
-            target = section if (not kind_b and section is not None) else parent
-            nid = add(title, level, url, target)
-            nested = li.find(lambda n: n.tag == "ul")
-            if kind_b:
-                section = None if nested is not None else nid
-            if nested is not None:
-                walk(nested, nid, level + 1)
-
-    walk(root_ul, 0, 1)
-    return [tuple(n) for n in nodes]
+    """Nodes (node_id, parent_id, title, level, url, sib_ord) of a page's tree;
+    ids count from 1 in document order, 0 is the root."""
+    rows = _flat_nodes if layout_kind(root)[0] == "flat" else _nested_nodes
+    siblings: Counter[int] = Counter()
+    nodes = []
+    for node_id, (parent, title, level, url) in enumerate(rows(root, base_url), 1):
+        nodes.append((node_id, parent, title, level, url, siblings[parent]))
+        siblings[parent] += 1
+    return nodes
 
 
 def breadcrumbs(root: Node) -> list[str]:
@@ -157,8 +136,7 @@ def _layout_rows(url, html):
 
 def _crumb_rows(url, html):
     root = parse(html)
-    t = root.find(lambda n: n.tag == "title")
-    yield breadcrumbs(root), (t.text() if t is not None else "")
+    yield breadcrumbs(root), X.document_title(root)
 
 
 def page_trees(pages: DataFrame) -> DataFrame:
@@ -189,7 +167,7 @@ def heal_tree(tree: DataFrame, missing: DataFrame, crumbs: DataFrame) -> DataFra
     A leading ``home``/``docs``/root-title crumb is dropped; the last crumb is
     the page title; each other crumb names a directory, matched
     case-insensitively against existing children level by level (first
-    sibling wins, a bounded loop of joins), else created once per distinct
+    sibling wins, one join per level until no path is left to match), else created once per distinct
     path. No crumbs: the page goes under the root at level 1 with its title.
     Returns new nodes (site, node_id string, parent_id string, title, level, url).
     """
@@ -210,7 +188,7 @@ def heal_tree(tree: DataFrame, missing: DataFrame, crumbs: DataFrame) -> DataFra
                        F.col("node_id").cast("string").alias("child"), "level", "sib_ord")
     state = w.select("site", "url", "self_title", "dirs", F.lit("0").alias("node"), F.lit(0).alias("lvl"),
                      F.lit(1).alias("d"), F.lit(False).alias("done"))
-    for _ in range(MAX_CRUMB_DEPTH):
+    while True:  # every round ends a path or shortens it, so the deepest one bounds the rounds
         active = state.where(~F.col("done") & (F.col("d") <= F.size("dirs")))
         if active.isEmpty():
             break

@@ -30,10 +30,16 @@ def test_markdown_of_main_content():
     assert title == "Install  Guide"
     assert content == (
         "# Install  Guide\n\nFirst bold words.\n\n- one\n- two 2\n\n```\ncode  block\n```\n\n"
-        "| A | B |\n| --- | --- |\n| 1 |  |\n\nMath $x^2$ done\n\n![pic](/i.png)\n\nloose text inline"
+        "| A | B |\n| --- | --- |\n| 1 |  |\n\nMath $x^2$ done\n\n![pic](/i.png)\n loose text inline"
     )
 
 
+def test_loose_text_joins_even_a_blank_line():
+    assert X.page_markdown("<div class=content><p>a</p>tail</div>")[0] == "a\n tail"
+    assert X.page_markdown("<main><p>a</p>tail<b>x</b></main>")[0] == "a\n\ntail x"
+    assert X.page_markdown("<div class=content><p>a</p><b>bold</b> on</div>")[0] == "a\n\nbold on"
+
+
 def test_plain_text_and_title():
     assert X.page_text(PAGE).startswith("Install  GuideFirst bold words.")
     assert X.html_title(parse(PAGE)) == "Install  Guide"

@@ -1,77 +1,71 @@
-"""Filters and the image-link rewrite against plain-Python statements of the rules."""
-
-import re
-from pathlib import PurePosixPath
-from urllib.parse import urlparse
+"""Filters and the image-link rewrite against tables of inputs and expected values."""
 
 from pyspark.sql import functions as F
 
 from sitequill.functions import predicates as P
 from sitequill.operators import assets as A
 
-URLS = [
-    "https://h.example/docs/page", "https://h.example/search?q=1", "https://h.example/API/v1",
-    "https://h.example/a/style.CSS", "https://h.example/img/x.png", "https://other.example/docs",
-    "mailto:me@h.example", "https://h.example/login/", "https://h.example/sign/register-now",
-    "https://h.example/x.pdf#p2", "https://h.example/file.tar.gz?dl=1", "#top", "",
-    "https://h.example/path/twitter.com/x", "https://h.example/assets/logo.svg",
+PREDICATES = [
+    # url, valid page of h.example, blocked link, asset, kept by 'DOCS' without '/x' and 'api'
+    ('https://h.example/docs/page', True, False, False, True),
+    ('https://h.example/search?q=1', False, False, False, False),
+    ('https://h.example/API/v1', False, False, False, False),
+    ('https://h.example/a/style.CSS', False, False, False, False),
+    ('https://h.example/img/x.png', False, False, True, False),
+    ('https://other.example/docs', False, False, False, True),
+    ('mailto:me@h.example', False, False, False, False),
+    ('https://h.example/login/', False, True, False, False),
+    ('https://h.example/sign/register-now', True, True, False, False),
+    ('https://h.example/x.pdf#p2', True, False, True, False),
+    ('https://h.example/file.tar.gz?dl=1', True, False, True, False),
+    ('#top', False, False, False, False),
+    ('', False, False, False, False),
+    ('https://h.example/path/twitter.com/x', True, True, False, False),
+    ('https://h.example/assets/logo.svg', False, False, True, False),
 ]
 
 
-def valid_py(url, base):
-    if not url or url.startswith('#'):
-        return False
-    if urlparse(url).netloc != base:
-        return False
-    pats = [r'/search', r'/login', r'/logout', r'/edit', r'/admin', r'/api/', r'/assets/', r'/static/',
-            r'\.(css|js|json|xml|rss|txt)$', r'\.(jpg|png|gif|svg|ico|pdf)$', r'mailto:', r'tel:', r'javascript:']
-    return not any(re.search(p, url.lower()) for p in pats)
-
-
-def blocked_py(url):
-    return any(x in urlparse(url).path.lower() for x in P.LINK_BLOCKLIST)
-
-
-def asset_py(url):
-    return any(urlparse(url).path.lower().endswith(e) for e in P.ASSET_EXTENSIONS)
-
-
 def test_url_predicates(spark):
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "i int, u string")
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(PREDICATES)], "i int, u string")
     rows = df.orderBy("i").select(
-        P.valid_page_url(F.col("u"), F.lit("h.example")).alias("valid"),
-        P.link_blocked("u").alias("blocked"), P.asset_extension("u").alias("asset"),
-        P.include_exclude("u", "DOCS", " /x , ,api").alias("keep")).collect()
-    for u, r in zip(URLS, rows):
-        assert bool(r.valid) == valid_py(u, "h.example"), u
-        assert r.blocked == blocked_py(u), u
-        assert r.asset == asset_py(u), u
-        keep = "docs" in u.lower() and not any(t in u.lower() for t in ["/x", "api"])
-        assert r.keep == keep, u
+        "u", F.coalesce(P.valid_page_url(F.col("u"), F.lit("h.example")), F.lit(False)), P.link_blocked("u"), P.asset_extension("u"),
+        P.include_exclude("u", "DOCS", " /x , ,api")).collect()
+    assert [tuple(r) for r in rows] == PREDICATES
+
+
+def test_case_sensitive_section(spark):
+    df = spark.createDataFrame([(u,) for u in ("https://h/docs/a", "https://h/DOCS/a", "https://h/x")], "u string")
+    assert [r.u for r in df.where(P.include_exclude("u", "docs", None, case_sensitive=True)).collect()] == ["https://h/docs/a"]
+    assert [r.u for r in df.where(P.include_exclude("u", "docs", None)).collect()] == ["https://h/docs/a", "https://h/DOCS/a"]
+
+
+CONTENT = [
+    # content, title, looks like Markdown, enough content
+    ("<!DOCTYPE html><p>", "t", False, True),
+    ("  \n<!doctype HTML>", None, False, False),
+    ("# Title", None, True, False),
+    ("", "t", True, False),
+    ("short", None, True, False),
+    ("short", "T", True, True),
+    ("x" * 51, None, True, True),
+    ("   " + "y" * 50 + "  ", None, True, False),
+]
 
 
 def test_markdown_and_content_predicates(spark):
-    vals = [("<!DOCTYPE html><p>", "t"), ("  \n<!doctype HTML>", None), ("# Title", None), ("", "t"),
-            ("short", None), ("short", "T"), ("x" * 51, None), ("   " + "y" * 50 + "  ", None)]
-    df = spark.createDataFrame(vals, "c string, t string")
-    got = df.select(P.looks_like_markdown("c").alias("md"), P.min_content(F.col("c"), F.col("t")).alias("mc")).collect()
-    for (c, t), r in zip(vals, got):
-        assert r.md == (not c.strip().lower().startswith("<!doctype html")), c
-        assert r.mc == bool(c and (len(c.strip()) > 50 or t)), c
+    df = spark.createDataFrame([(i, c, t) for i, (c, t, _, _) in enumerate(CONTENT)], "i int, c string, t string")
+    got = df.orderBy("i").select("c", "t", P.looks_like_markdown("c"), P.min_content(F.col("c"), F.col("t"))).collect()
+    assert [tuple(r) for r in got] == CONTENT
 
 
-def rewrite_py(content, assets_dir="assets"):
-    def repl(m):
-        name = PurePosixPath(urlparse(m.group(2)).path).name
-        if name and any(name.lower().endswith(e) for e in P.ASSET_EXTENSIONS):
-            return f"![{m.group(1)}]({assets_dir}/{name})"
-        return m.group(0)
-    return re.sub(r'!\[(.*?)\]\((.*?)\)', repl, content)
+REWRITTEN = {
+    "a ![logo](https://x.example/i/logo.PNG?v=2) b": "a ![logo](assets/logo.PNG) b",
+    "![](rel/pic.jpg#frag) and ![doc](/f/readme.md)": "![](assets/pic.jpg) and ![doc](/f/readme.md)",
+    "![x](https://x.example/) ![y](a.gif)": "![x](https://x.example/) ![y](assets/a.gif)",
+    "text [link](a.png) ![z](d/e.svg)": "text [link](a.png) ![z](assets/e.svg)",
+}
 
 
 def test_rewrite_asset_links(spark):
-    texts = ["a ![logo](https://x.example/i/logo.PNG?v=2) b", "![](rel/pic.jpg#frag) and ![doc](/f/readme.md)",
-             "![x](https://x.example/) ![y](a.gif)", "text [link](a.png) ![z](d/e.svg)"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r[0] for r in df.orderBy("i").select(A.rewrite_asset_links(F.col("t"))).collect()]
-    assert got == [rewrite_py(t) for t in texts]
+    df = spark.createDataFrame([(t,) for t in REWRITTEN], "t string")
+    assert {r.t: r.out for r in df.select("t", A.rewrite_asset_links(F.col("t")).alias("out")).collect()} == REWRITTEN

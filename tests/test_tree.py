@@ -44,92 +44,48 @@ def test_heal_tree(spark):
     ])
 
 
-def _heal_sequential(tree_rows, missing):
-    """Brute force: heal one URL at a time with plain Python (the rule, stated
-    sequentially). Returns {(path of ancestor titles, title, level, url)} of new nodes."""
-    nodes = {0: {"title": TR.ROOT_TITLE, "level": 0, "children": []}}
-    for nid, parent, title, level, url, sib in sorted(tree_rows, key=lambda r: (r[1], r[5])):
-        nodes[nid] = {"title": title, "level": level, "children": [], "parent": parent}
-        nodes[parent]["children"].append(nid)
-    new = []
-    counter = [10_000]
-
-    def path(nid):
-        out = []
-        while nid != 0:
-            out.append(nodes[nid]["title"].lower())
-            nid = nodes[nid]["parent"]
-        return tuple(reversed(out))
-
-    def add(parent, title, level, url):
-        counter[0] += 1
-        nodes[counter[0]] = {"title": title, "level": level, "children": [], "parent": parent}
-        nodes[parent]["children"].append(counter[0])
-        new.append((path(parent), title, level, url))
-        return counter[0]
-
-    for url, crumbs, page_title in missing:
-        crumbs = list(crumbs)
-        if not crumbs:
-            add(0, page_title, 1, url)
-            continue
-        if crumbs[0].lower() in TR.CRUMB_HEADS + [TR.ROOT_TITLE.lower()]:
-            crumbs.pop(0)
-        self_title = crumbs.pop(-1) if crumbs else "Untitled"
-        cur = 0
-        for seg in crumbs:
-            hit = next((c for c in nodes[cur]["children"] if nodes[c]["title"].lower() == seg.lower()), None)
-            cur = hit if hit is not None else add(cur, seg, nodes[cur]["level"] + 1, None)
-        add(cur, self_title, nodes[cur]["level"] + 1, url)
-    return set(new)
-
-
-def test_heal_tree_matches_sequential(spark):
-    import random
-
-    rnd = random.Random(7)
-    dirs = ["Guides", "API", "SDK", "Deep", "Intro", "Ops"]
-    tree_rows, nid = [], 0
-    for top in rnd.sample(dirs, 3):
-        nid += 1
-        tree_rows.append((nid, 0, top, 1, None, len([r for r in tree_rows if r[1] == 0])))
-        parent = nid
-        for sub in rnd.sample(dirs, 2):
-            nid += 1
-            tree_rows.append((nid, parent, sub, 2, None, len([r for r in tree_rows if r[1] == parent])))
-    missing = []
-    for i in range(40):
-        depth = rnd.randint(0, 3)
-        crumbs = [rnd.choice(dirs + [d.lower() for d in dirs]) for _ in range(depth)]
-        if crumbs and rnd.random() < 0.3:
-            crumbs.insert(0, rnd.choice(["Home", "docs", "Documentation Root"]))
-        if depth:
-            crumbs.append(f"Page {i}")
-        missing.append((f"https://s/p{i}", crumbs, f"Title {i}"))
-    tree = spark.createDataFrame([("s",) + r for r in tree_rows],
-                                 "site string, node_id int, parent_id int, title string, level int, url string, sib_ord int")
-    miss = spark.createDataFrame([("s", u) for u, _, _ in missing], "site string, url string")
-    crumbs = spark.createDataFrame([("s", u, c, t) for u, c, t in missing],
+def test_heal_tree_golden_paths(spark):
+    """Case-insensitive matches of existing directories, first sibling first;
+    one new directory for a path that several pages share; dropped heads."""
+    tree = spark.createDataFrame([
+        ("s", 1, 0, "Guides", 1, None, 0), ("s", 2, 0, "guides", 1, None, 1), ("s", 3, 1, "API", 2, None, 0), ("t", 1, 0, "API", 1, None, 0)],
+        "site string, node_id int, parent_id int, title string, level int, url string, sib_ord int")
+    cases = [
+        # url, crumbs, title, parent, level
+        ("u1", ["GUIDES", "Page"], "T1", "1", 2),
+        ("u2", ["Home", "Guides", "api", "Page"], "T2", "3", 3),
+        ("u3", ["Guides", "New", "Deep", "Page"], "T3", "dir:1/new/deep", 4),
+        ("u4", ["guides", "new", "deep", "Other"], "T4", "dir:1/new/deep", 4),
+        ("u5", ["Docs"], "T5", "0", 1),
+        ("u6", [], "T6", "0", 1),
+        ("u7", ["Documentation Root", "API", "Page"], "T7", "dir:0/api", 2),
+    ]
+    missing = spark.createDataFrame([("s", c[0]) for c in cases], "site string, url string")
+    crumbs = spark.createDataFrame([("s", c[0], c[1], c[2]) for c in cases], "site string, url string, crumbs array<string>, page_title string")
+    out = {r.node_id: r for r in TR.heal_tree(tree, missing, crumbs).collect()}
+    titles = {"u1": "Page", "u2": "Page", "u3": "Page", "u4": "Other", "u5": "Untitled", "u6": "T6", "u7": "Page"}
+    for url, _, _, parent, level in cases:
+        node = out.pop(f"page:{url}")
+        assert (node.title, node.parent_id, node.level, node.url) == (titles[url], parent, level, url)
+    assert {(r.node_id, r.parent_id, r.title.lower(), r.level) for r in out.values()} == {
+        ("dir:1/new", "1", "new", 2), ("dir:1/new/deep", "dir:1/new", "deep", 3), ("dir:0/api", "0", "api", 1)}
+
+
+def test_heal_tree_follows_deep_paths(spark):
+    depth = 40
+    rows = [("s", i, i - 1, f"D{i}", i, None, 0) for i in range(1, depth + 1)]
+    tree = spark.createDataFrame(rows, "site string, node_id int, parent_id int, title string, level int, url string, sib_ord int")
+    missing = spark.createDataFrame([("s", "u")], "site string, url string")
+    crumbs = spark.createDataFrame([("s", "u", [f"d{i}" for i in range(1, depth + 1)] + ["Leaf"], "T")],
                                    "site string, url string, crumbs array<string>, page_title string")
-    out = TR.heal_tree(tree, miss, crumbs).collect()
-    by_id = {r.node_id: r for r in out}
-    titles = {r[0]: r[2] for r in tree_rows}
-    parents = {r[0]: r[1] for r in tree_rows}
-
-    def spark_path(pid):
-        out_path = []
-        while pid not in ("0", None):
-            if pid in by_id:
-                out_path.append(by_id[pid].title.lower())
-                pid = by_id[pid].parent_id
-            else:
-                n = int(pid)
-                out_path.append(titles[n].lower())
-                pid = str(parents[n]) if parents[n] != 0 else "0"
-        return tuple(reversed(out_path))
-
-    got = {(spark_path(r.parent_id), r.title, r.level, r.url) for r in out}
-    want = _heal_sequential(tree_rows, missing)
-    # Directory names created by different URLs may differ in case; compare them case-folded.
-    fold = lambda s: {(p, t.lower() if u is None else t, lv, u) for p, t, lv, u in s}
-    assert fold(got) == fold(want)
+    assert [tuple(r) for r in TR.heal_tree(tree, missing, crumbs).collect()] == [("s", "page:u", str(depth), "Leaf", depth + 1, "u")]
+
+
+def test_deeply_nested_lists_and_blocks():
+    from sitequill.operators import extract as X
+
+    deep = "".join(f"<ul><li><a href='/{i}'>L{i}</a>" for i in range(3000))
+    nodes = TR.build_tree(parse(deep), "https://h/")
+    assert len(nodes) == 3000 and nodes[-1][:2] == (3000, 2999)
+    assert len(X.sidebar_entries(parse("<aside>" + deep), "https://h/")) == 3000
+    assert X.page_markdown("<main>" + "<div>" * 5000 + "in")[0] == "in"
