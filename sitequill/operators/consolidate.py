@@ -9,8 +9,10 @@ Scale notes
   the blocks in key order joined by one newline; ``sink_documents`` writes it
   with a range-partitioned, sorted write, so one site may span many tasks.
 * Re-levelling works on each page's own line array (no shuffle).
-* De-duplication is ``groupBy(site, md5).agg(min(key))``: a hash aggregate with
-  map-side partials, so a hot duplicate group is combined before the shuffle.
+* Hierarchy lookup and de-duplication run on thin rows that carry the md5 of
+  the content; the content is attached once, by (site, url, md5). A duplicate
+  group is combined before the shuffle, and the per-site flag is joined by
+  (site, salt), so a large site spreads over many tasks.
 * The only site-wide window is over pages whose hierarchy entry carries a
   section; the hierarchy comes from one sidebar page, which bounds that set.
 """
@@ -26,6 +28,10 @@ from ..session import cut_lineage
 from .scan import neighbor_value
 
 UNMAPPED_ORDER = 999_999
+#: Characters of a document that the library listing looks at.
+PREVIEW_CHARS = 500
+#: Parts into which each site's pages are dealt where only the site matters.
+SITE_SALTS = 64
 TOOL_LINE = "*Compiled with sitequill*"
 
 # Host suffixes removed (in this order) to form a document title.
@@ -68,14 +74,17 @@ def heuristic_score(title: Column, url: Column) -> Column:
 def hierarchy_lookup(pages: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Left lookup page.url -> hierarchy; a ``.md`` URL retries without it.
 
-    Two equi-joins and ``coalesce`` (an OR join would be a nested loop).
+    Two equi-joins and ``coalesce`` (an OR join would be a nested loop). A URL
+    that is not retried gets a key of its own that no hierarchy entry has, so
+    these rows spread over all tasks instead of meeting at one null key.
     """
     h = hierarchy.select(F.col("site").alias("h_site"), F.col("url").alias("h_url"),
                          F.struct(F.col("level").alias("h_level"), F.col("ord").alias("h_ord"),
                                   F.col("section").alias("h_section")).alias("hit"))
     h1 = h.select(F.col("h_site").alias("s1"), F.col("h_url").alias("u1"), F.col("hit").alias("hit1"))
     h2 = h.select(F.col("h_site").alias("s2"), F.col("h_url").alias("u2"), F.col("hit").alias("hit2"))
-    nomd = F.when(F.col("url").endswith(".md"), F.expr("substring(url, 1, length(url) - 3)"))
+    nomd = F.when(F.col("url").endswith(".md"), F.expr("substring(url, 1, length(url) - 3)")).otherwise(
+        F.concat(F.lit("\0"), F.coalesce("url", F.lit(""))))
     p = pages.withColumn("_url_nomd", nomd)
     j = p.join(h1, (F.col("site") == F.col("s1")) & (F.col("url") == F.col("u1")), "left")
     j = j.join(h2, (F.col("site") == F.col("s2")) & (F.col("_url_nomd") == F.col("u2")), "left")
@@ -163,9 +172,11 @@ def order_pages(pages: DataFrame, hierarchy: DataFrame | None) -> DataFrame:
     """
     if hierarchy is not None:
         # A site without any hierarchy entry falls back to the heuristic order.
-        mapped_sites = hierarchy.select(F.col("site").alias("_hs")).distinct()
-        p = hierarchy_lookup(pages, hierarchy)
-        p = p.join(mapped_sites, p.site == mapped_sites._hs, "left")
+        # One flag per site and salt: a large site's pages spread over the salts.
+        mapped_sites = (hierarchy.select(F.col("site").alias("_hs")).distinct()
+                        .select("_hs", F.explode(F.sequence(F.lit(0), F.lit(SITE_SALTS - 1))).alias("_hn")))
+        p = hierarchy_lookup(pages, hierarchy).withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SITE_SALTS)).cast("int"))
+        p = p.join(mapped_sites, (p.site == mapped_sites._hs) & (p._salt == mapped_sites._hn), "left")
         k1 = F.when(F.col("_hs").isNotNull(),
                     F.coalesce(F.col("h_ord").cast("decimal(38,0)"), F.lit(UNMAPPED_ORDER).cast("decimal(38,0)"))
                     ).otherwise(-heuristic_score(F.col("title"), F.col("url")))
@@ -175,16 +186,30 @@ def order_pages(pages: DataFrame, hierarchy: DataFrame | None) -> DataFrame:
                         (-heuristic_score(F.col("title"), F.col("url"))).alias("k1"), F.col("url").alias("k2"))
 
 
-def dedup_content(ordered: DataFrame) -> DataFrame:
-    """Drop blank pages; keep the first page per (site, content md5) in reading order.
+def kept_pages(pages: DataFrame, hierarchy: DataFrame | None) -> DataFrame:
+    """Drop blank pages; keep the first page per (site, content md5) in reading
+    order: (site, url, title, h_level, h_section, k1, k2, md5).
 
-    ``min_by`` over the reading-order key is a hash aggregate with a map-side
-    partial, so each task ships one row per duplicate group, however hot.
+    Only thin rows are looked up, shuffled and aggregated; the content stays
+    where it is and is represented by its md5. The minimum over the
+    reading-order key has a map-side partial, so each task ships one row per
+    duplicate group, however hot.
     """
-    cols = ordered.columns
-    nb = ordered.where(~TX.is_blank("content")).withColumn("md5", TX.content_md5("content"))
-    firsts = nb.groupBy("site", "md5").agg(F.min_by(F.struct(*cols), F.struct("k1", "k2")).alias("r"))
-    return firsts.select("md5", *[F.col("r." + c).alias(c) for c in cols])
+    thin = pages.where(~TX.is_blank("content")).select("site", "url", "title", TX.content_md5("content").alias("md5"))
+    ordered = order_pages(thin, hierarchy)
+    first = F.min(F.struct("k1", "k2", "url", "title", "h_level", "h_section")).alias("r")
+    firsts = ordered.groupBy("site", "md5").agg(first)
+    return firsts.select("site", "r.url", "r.title", "r.h_level", "r.h_section", "r.k1", "r.k2", "md5")
+
+
+def attach_content(kept: DataFrame, pages: DataFrame) -> DataFrame:
+    """``kept`` with the content of its pages: the one shuffle of the content,
+    on (site, url, md5). Equal rows of ``pages`` give one row."""
+    bodies = pages.where(~TX.is_blank("content")).select(
+        F.col("site").alias("_s"), F.col("url").alias("_u"), TX.content_md5("content").alias("_m"), "content")
+    j = kept.join(bodies, (F.col("site") == F.col("_s")) & (F.col("url") == F.col("_u")) & (F.col("md5") == F.col("_m")))
+    rest = [F.first(c).alias(c) for c in (*[c for c in kept.columns if c not in ("site", "url", "md5")], "content")]
+    return j.groupBy("site", "url", "md5").agg(*rest)
 
 
 def section_breaks(kept: DataFrame) -> DataFrame:
@@ -250,12 +275,11 @@ def consolidate(pages: DataFrame, hierarchy: DataFrame | None, base_urls: DataFr
     ord, section) or None for the heuristic order; ``base_urls``: (site, base_url).
     """
     pages = pages.select("site", "url", "title", "content")
-    ordered = order_pages(pages, hierarchy)
     # The de-duplicated page set feeds both the section scan and the blocks:
-    # checkpointed once so the ordering joins and the md5 aggregate run once.
-    kept = cut_lineage(dedup_content(ordered))
+    # written once, thin, so the ordering joins and the md5 aggregate run once.
+    kept = cut_lineage(kept_pages(pages, hierarchy))
     breaks = section_breaks(kept)
-    blocks = page_blocks(kept, breaks, tested_rule)
+    blocks = page_blocks(attach_content(kept, pages), breaks, tested_rule)
     return document_header(pages, base_urls, downloaded, section_path).unionByName(blocks)
 
 
@@ -266,13 +290,22 @@ def sink_documents(blocks: DataFrame, path: str, n_partitions: int | None = None
     partitions, so part files of a site concatenate in reading order. Each
     block is written as one record followed by a newline; blocks therefore
     carry the newline that joins them: header without its last newline,
-    page blocks as ``\\n`` + block without its last newline.
+    page blocks as ``\\n`` + block without its last newline. The first
+    characters of every document go to a small table (``heads_path``) for the
+    library listing.
     """
     rec = F.when(F.col("part") == 0, F.expr("substring(block, 1, length(block) - 1)")).otherwise(
         F.concat(F.lit("\n"), F.expr("substring(block, 1, length(block) - 1)")))
     out = blocks.select("site", "part", "k1", "k2", rec.alias("value"))
-    n = n_partitions or blocks.sparkSession.sparkContext.defaultParallelism
-    (out.repartitionByRange(n, "site", "part", "k1", "k2")
-        .sortWithinPartitions("site", "part", "k1", "k2")
+    keys = ("site", "part", "k1", "k2")
+    ranged = out.repartitionByRange(n_partitions, *keys) if n_partitions else out.repartitionByRange(*keys)
+    (ranged.sortWithinPartitions("site", "part", "k1", "k2")
         .select("site", "value")
         .write.mode("overwrite").partitionBy("site").text(path))
+    heads = out.where(F.col("part") == 0).select("site", F.left("value", F.lit(PREVIEW_CHARS)).alias("head"))
+    heads.write.mode("overwrite").parquet(heads_path(path))
+
+
+def heads_path(path: str) -> str:
+    """Where the heads of the documents under ``path`` are written."""
+    return f"{path.rstrip('/')}-heads"

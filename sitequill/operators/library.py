@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from .consolidate import PREVIEW_CHARS, heads_path
 from .fusion import SPLITLINES_RE
 from .scan import exclusive_running_sum
 
-PREVIEW_CHARS = 500
 SOURCE_RE = r"\*\*Source:\*\* (https?://\S+)"
 
 
@@ -25,12 +25,13 @@ def heading_audit(blocks: DataFrame) -> DataFrame:
     """Every document line whose stripped form starts with ``#``: (site,
     line_no 1-based, text). Line numbers come from an ordered running sum of
     per-block line counts (``scan.exclusive_running_sum``)."""
-    rec = record_values(blocks).select("site", "part", "k1", "k2", F.split("value", "\n", -1).alias("lines"))
-    rec = rec.withColumn("n_lines", F.size("lines"))
+    lines = F.split("value", "\n", -1)
+    stripped = F.transform(lines, lambda l, i: F.struct(i.alias("i"), TX.py_strip(l).alias("text")))
+    # Each block is reduced to its line count and its headings before any shuffle.
+    rec = record_values(blocks).select(
+        "site", "part", "k1", "k2", F.size(lines).alias("n_lines"), F.filter(stripped, lambda h: h["text"].startswith("#")).alias("heads"))
     rec = exclusive_running_sum(rec, "site", ["part", "k1", "k2"], "n_lines", "before")
-    lines = rec.select("site", "before", F.posexplode("lines").alias("i", "line"))
-    heads = lines.select("site", (F.col("before") + F.col("i") + 1).alias("line_no"), TX.py_strip("line").alias("text"))
-    return heads.where(F.col("text").startswith("#"))
+    return rec.select("site", "before", F.inline("heads")).select("site", (F.col("before") + F.col("i") + 1).alias("line_no"), "text")
 
 
 def target_heading_audit(headings: DataFrame, targets: list[str]) -> DataFrame:
@@ -45,11 +46,6 @@ def target_heading_audit(headings: DataFrame, targets: list[str]) -> DataFrame:
         "site", "line_no", "text", "target")
 
 
-def _local_path(c):
-    """Path without its ``file:`` scheme prefix (listings and readers spell it differently)."""
-    return F.regexp_replace(c, "^file:(//)?", "")
-
-
 def library_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """File listing with sizes and times, contents not read (binaryFile with
     the ``content`` column pruned): (path, dir, size, modified)."""
@@ -64,31 +60,28 @@ def library_metadata(spark: SparkSession, path: str, glob: str = "*.md", by_dir:
     newest first. Title: first ``# `` line of the first 500 characters, else
     the name; source: the ``**Source:**`` URL there, else ``Unknown``.
 
-    ``by_dir``: a document is a directory of ordered part files (the
-    partitioned sink), its head being the first part file; only that file is
-    read in full.
+    ``by_dir``: a document is a directory of ordered part files as
+    ``consolidate.sink_documents`` writes them; their heads stand in the small
+    table beside them, so no part file is opened, only listed. Otherwise a
+    document is a file, read in one pass with its size and time.
     """
-    files = library_files(spark, path, glob)
-    key = "dir" if by_dir else "path"
-    docs = files.groupBy(key).agg(F.min("path").alias("first_path"), F.sum("size").alias("size"),
-                                  F.max("modified").alias("modified"), F.min("modified").alias("created"))
-    # Only each document's first file is read; the listing already names them
-    # (one path per document, the same metadata Spark's file index holds).
-    first_paths = [r[0] for r in docs.select("first_path").collect()]
-    if not first_paths:
-        return docs.select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("title"),
-                           F.lit(None).cast("string").alias("source"), "size", "modified", "created").limit(0)
-    heads = (spark.read.text(first_paths, wholetext=True)
-             .select(_local_path(F.col("_metadata.file_path")).alias("fp"),
-                     F.left("value", F.lit(PREVIEW_CHARS)).alias("head")))
-    j = docs.withColumn("fp", _local_path(F.col("first_path"))).join(heads, "fp")
-    name = F.regexp_extract(F.col(key), r"([^/]*)$", 1)
-    first_h1 = F.try_element_at(
-        F.filter(F.split("head", SPLITLINES_RE, -1), lambda l: l.startswith("# ")), F.lit(1))
-    src = F.regexp_extract("head", SOURCE_RE, 1)
+    if by_dir:
+        files = library_files(spark, path, glob)
+        docs = files.groupBy(F.regexp_extract("dir", r"([^/]*)$", 1).alias("name")).agg(
+            F.sum("size").alias("size"), F.max("modified").alias("modified"), F.min("modified").alias("created"))
+        heads = spark.read.parquet(heads_path(path))
+        j = docs.join(heads, F.url_decode(F.replace(docs["name"], F.lit("+"), F.lit("%2B"))) == F.concat(F.lit("site="), heads["site"]), "left")
+    else:
+        read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+        m = F.col("_metadata")
+        j = read.select(m["file_name"].alias("name"), F.left("value", F.lit(PREVIEW_CHARS)).alias("head"), m["file_size"].alias("size"),
+                        m["file_modification_time"].alias("modified"), m["file_modification_time"].alias("created"))
+    lines = F.split(F.coalesce("head", F.lit("")), SPLITLINES_RE, -1)
+    first_h1 = F.try_element_at(F.filter(lines, lambda l: l.startswith("# ")), F.lit(1))
+    src = F.regexp_extract(F.coalesce("head", F.lit("")), SOURCE_RE, 1)
     return j.select(
-        name.alias("name"),
-        F.coalesce(TX.py_strip(F.substring(first_h1, 3, 1 << 30)), name).alias("title"),
+        "name",
+        F.coalesce(TX.py_strip(F.substring(first_h1, 3, 1 << 30)), F.col("name")).alias("title"),
         F.when(src != "", src).otherwise(F.lit("Unknown")).alias("source"),
         "size", "modified", "created",
     ).orderBy(F.col("modified").desc(), "name")

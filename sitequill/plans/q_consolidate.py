@@ -163,7 +163,7 @@ def order_by_heuristic(spark, sf):
 @query("dedup_content", oracle=f"WITH {_ordered_sql(True)}, {_KEPT} SELECT site, url, md5 FROM kept")
 def dedup_content(spark, sf):
     pages, hier, _ = _inputs(spark, sf)
-    return C.dedup_content(C.order_pages(pages, hier)).select("site", "url", "md5")
+    return C.kept_pages(pages, hier).select("site", "url", "md5")
 
 
 @query("min_heading_level", oracle=f"""
@@ -199,7 +199,7 @@ query("releveled_tested_rule",
 @query("section_breaks", oracle=f"WITH {_ordered_sql(True)}, {_KEPT}, {_BREAKS} SELECT site, k1, k2, url, section FROM breaks")
 def section_breaks(spark, sf):
     pages, hier, _ = _inputs(spark, sf)
-    return C.section_breaks(C.dedup_content(C.order_pages(pages, hier)))
+    return C.section_breaks(C.kept_pages(pages, hier))
 
 
 @query("document_header", oracle=f"WITH cpages AS ({CP.PAGES_SQL}), {_header_sql()} SELECT site, block FROM hdr")

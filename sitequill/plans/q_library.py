@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -74,7 +73,7 @@ def library_metadata(spark, sf):
     """Write every site's document to the shared folder, then list the library:
     title and source from each document's head, size from the file listing."""
     base = ensure_checkpoint_dir(spark)
-    out = os.path.join(base.replace("file:", ""), f"library-{uuid.uuid4().hex}")
+    out = f"{base.rstrip('/')}/library-{uuid.uuid4().hex}"
     C.sink_documents(_blocks(spark, sf), out)
     lib = LB.library_metadata(spark, out, "*.txt", by_dir=True)
     return lib.select(F.regexp_extract("name", r"^site=(.*)$", 1).alias("site"), "title", "source",
