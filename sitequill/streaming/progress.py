@@ -149,24 +149,31 @@ def write_line_files(lines: DataFrame, path: str, n_files: int = 8) -> None:
 
 def stream_task_state(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
     """Run the task-state aggregation as a stream over ``source_dir`` until all
-    available files are processed; returns the final state read back from
-    ``out_dir`` (rewritten by ``foreachBatch`` in complete mode)."""
+    available files are processed. Each micro-batch writes only the tasks it
+    changed, into its own folder (a replayed batch overwrites that folder);
+    the state of a task is its row in the latest batch that has one."""
     src = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 2).json(source_dir)
     agg = parse_event_lines(src).groupBy("task_id").agg(*_state_aggs())
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        _state_select(batch).write.mode("overwrite").parquet(out_dir)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _state_select(batch).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return latest_rows(spark.read.parquet(out_dir))
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """The row of each task from the last micro-batch (``batch_id``) that has one."""
+    cols = [c for c in rows.columns if c not in ("task_id", "batch_id")]
+    latest = rows.groupBy("task_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
+    return latest.select("task_id", *[F.col("r." + c).alias(c) for c in cols])
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def scratch_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
@@ -195,17 +202,25 @@ def _stateful_update(key, batches, state):
         n_log, last = 0, None
     code = None
     for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            if row.kind == "exit":
-                code = int(row.exit_code)
-                continue
-            last = row.seq if last is None else max(last, row.seq)
-            if row.kind == "log":
-                n_log += 1
-            elif row.type == "progress" and (p_seq is None or row.seq > p_seq):
-                p_seq, cur, tot, st = row.seq, row.current, row.total, row.status
-            elif row.type == "stage" and (s_seq is None or row.seq > s_seq):
-                s_seq, stage = row.seq, row.stage
+        exits, lines = pdf[pdf["kind"] == "exit"], pdf[pdf["kind"] != "exit"]
+        if len(exits):
+            code = int(exits["exit_code"].iloc[-1])
+        if not len(lines):
+            continue
+        top = lines["seq"].max()
+        last = top if last is None else max(last, top)
+        n_log += int((lines["kind"] == "log").sum())
+        events = lines[lines["kind"] != "log"]
+        progress, stages = events[events["type"] == "progress"], events[events["type"] == "stage"]
+        if len(progress):
+            newest = progress.loc[progress["seq"].idxmax()]
+            if p_seq is None or newest["seq"] > p_seq:
+                p_seq, cur, tot, st = newest["seq"], newest["current"], newest["total"], newest["status"]
+        if len(stages):
+            newest = stages.loc[stages["seq"].idxmax()]
+            if s_seq is None or newest["seq"] > s_seq:
+                s_seq, stage = newest["seq"], newest["stage"]
+
     def opt_int(v):
         return None if v is None or pd.isna(v) else int(v)
 
@@ -242,7 +257,7 @@ def stream_task_runs(spark: SparkSession, lines: DataFrame, exits: DataFrame, ro
              .applyInPandasWithState(_stateful_update, STATEFUL_OUT, STATEFUL_STATE, "update",
                                      GroupStateTimeout.NoTimeout)
              .writeStream.outputMode("update")
-             .foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(out))
+             .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}"))
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
         q.awaitTermination()
 
@@ -250,7 +265,4 @@ def stream_task_runs(spark: SparkSession, lines: DataFrame, exits: DataFrame, ro
     run_once()
     exits.repartition(2).write.mode("append").json(source)
     run_once()
-    rows = spark.read.parquet(out)
-    cols = [c for c in rows.columns if c not in ("task_id", "batch_id")]
-    latest = rows.groupBy("task_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
-    return latest.select("task_id", *[F.col("r." + c).alias(c) for c in cols])
+    return latest_rows(spark.read.parquet(out))
