@@ -139,6 +139,27 @@ def native_pages(hits: DataFrame, hierarchy: DataFrame) -> DataFrame:
                     F.lit("native_probe").alias("source"))
 
 
+def captured_bodies(urls: DataFrame, captures: DataFrame) -> DataFrame:
+    """One captured body per URL: (site, url, body).
+
+    urls(site, url), captures(site, url, body). A capture belongs to a URL if
+    their canonical forms agree, so ``/p/`` or ``/p?utm=x`` serves ``/p``; the
+    same spelling is preferred, then the smallest one, and of several bodies
+    captured under one spelling the one of the smallest hash. The choice is
+    made on thin rows; bodies are shuffled once, by what was chosen.
+    """
+    mark = F.xxhash64("body")
+    thin = captures.select("site", F.col("url").alias("c_url"), mark.alias("c_mark"), U.canonical_url("url").alias("ckey"))
+    wanted = urls.select("site", "url", U.canonical_url("url").alias("ckey")).distinct()
+    rank = F.struct((F.col("url") != F.col("c_url")).alias("other"), "c_url", "c_mark")
+    best = wanted.join(thin, ["site", "ckey"]).groupBy("site", "url").agg(F.min(rank).alias("b"))
+    best = best.select(F.col("site").alias("b_site"), F.col("url").alias("for_url"), F.col("b.c_url").alias("c_url"), F.col("b.c_mark").alias("c_mark"))
+    bodies = captures.select("site", "url", mark.alias("mark"), "body")
+    found = bodies.join(best, (F.col("site") == F.col("b_site")) & (F.col("url") == F.col("c_url")) & (F.col("mark") == F.col("c_mark")))
+    # Equal captures give one row; the join has already dealt out by these keys.
+    return found.groupBy("site", "url", "mark", "for_url").agg(F.first("body").alias("body")).select("site", F.col("for_url").alias("url"), "body")
+
+
 def _md_body_rows(url, body):
     yield body, X.extract_title(body)
 
@@ -154,15 +175,13 @@ def body_fallback(urls: DataFrame, fetches: DataFrame) -> DataFrame:
 
     One Python pass per body kind; site, URLs and fallback titles ride along.
     """
-    ok = fetches.where(F.col("status") == 200).select("site", F.col("url").alias("f_url"), "body")
+    ok = fetches.where(F.col("status") == 200)
     u = urls.select("site", "url").distinct().withColumn("md", U.md_url("url"))
-    ok_md = ok.where(F.col("f_url").endswith(".md"))
-    md = (u.join(ok_md, (u.site == ok_md.site) & (u.md == ok_md.f_url)).select(u.site, u.url, F.col("md").alias("page_url"), "body")
-          .groupBy("site", "url").agg(F.min_by(F.struct("page_url", "body"), "body").alias("m"))
-          .select("site", "url", "m.page_url", "m.body"))
+    ok_md = ok.where(F.col("url").endswith(".md")).select(F.col("site").alias("f_site"), F.col("url").alias("f_url"), "body")
+    md = (u.join(ok_md, (F.col("site") == F.col("f_site")) & (F.col("md") == F.col("f_url")))
+          .groupBy("site", "url", F.col("md").alias("page_url")).agg(F.min("body").alias("body")))
     rest = u.join(md.select("site", "url"), ["site", "url"], "left_anti")
-    html = (rest.join(ok, (rest.site == ok.site) & (rest.url == ok.f_url)).select(rest.site, rest.url, "body")
-            .groupBy("site", "url").agg(F.min("body").alias("body")))
+    html = captured_bodies(rest.select("site", "url"), ok.where(~F.col("url").endswith(".md")).select("site", "url", "body"))
     fallback = U.title_from_url("url", keep_underscore=True).alias("fallback_title")
     md_in = md.select("site", "page_url", "body", fallback)
     html_in = html.select("site", F.col("url").alias("page_url"), "body", fallback)

@@ -34,7 +34,8 @@ class SiteOptions:
 def discover(pages: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fused nodes, entry pages) for every site."""
     entry = FU.entry_pages(pages.select("page_id", "url"))
-    entry_html = pages.join(entry.select("page_id"), "page_id", "left_semi")
+    # One page per site, written once: sidebar and links both read it.
+    entry_html = cut_lineage(pages.join(entry.select("page_id"), "page_id", "left_semi"))
     sidebar = X.sidebar_hierarchy_rows(entry_html).join(entry.select("page_id", "site"), "page_id").select(
         "site", "url", "title", "level", "ord")
     smap = SM.resolve_sitemap_index(fetches, SM.scan_sitemaps(fetches).select("site", "url"))
@@ -58,13 +59,10 @@ def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | Non
     hits = FU.probe_resolve(urls.select("site", "url"), fetches)
     native = FU.native_pages(hits, urls).select("site", "url", "title", "content")
     rest = FU.remaining_urls(urls, hits)
-    html = fetches.where((F.col("status") == 200) & (F.col("kind") == "html")).select(
-        "site", "url", F.col("body").alias("html"))
-    # One captured body per URL (the smallest when a URL was captured twice).
-    html = html.groupBy("site", "url").agg(F.min("html").alias("html"))
+    captures = fetches.where((F.col("status") == 200) & (F.col("kind") == "html")).select("site", "url", "body")
     # Remaining pages come from rendered captures: kept when the main content is
     # non-empty, titled by the content's h1, else by the document title.
-    todo = rest.join(html, ["site", "url"]).select("site", "url", "html")
+    todo = FU.captured_bodies(rest.select("site", "url"), captures).select("site", "url", F.col("body").alias("html"))
     md = X.map_pages(todo, X.rendered_page_rows, "content string, h1_title string, doc_title string",
                      id_col="site", keep_url=True)
     scraped = md.where(F.col("content") != "").select(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import fusion as FU
 from ..operators import links as L
 from ..operators import sitemaps as SM
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import fetches as FE
-from ..session import cut_lineage
+from ..sources import markdown_files as MF
+from ..sources.rich_pages import RICH_HTML, rich_pages
 from ..sources.tables import read_table
 from . import duck as D
 from .q_html import _ANCHORS, _BLOCK, _NAV, _md_oracle, decode
@@ -284,25 +289,68 @@ def body_fallback(spark, sf):
     return out.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
 
 
+# Repositories of which a check-out exists (a parameter of the queries).
+CHECKED_OUT = ["https://github.com/org0/repo.git", "https://github.com/org1/repo.git"]
+
+_REPO_SQL = f"""
+repo_pages AS (SELECT page_id, url, {RICH_HTML} AS html FROM pages),
+repo_links AS (
+  SELECT page_id, url, {decode('h')} AS href, i FROM (
+    SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h,
+           generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) AS i FROM repo_pages)
+), repos AS (
+  SELECT {D.site_of('url')} AS site, split_part(href, '/blob/', 1) || '.git' AS repo_url FROM repo_links
+  WHERE strpos(href, 'github.com') > 0 AND strpos(href, '/blob/') > 0
+  QUALIFY row_number() OVER (PARTITION BY {D.site_of('url')} ORDER BY page_id, i) = 1
+)"""
+
+
+def _checkout(spark, sf) -> str:
+    """Markdown files of a check-out, one per page, written from ``pages``."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/checkout-{uuid.uuid4().hex}"
+    body = FE.markdown_body(F.col("html"))
+    (read_table(spark, sf, "pages", "page_id", "html").select("page_id", body.alias("value"))
+     .write.partitionBy("page_id").text(root))
+    return root
+
+
+@query("markdown_corpus", oracle=f"""
+WITH b AS (SELECT page_id, {_MD_BODY} || chr(10) AS body FROM pages)
+SELECT page_id, {D.py_strip("substr(split_part(body, chr(10), 1), 3)")} AS title, md5(body) AS content_md5, 'github' AS source FROM b""")
+def markdown_corpus(spark, sf):
+    """Page records of a repository check-out: one per file, titled by its first heading."""
+    found = MF.scan_markdown_corpus(spark, _checkout(spark, sf), glob="*.txt")
+    return found.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"), "title",
+                        F.md5("content").alias("content_md5"), "source")
+
+
 @query("strategy_fallback", oracle=f"""
-WITH {_BODY_CTES},
+WITH {_BODY_CTES}, {_REPO_SQL},
 md_pages AS ({_md_oracle()}),
+gh AS (SELECT {D.site_of('url')} AS site, count(*) AS n FROM pages
+       WHERE {D.site_of('url')} IN (SELECT site FROM repos WHERE repo_url IN ({', '.join(D.q(r) for r in CHECKED_OUT)})) GROUP BY 1),
 sm AS (SELECT site, count(*) AS n FROM both_ GROUP BY site),
 sc AS (SELECT {D.site_of('p.url')} AS site, count(*) AS n FROM md_pages m JOIN pages p ON p.page_id = m.page_id
-       WHERE m.content <> '' GROUP BY 1)
-SELECT coalesce(sm.site, sc.site) AS site, CASE WHEN sm.n > 0 THEN 'sitemap' ELSE 'scraping' END AS strategy,
-       CASE WHEN sm.n > 0 THEN sm.n ELSE sc.n END AS n_pages
-FROM sm FULL JOIN sc ON sm.site = sc.site""")
+       WHERE m.content <> '' AND (length({D.py_strip('m.content')}) > 50 OR coalesce(m.title, '') <> '') GROUP BY 1),
+every AS (SELECT site, 1 AS rank, 'github' AS strategy, n FROM gh UNION ALL SELECT site, 2, 'sitemap', n FROM sm
+          UNION ALL SELECT site, 3, 'scraping', n FROM sc)
+SELECT site, strategy, n AS n_pages FROM every QUALIFY row_number() OVER (PARTITION BY site ORDER BY rank) = 1""")
 def strategy_fallback(spark, sf):
     """Pages of the first strategy (github, sitemap, scraping) that yields any
-    page, per site; counted per (site, strategy)."""
+    page, per site; counted per (site, strategy). A site's check-out is used
+    if the repository that its pages link to is among those checked out."""
     pages = read_table(spark, sf, "pages", "page_id", "url", "html")
     fetches = FE.fetch_table(spark, sf, ("html", "md"))
-    urls = pages.select(U.site_of("url").alias("site"), "url").distinct()
+    sites = pages.select("page_id", U.site_of("url").alias("site"), "url")
+    urls = sites.select("site", "url").distinct()
+    with_repo = L.detect_repo(rich_pages(pages)).where(F.col("repo_url").isin(*CHECKED_OUT)).select("site")
+    files = MF.scan_markdown_corpus(spark, _checkout(spark, sf), glob="*.txt").select(
+        F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"))
+    github = (files.join(sites, "page_id").join(with_repo, "site", "left_semi")
+              .select("site", "url", F.lit("github").alias("strategy")))
     sitemap = FU.body_fallback(urls, fetches).select("site", "url", F.lit("sitemap").alias("strategy"))
     scraping = (X.markdown_pages(pages).join(pages.select("page_id", "url"), "page_id")
-                .where(F.col("content") != "")
+                .where(P.min_content(F.col("content"), F.col("h1_title")))
                 .select(U.site_of("url").alias("site"), "url", F.lit("scraping").alias("strategy")))
-    kept = FU.strategy_fallback(sitemap.unionByName(scraping))
+    kept = FU.strategy_fallback(github.unionByName(sitemap).unionByName(scraping))
     return kept.groupBy("site", "strategy").agg(F.count("*").alias("n_pages"))
-

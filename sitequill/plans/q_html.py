@@ -14,6 +14,7 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import links as L
+from ..sources.rich_pages import rich_oracle, rich_pages
 from ..sources.tables import read_table
 from . import duck as D
 from .registry import query
@@ -215,7 +216,7 @@ _TBL = "regexp_extract_all(html, '(?s)<table[^>]*>(.*?)</table>', 1)"
 _TR = "regexp_extract_all(tbl, '(?s)<tr[^>]*>(.*?)</tr>', 1)"
 
 
-@query("html_tables", oracle=f"""
+@query("html_tables", oracle=rich_oracle(f"""
 WITH t AS (
   SELECT page_id, unnest({_TBL}) AS tbl, generate_subscripts({_TBL}, 1) - 1 AS table_no FROM pages
 ), r AS (
@@ -227,13 +228,13 @@ WITH t AS (
   FROM r
 )
 SELECT page_id, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS INTEGER) AS row_no, cells FROM c
-WHERE len(cells) > 0""")
+WHERE len(cells) > 0"""))
 def html_tables(spark, sf):
     """Rows of every table (``table`` or role table/grid) as cell arrays."""
-    return X.table_cells(_pages(spark, sf))
+    return X.table_cells(rich_pages(_pages(spark, sf)))
 
 
-@query("detect_repo", oracle=f"""
+@query("detect_repo", oracle=rich_oracle(f"""
 WITH a AS (
   SELECT page_id, url, {decode('h')} AS href, i FROM (
     SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h,
@@ -241,15 +242,15 @@ WITH a AS (
 )
 SELECT {D.site_of('url')} AS site, split_part(href, '/blob/', 1) || '.git' AS repo_url FROM a
 WHERE strpos(href, 'github.com') > 0 AND strpos(href, '/blob/') > 0
-QUALIFY row_number() OVER (PARTITION BY {D.site_of('url')} ORDER BY page_id, i) = 1""")
+QUALIFY row_number() OVER (PARTITION BY {D.site_of('url')} ORDER BY page_id, i) = 1"""))
 def detect_repo(spark, sf):
-    return L.detect_repo(_pages(spark, sf))
+    return L.detect_repo(rich_pages(_pages(spark, sf)))
 
 
 _NEXT = "regexp_extract(html, '(?s)<script[^>]*id=\"__NEXT_DATA__\"[^>]*>(.*?)</script>', 1)"
 
 
-@query("embedded_json", oracle=f"""
+@query("embedded_json", oracle=rich_oracle(f"""
 WITH n AS (SELECT page_id, {_NEXT} AS j FROM pages)
 SELECT page_id, 'top' AS kind, unnest(json_keys(j)) AS key FROM n WHERE j <> '' AND json_valid(j)
 UNION ALL
@@ -258,10 +259,10 @@ WHERE j <> '' AND json_valid(j) AND json_type(j, '$.props.pageProps') = 'OBJECT'
 UNION ALL
 SELECT page_id, 'json_script_id',
        unnest(regexp_extract_all(html, '<script[^>]*type="application/json"[^>]*id="([^"]*)"', 1)) FROM pages
-WHERE {_NEXT} = ''""")
+WHERE {_NEXT} = ''"""))
 def embedded_json(spark, sf):
     """Keys of embedded Next.js data or ids of JSON scripts per page."""
-    return X.embedded_json(_pages(spark, sf))
+    return X.embedded_json(rich_pages(_pages(spark, sf)))
 
 
 @query("scan_diagnostics", oracle=f"""

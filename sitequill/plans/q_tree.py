@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..operators import fusion as FU
 from ..operators import tree as TR
 from ..session import cut_lineage
+from ..sources.rich_pages import CRUMBED_HTML, FIRST_LINK, TOC_HTML, rich_oracle, rich_pages
 from ..sources.tables import read_table
 from . import duck as D
 from .q_html import _NAV, decode
@@ -38,11 +39,13 @@ def sidebar_tree(spark, sf):
     return TR.page_trees(_pages(spark, sf))
 
 
-@query("layout_kind", oracle="""
+@query("layout_kind", oracle=rich_oracle("""
+WITH q AS (SELECT 1 AS one)
 SELECT page_id, CASE WHEN n > 3 THEN 'flat' ELSE 'nested' END AS layout, CAST(n AS INTEGER) AS n_toclinks
-FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*class="[^"]*toclink[^"]*"')) AS n FROM pages)""")
+FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*class="[^"]*toclink[^"]*"')) AS n FROM pages)""", TOC_HTML))
 def layout_kind(spark, sf):
-    return TR.page_layouts(_pages(spark, sf))
+    """Layout of every page's table of contents; every third page gets a flat one."""
+    return TR.page_layouts(rich_pages(_pages(spark, sf), TOC_HTML))
 
 
 _ENTRY_TREE_SQL = f"""
@@ -80,13 +83,66 @@ def missing_from_tree(spark, sf):
     return TR.missing_from_tree(tree, smap)
 
 
-@query("heal_tree")
+_CRUMB = D.py_strip(decode("x"))
+_TITLE = ("trim(regexp_replace(" + decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+          + ", '[\t\n\f\r ]+', ' ', 'g'), chr(9) || chr(10) || chr(12) || chr(13) || ' ')")
+_DIR = "'dir:' || node || '/' || array_to_string(list_transform({}, lambda x: lower(x)), '/')"
+
+HEAL_SQL = _ENTRY_TREE_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
+miss AS (
+  SELECT s.site, s.url FROM smap s
+  WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.site = s.site AND k.k = {D.tree_key('s.url')})
+), firsts AS (
+  SELECT e.site, {FIRST_LINK} AS first FROM pages p JOIN entry e ON e.page_id = p.page_id
+), crumbed AS (
+  SELECT f.site, p.url, {_TITLE} AS page_title,
+    list_filter(list_transform(regexp_extract_all(regexp_extract({CRUMBED_HTML}, '(?s)<nav aria-label="Breadcrumb">(.*?)</nav>', 1),
+      '<li>(.*?)</li>', 1), lambda x: {_CRUMB}), lambda x: x <> '' AND x <> '/') AS raw
+  FROM pages p JOIN firsts f ON f.site = {D.site_of('p.url')}
+), cr AS (
+  SELECT m.site, m.url, c.page_title, c.raw,
+    CASE WHEN len(c.raw) > 0 AND lower(c.raw[1]) IN ('home', 'docs', 'documentation root') THEN c.raw[2:] ELSE c.raw END AS cut
+  FROM miss m JOIN crumbed c ON c.site = m.site AND c.url = m.url
+), w AS (
+  SELECT site, url, coalesce(cut[-1], 'Untitled') AS self_title, cut[1 : greatest(len(cut) - 1, 0)] AS dirs FROM cr WHERE len(raw) > 0
+), kids AS (
+  SELECT site, CAST(parent_id AS VARCHAR) AS p, lower(title) AS lt, CAST(node_id AS VARCHAR) AS child, level FROM etree
+  QUALIFY row_number() OVER (PARTITION BY site, parent_id, lower(title) ORDER BY sib_ord) = 1
+), walk AS (
+  SELECT site, url, self_title, dirs, '0' AS node, 0 AS lvl, 0 AS d FROM w
+  UNION ALL
+  SELECT k.site, x.url, x.self_title, x.dirs, k.child, k.level, x.d + 1
+  FROM walk x JOIN kids k ON k.site = x.site AND k.p = x.node AND k.lt = lower(x.dirs[x.d + 1]) WHERE x.d < len(x.dirs)
+), stopped AS (
+  SELECT site, url, self_title, node, lvl, dirs[d + 1 :] AS rest FROM walk
+  QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY d DESC) = 1
+), prefixes AS (
+  SELECT site, node, lvl, k, rest[1:k] AS prefix, rest[k] AS t
+  FROM (SELECT *, unnest(range(1, len(rest) + 1)) AS k FROM stopped)
+)
+SELECT site, 'page:' || url AS node_id, '0' AS parent_id, page_title AS title, 1 AS level, url FROM cr WHERE len(raw) = 0
+UNION ALL
+SELECT site, node_id, min(parent_id), min(t), CAST(min(level) AS INTEGER), CAST(NULL AS VARCHAR) FROM (
+  SELECT site, {_DIR.format('prefix')} AS node_id, CASE WHEN k = 1 THEN node ELSE {_DIR.format('prefix[1 : k - 1]')} END AS parent_id, t, lvl + k AS level
+  FROM prefixes) GROUP BY site, node_id
+UNION ALL
+SELECT site, 'page:' || url, CASE WHEN len(rest) = 0 THEN node ELSE {_DIR.format('rest')} END, self_title, CAST(lvl + len(rest) + 1 AS INTEGER), url
+FROM stopped"""
+
+
+@query("heal_tree", oracle=HEAL_SQL)
 def heal_tree(spark, sf):
-    """Nodes that attach every missing URL to its site's tree by breadcrumbs."""
+    """Nodes that attach every missing URL to its site's tree by breadcrumbs.
+    The pages get breadcrumbs of all kinds first: none, into an existing
+    directory, into new ones, into a new one below an existing one."""
     pages, tree, smap = _entry_inputs(spark, sf)
     # The tree is read by the verification and by every matching round: computed once.
     tree = cut_lineage(tree)
     missing = cut_lineage(TR.missing_from_tree(tree, smap))
-    crumbs = TR.page_crumbs(pages.join(missing.select("url").distinct(), "url", "left_semi"), keep_url=True).select(
+    entry = FU.entry_pages(pages.select("page_id", "url"))
+    first = pages.join(entry.select("page_id", "site"), "page_id").select("site", F.expr(FIRST_LINK).alias("first"))
+    sited = pages.withColumn("site", U.site_of("url")).join(first, "site")
+    crumbed = sited.select("page_id", "url", F.expr(CRUMBED_HTML).alias("html"))
+    crumbs = TR.page_crumbs(crumbed.join(missing.select("url").distinct(), "url", "left_semi"), keep_url=True).select(
         U.site_of("url").alias("site"), "url", "crumbs", "page_title")
     return TR.heal_tree(tree, missing, cut_lineage(crumbs))

@@ -113,6 +113,7 @@ _BLOCK = " OR ".join(f"strpos(lower({D.url_path('url')}), {D.q(t)}) > 0" for t i
 @query("url_filter", oracle=f"""
 SELECT page_id,
   (strpos(lower(url), {D.q(SECTION)}) > 0 AND {_EXCL}) AS keep_section,
+  strpos(url, {D.q(SECTION)}) > 0 AS keep_exact,
   (url IS NOT NULL AND url <> '' AND NOT starts_with(url, '#')
      AND {D.url_netloc('url')} = {D.url_netloc('url')}
      AND NOT regexp_matches(lower(url), {_SKIP})) AS valid_page,
@@ -124,6 +125,7 @@ def url_filter(spark, sf):
     return _pages(spark, sf).select(
         "page_id",
         P.include_exclude(u, SECTION, EXCLUDE).alias("keep_section"),
+        P.include_exclude(u, SECTION, None, case_sensitive=True).alias("keep_exact"),
         P.valid_page_url(u, U.url_netloc(u)).alias("valid_page"),
         P.link_blocked(u).alias("blocked"),
         P.asset_extension(u).alias("is_asset"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +21,22 @@ def markdown_title(content) -> F.Column:
     return TX.py_strip(F.substring(first, 3, 1 << 30))
 
 
-def scan_markdown_corpus(spark: SparkSession, repo_dir: str, section_path: str | None = None) -> DataFrame:
-    """Every ``*.md`` under ``repo_dir`` (or its ``section_path`` sub-directory),
-    recursively: (title, url, content, source, path). A missing section
-    directory gives no pages. Each file is one row (``wholetext``)."""
-    root = os.path.abspath(repo_dir)
-    search = os.path.join(root, section_path) if section_path else root
-    if not os.path.isdir(search):
+def scan_markdown_corpus(spark: SparkSession, repo_dir: str, section_path: str | None = None, glob: str = "*.md") -> DataFrame:
+    """Every Markdown file under ``repo_dir`` (or its ``section_path``
+    sub-directory), recursively: (title, url, content, source, path). The
+    folder may be on any file system Spark reads; a missing one gives no
+    pages. Each file is one row (``wholetext``)."""
+    root = repo_dir.rstrip("/")
+    search = f"{root}/{section_path.strip('/')}" if section_path else root
+    try:
+        df = spark.read.text(search, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "title string, url string, content string, source string, path string")
-    df = spark.read.text(search, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     fp = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-    rel = F.regexp_replace(fp, "^" + root.replace("\\", "\\\\") + "/", "")
-    t = markdown_title(F.col("value"))
+    bare = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root)
+    inside = F.substring(fp, F.instr(fp, bare + "/") + len(bare) + 1, 1 << 30)
     return df.select(
-        F.coalesce(t, U.title_from_stem(fp)).alias("title"), fp.alias("url"), F.col("value").alias("content"),
-        F.lit("github").alias("source"), rel.alias("path"))
+        F.coalesce(markdown_title(F.col("value")), U.title_from_stem(fp)).alias("title"), fp.alias("url"), F.col("value").alias("content"),
+        F.lit("github").alias("source"), inside.alias("path"))
