@@ -1,11 +1,11 @@
 """License detection by ordered signature rules.
 
 Texts are reduced to lower-case words joined by one space. A signature is a
-regular expression over these words with keywords that any match must
-contain, a label, a priority and a weight; the table below is the product of
-license names and the phrases in which they are invoked. An Aho-Corasick pass
-finds which keywords a text holds, and only signatures whose keywords are all
-there are run. Of the matches, one whose words lie inside those of a match of
+regular expression over these words, keywords that the text must hold for the
+signature to count, a label, a priority and a weight; the table below is the
+product of license names and the phrases in which they are invoked. An
+Aho-Corasick pass finds which keywords a text holds, and only signatures whose
+keywords are all there are run. Of the matches, one whose words lie inside those of a match of
 higher priority (or of equal priority and greater length) is suppressed.
 
 Three base phrases are signatures too; their labels always stay. One narrow

@@ -137,11 +137,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     The unlabelled are positives and others, so any set of texts holds at
     least prior times as large a share of the unlabelled as of the positives;
-    the upper sets of a classifier of the two come close to equality."""
+    the upper sets of a classifier of the two come close to equality. Either
+    half of the rows is ranked by a classifier learned from the other half."""
+    return float(np.mean([_prior_bound(positive[i::2], unlabelled[i::2], positive[1 - i :: 2], unlabelled[1 - i :: 2]) for i in (0, 1)]))
+
+
+def _prior_bound(positive, unlabelled, other_positive, other_unlabelled) -> float:
+    if not all(map(len, (positive, unlabelled, other_positive, other_unlabelled))):
+        return 0.5
 
     def gradient(w):
-        p, u = _sigmoid(positive @ w), _sigmoid(unlabelled @ w)
-        return -positive.T @ (1 - p) / len(p) / 2 + unlabelled.T @ u / len(u) / 2
+        p, u = _sigmoid(other_positive @ w), _sigmoid(other_unlabelled @ w)
+        return -other_positive.T @ (1 - p) / len(p) / 2 + other_unlabelled.T @ u / len(u) / 2
 
     w = _descend(gradient, positive.shape[1])
     p, u = np.sort(positive @ w), np.sort(unlabelled @ w)
