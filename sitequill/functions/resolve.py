@@ -63,7 +63,3 @@ def resolve_pairs(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
     pairs = hard.select(base, ref).distinct()
     pairs = pairs.select(base, ref, resolve_url(F.col(base), F.col(ref)).alias(out))
     return done.unionByName(hard.join(pairs, [base, ref], "left").select(*df.columns, out))
-
-
-def is_absolute_http(col: Column) -> Column:
-    return col.rlike("^(?i)https?://")

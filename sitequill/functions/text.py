@@ -81,7 +81,3 @@ def content_md5(col) -> Column:
 
 def is_blank(col) -> Column:
     return F.coalesce(F.length(py_strip(col)) == 0, F.lit(True))
-
-
-def head_lines(col, n: int) -> Column:
-    return F.slice(F.split(_c(col), "\n"), 1, n)

@@ -13,15 +13,15 @@ from ..functions import urls as U
 from ..functions.resolve import resolve_pairs
 from ..session import cut_lineage
 
-# Reference patterns (case-insensitive) and the group holding the URL.
+# Reference patterns (case-insensitive) and the group holding the
+# URL. An image tag's source is one of the src attributes.
 ASSET_PATTERNS = [
     (r"!\[([^\]]*)\]\(([^)]+)\)", 2),                                   # Markdown image
-    (r"<img[^>]*src=[\"']([^\"']+)[\"'][^>]*>", 1),                      # HTML image
     (r"src\s*=\s*[\"']([^\"']+)[\"']", 1),                               # any src attribute
     (r"\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]\(([^)]+)\)", 2),          # Markdown link
-    (r"href\s*=\s*(?:[\"']([^\"']*)[\"']|([^\s>]+))", 1),                # HTML link, quoted
-    (r"href\s*=\s*(?:[\"']([^\"']*)[\"']|([^\s>]+))", 2),                # HTML link, bare
 ]
+# HTML link: the attribute with its value, quoted or bare.
+HREF_PATTERN = r"href\s*=\s*(?:[\"'][^\"']*[\"']|[^\s>]+)"
 
 EXT_GROUP = "|".join(e[1:] for e in P.ASSET_EXTENSIONS)
 # Markdown image whose URL path ends in an asset extension: alt, file name.
@@ -31,7 +31,14 @@ REWRITE_RE = (r"!\[(.*?)\]\((?:[^)]*/)?([^/?#)]+\.(?i:" + EXT_GROUP + r"))(?:[?#
 def reference_strings(text: Column) -> Column:
     """All candidate reference strings of a text (array, Python-stripped)."""
     parts = [F.regexp_extract_all(text, F.lit("(?i)" + p), g) for p, g in ASSET_PATTERNS]
-    return F.transform(F.flatten(F.array(*parts)), lambda r: TX.py_strip(r))
+    links = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + HREF_PATTERN), 0), _attribute_value)
+    return F.transform(F.flatten(F.array(*parts, links)), lambda r: TX.py_strip(r))
+
+
+def _attribute_value(attribute: Column) -> Column:
+    """Value of a ``name = value`` match without its quotes."""
+    value = F.regexp_replace(attribute, r"^[^=]*=\s*", "")
+    return F.regexp_replace(value, r"^[\"']([^\"']*)[\"']$", "$1")
 
 
 def asset_refs(pages: DataFrame) -> DataFrame:

@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def _ranged(df: DataFrame, group: str, order: list[str], n_partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and written, with its partition ids. Without a
+    number the session's shuffle width holds, which AQE narrows by size."""
+    dealt = df.repartitionByRange(n_partitions, group, *order) if n_partitions else df.repartitionByRange(group, *order)
+    return cut_lineage(dealt.withColumn("_pid", F.spark_partition_id()))
+
+
 def exclusive_running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str,
                           n_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``group``
     in ``order`` (ties must not occur in ``order``)."""
-    n = n_partitions or max(2, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id()))
+    ranged = _ranged(df, group, order, n_partitions)
     totals = ranged.groupBy("_pid", group).agg(F.sum(value).alias("_tot"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", group, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_base"))
@@ -42,8 +48,7 @@ def neighbor_value(df: DataFrame, group: str, order: list[str], value: str, out:
     each piece takes the carried value of the nearest earlier (later)
     partition holding the group: one row per partition a group spans.
     """
-    n = n_partitions or max(2, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id()))
+    ranged = _ranged(df, group, order, n_partitions)
     key = F.struct(*order)
     if direction == "prev":
         local = Window.partitionBy("_pid", group).orderBy(*order)

@@ -39,6 +39,14 @@ def asset_pages(spark, sf):
         "site", "page_id", "url", "html", F.expr(CONTENT_SQL).alias("content"))
 
 
+# The reference patterns as the rules state them, written out for the oracle.
+_PATTERNS = [
+    (r"!\[([^\]]*)\]\(([^)]+)\)", 2), (r"<img[^>]*src=[\"']([^\"']+)[\"'][^>]*>", 1), (r"src\s*=\s*[\"']([^\"']+)[\"']", 1),
+    (r"\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]\(([^)]+)\)", 2),
+    (r"href\s*=\s*(?:[\"']([^\"']*)[\"']|([^\s>]+))", 1), (r"href\s*=\s*(?:[\"']([^\"']*)[\"']|([^\s>]+))", 2),
+]
+
+
 def _resolve_sql(base: str, ref: str) -> str:
     path = D.url_path(base)
     dirpart = f"(CASE WHEN {path} = '' THEN '/' ELSE regexp_extract({path}, '^(.*/)', 1) END)"
@@ -50,7 +58,7 @@ def _resolve_sql(base: str, ref: str) -> str:
 
 def _refs_sql() -> str:
     text = "(content || html)"
-    arrays = ", ".join(f"regexp_extract_all({text}, {D.q('(?i)' + p)}, {g})" for p, g in A.ASSET_PATTERNS)
+    arrays = ", ".join(f"regexp_extract_all({text}, {D.q('(?i)' + p)}, {g})" for p, g in _PATTERNS)
     return f"""
 apages AS (
   SELECT {D.site_of('url')} AS site, page_id, url, html, {CONTENT_SQL} AS content
