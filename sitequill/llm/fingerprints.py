@@ -8,9 +8,9 @@ the documents, however unequal their lengths. A document whose hashes all lie
 above the threshold keeps its smallest one, so only documents without words
 have an empty sketch.
 
-The hash is the first 64 bits of MD5, as SQL engines agree on it; "below a
+The hash is the first 60 bits of MD5, as SQL engines agree on it; "below a
 fraction of 1/16" is then "its first hexadecimal digit is 0", a plain string
-comparison.
+comparison. Only what is retained becomes a number.
 """
 
 from __future__ import annotations
@@ -37,15 +37,18 @@ def sketch(text: Column, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOL
 
     def retained(w: Column) -> Column:
         n = F.greatest(F.size(w) - (shingle - 1), F.least(F.size(w), F.lit(1)))
-        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, shingle), " ").cast("binary")), 1, 16))
+        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, shingle), " ").cast("binary")), 1, 15))
         return F.when(n > 0, hashes).otherwise(F.array().cast("array<string>"))
 
     def kept(hashes: Column) -> Column:
         below = F.filter(hashes, lambda h: h < threshold)
         return F.when((F.size(below) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.sort_array(F.array_distinct(below)))
 
+    def numbers(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h: F.conv(h, 16, 10).cast("bigint"))
+
     # One-element transforms name intermediate arrays, so that each is computed once.
-    return F.transform(F.transform(F.transform(F.array(text), words), retained), kept)[0]
+    return F.transform(F.transform(F.transform(F.transform(F.array(text), words), retained), kept), numbers)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -62,7 +65,7 @@ def merged(sketches: Column) -> Column:
 
 
 def digest(a: Column) -> Column:
-    return F.md5(F.array_join(a, "").cast("binary"))
+    return F.md5(F.array_join(a.cast("array<string>"), ",").cast("binary"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,11 +89,11 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold
 
     Returns doc_id, n_chars, edited_sha256, fingerprint and
     edited_fingerprint (MD5 of the sketch), near_edited, near_next
-    (``likeness``) and sketch_size.
+    (``likeness``), sketch_size and next_doc_id.
     """
     src = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     src = src.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", F.lit(7)).alias("k2"), "text", F.length("text").cast("long").alias("n_chars"))
-    full = src.withColumn("sketch", sketch(F.col("text"), shingle, threshold))
+    full = src.drop("n_chars").withColumn("sketch", sketch(F.col("text"), shingle, threshold))
 
     order = src.select("doc_id", "k1", "k2", "n_chars").distinct()
     me = F.struct("k1", "k2", "n_chars")
@@ -103,17 +106,19 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold
     chain = neighbor_value(order.select("doc_id", "k1", me.alias("me"), F.lit(0).alias("all")), "all", ["doc_id", "k1"], "me", "before", "next")
     chain = chain.select(F.col("me.k1").alias("c1"), F.col("me.k2").alias("c2"), F.coalesce("before", lowest).alias("before"))
 
-    here = full.join(chain, (full["k1"] == chain["c1"]) & (full["k2"] == chain["c2"])).drop("c1", "c2")
+    # Both uses of ``full`` read the same columns, so its exchange is made once.
+    here = full.join(chain, (full["k1"] == chain["c1"]) & (full["k2"] == chain["c2"]))
     sent = here.groupBy(F.col("before.k1").alias("b1"), F.col("before.k2").alias("b2")).agg(
-        F.first(F.expr("left(text, cast(before.n_chars div 2 as int))")).alias("head"), F.first("sketch").alias("next_sketch"))
-    met = here.join(sent, (here["k1"] == sent["b1"]) & (here["k2"] == sent["b2"]))
+        F.first(F.expr("left(text, cast(before.n_chars div 2 as int))")).alias("head"), F.first("sketch").alias("next_sketch"),
+        F.first("doc_id").alias("next_doc_id"))
+    met = full.join(sent, (full["k1"] == sent["b1"]) & (full["k2"] == sent["b2"])).withColumn("n_chars", F.length("text").cast("long"))
     edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "head"))
     both = edited.withColumn("edited_sketch", sketch(F.col("edited"), shingle, threshold))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        F.size("sketch").cast("long").alias("sketch_size"))
+        F.size("sketch").cast("long").alias("sketch_size"), "next_doc_id")
 
 
 def _sql_sketch(text: str) -> str:
@@ -121,9 +126,10 @@ def _sql_sketch(text: str) -> str:
     w = f"list_filter(string_split_regex({text}, '{WHITE_SPACE}'), lambda w: w <> '')"
     k = SHINGLE_WORDS
     hashes = (f"list_transform([{w}], lambda ws: CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(greatest(len(ws) - {k - 1}, 1)), "
-              f"lambda i: left(md5(array_to_string(ws[i + 1 : i + {k}], ' ')), 16)) END)")
-    return (f"list_transform({hashes}, lambda hs: CASE WHEN len(hs) > 0 AND len(list_filter(hs, lambda h: h < '{THRESHOLD}')) = 0 "
+              f"lambda i: left(md5(array_to_string(ws[i + 1 : i + {k}], ' ')), 15)) END)")
+    kept = (f"list_transform({hashes}, lambda hs: CASE WHEN len(hs) > 0 AND len(list_filter(hs, lambda h: h < '{THRESHOLD}')) = 0 "
             f"THEN [list_min(hs)] ELSE list_sort(list_distinct(list_filter(hs, lambda h: h < '{THRESHOLD}'))) END)[1]")
+    return f"list_transform({kept}, lambda h: CAST('0x' || h AS BIGINT))"
 
 
 def _sql_likeness(a: str, b: str) -> str:
@@ -133,10 +139,11 @@ def _sql_likeness(a: str, b: str) -> str:
 
 EDITED_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-     e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx FROM d),
+     e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx,
+                  coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_doc_id FROM d),
      f AS (SELECT *, left(t, n - n // 2) || left(nx, n // 2) AS ed FROM e),
      g AS (SELECT *, {_sql_sketch("t")} AS a, {_sql_sketch("ed")} AS b, {_sql_sketch("nx")} AS c FROM f)
-SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, md5(array_to_string(a, '')) AS fingerprint, md5(array_to_string(b, '')) AS edited_fingerprint,
-       {_sql_likeness("a", "b")} AS near_edited, {_sql_likeness("a", "c")} AS near_next, CAST(len(a) AS BIGINT) AS sketch_size
+SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, md5(array_to_string(a, ',')) AS fingerprint, md5(array_to_string(b, ',')) AS edited_fingerprint,
+       {_sql_likeness("a", "b")} AS near_edited, {_sql_likeness("a", "c")} AS near_next, CAST(len(a) AS BIGINT) AS sketch_size, next_doc_id
 FROM g
 """
