@@ -6,7 +6,7 @@
 ``pages`` holds (page_id, url, html); ``fetches`` (site, url, status, body, kind)
 adds native Markdown and sitemap responses; without it, each site's sitemap is
 derived from its captured pages. Writes ``OUT_DIR/documents/site=<site>/`` (ordered part files)
-and ``OUT_DIR/diagnostics/`` (JSON).
+and ``OUT_DIR/diagnostics/`` (JSON: pages, assets and rate of the run, nodes by discovery source).
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions import urls as U
+from .operators import assets as A
 from .operators import consolidate as C
-from .plans.pipeline import SiteOptions, run_stats, site_documents, write_diagnostics
+from .plans.pipeline import SiteOptions, discover, run_stats, site_documents, write_diagnostics
 from .session import build_session, cut_lineage
 from .sources import fetches as FE
 
@@ -34,10 +36,13 @@ def run(spark: SparkSession, pages_path: str, out_dir: str, fetches_path: str |
     else:
         fetches = fetches.unionByName(FE.sitemap_fetches(pages.select("url")))
     opts = SiteOptions(section_path=section, exclude_path=exclude, downloaded=downloaded)
-    blocks = cut_lineage(site_documents(pages, fetches, opts))
+    found = discover(pages, fetches)
+    blocks = cut_lineage(site_documents(pages, fetches, opts, found))
     C.sink_documents(blocks, f"{out_dir}/documents")
-    stats = run_stats(blocks, None, time.time() - t0)
-    write_diagnostics(stats.withColumn("section", F.lit(section)), f"{out_dir}/diagnostics")
+    assets = A.asset_refs(pages.select(U.site_of("url").alias("site"), "url", F.lit(None).cast("string").alias("content"), "html"))
+    stats = run_stats(blocks, assets, time.time() - t0)
+    both = stats.join(found.counts(), "site", "left").withColumn("section", F.lit(section))
+    write_diagnostics(both, f"{out_dir}/diagnostics")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -31,30 +31,42 @@ class SiteOptions:
     tested_rule: bool = False
 
 
-def discover(pages: DataFrame, fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fused nodes, entry pages) for every site."""
-    entry = FU.entry_pages(pages.select("page_id", "url"))
+@dataclass
+class Discovery:
+    """What was found for every site: the three sources, their merged nodes
+    and the entry pages. Each is written once; several readers follow."""
+
+    sidebar: DataFrame
+    sitemap: DataFrame
+    heuristic: DataFrame
+    fused: DataFrame
+    entry: DataFrame
+
+    def counts(self) -> DataFrame:
+        return FU.discovery_counts(self.sidebar, self.sitemap, self.heuristic, self.fused)
+
+
+def discover(pages: DataFrame, fetches: DataFrame) -> Discovery:
+    """Sidebar, sitemap and link-scan nodes of every site, merged."""
+    entry = cut_lineage(FU.entry_pages(pages.select("page_id", "url")))
     # One page per site, written once: sidebar and links both read it.
     entry_html = cut_lineage(pages.join(entry.select("page_id"), "page_id", "left_semi"))
-    sidebar = X.sidebar_hierarchy_rows(entry_html).join(entry.select("page_id", "site"), "page_id").select(
-        "site", "url", "title", "level", "ord")
-    smap = SM.resolve_sitemap_index(fetches, SM.scan_sitemaps(fetches).select("site", "url"))
+    sidebar = cut_lineage(X.sidebar_hierarchy_rows(entry_html).join(entry.select("page_id", "site"), "page_id").select(
+        "site", "url", "title", "level", "ord"))
+    smap = cut_lineage(SM.resolve_sitemap_index(fetches, SM.scan_sitemaps(fetches).select("site", "url")))
     edges = L.link_edges(entry_html)
-    heur = FU.urls_to_nodes(edges.join(entry.select("site", "base_url"), "site")
-                            .select("site", F.col("to_url").alias("url"), "base_url")).select("site", "url", "title", "depth")
-    fused = FU.fuse_sources(sidebar, smap, heur, entry.select("site", "base_url"))
-    return fused, entry
+    heur = cut_lineage(FU.urls_to_nodes(edges.join(entry.select("site", "base_url"), "site")
+                                        .select("site", F.col("to_url").alias("url"), "base_url"))
+                       .select("site", "url", "title", "depth"))
+    fused = cut_lineage(FU.fuse_sources(sidebar, smap, heur, entry.select("site", "base_url")))
+    return Discovery(sidebar, smap, heur, fused, entry)
 
 
-def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | None = None) -> DataFrame:
+def site_documents(pages: DataFrame, fetches: DataFrame, opts: SiteOptions | None = None, found: Discovery | None = None) -> DataFrame:
     """Consolidated document blocks per site (see ``consolidate.consolidate``)."""
     opts = opts or SiteOptions()
-    fused, entry = discover(pages, fetches)
-    # Stage outputs used several times downstream are checkpointed to the shared
-    # folder: later stages re-plan a leaf instead of copies of the discovery
-    # plan, and a lost executor recomputes from here.
-    fused = cut_lineage(fused)
-    entry = cut_lineage(entry)
+    found = found or discover(pages, fetches)
+    fused, entry = found.fused, found.entry
     urls = fused.where(P.include_exclude("url", opts.section_path, opts.exclude_path)).select("site", "url", "title")
     hits = FU.probe_resolve(urls.select("site", "url"), fetches)
     native = FU.native_pages(hits, urls).select("site", "url", "title", "content")
@@ -86,7 +98,7 @@ def run_stats(documents: DataFrame, assets: DataFrame | None, duration_sec: floa
     """Per site: pages, assets, duration and pages / max(duration, 0.1)."""
     pages = documents.where(F.col("part") == 1).groupBy("site").agg(F.count("*").alias("pages_downloaded"))
     if assets is not None:
-        a = assets.groupBy("site").agg(F.count_distinct("url").alias("assets_downloaded"))
+        a = assets.groupBy("site").agg(F.count_distinct("asset_url").alias("assets_downloaded"))
         pages = pages.join(a, "site", "left").na.fill(0, ["assets_downloaded"])
     else:
         pages = pages.withColumn("assets_downloaded", F.lit(0).cast("long"))
@@ -95,4 +107,4 @@ def run_stats(documents: DataFrame, assets: DataFrame | None, duration_sec: floa
                         (F.col("pages_downloaded") / F.lit(max(d, 0.1))).alias("pages_per_second"))
 
 
-__all__ = ["SiteOptions", "site_documents", "discover", "run_stats", "write_diagnostics"]
+__all__ = ["Discovery", "SiteOptions", "site_documents", "discover", "run_stats", "write_diagnostics"]

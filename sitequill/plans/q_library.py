@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import assets as A
 from ..operators import consolidate as C
 from ..operators import library as LB
 from ..session import ensure_checkpoint_dir
+from ..sources import corpus as CP
 from . import duck as D
 from .q_consolidate import DOWNLOADED, NL, _document_sql, _inputs
 from .registry import query
 
+# A link to an image by the length of the page's URL, read alike by both engines.
+_ASSET_LINK = """concat('<a href="https://cdn.example/', length(url), '.png">')"""
+
 # Headings looked for by the targeted audit (parameters of the query).
 TARGETS = ["Notes", "Detail", "Good", "deeper"]
 
@@ -81,11 +86,19 @@ def library_metadata(spark, sf):
 
 
 @query("run_stats", oracle=f"""
-WITH {_doc_cte()}
-SELECT site, count(*) FILTER (WHERE part = 1) AS pages_downloaded, CAST(0 AS BIGINT) AS assets_downloaded,
-       CAST(0.0 AS DOUBLE) AS duration, count(*) FILTER (WHERE part = 1) / 0.1 AS pages_per_second
-FROM docs GROUP BY site""")
+WITH {_doc_cte()}, dom AS (
+  SELECT site, count(*) FILTER (WHERE part = 1) AS pages_downloaded FROM docs GROUP BY site
+), refs AS (
+  SELECT site, count(DISTINCT ref) AS assets_downloaded FROM (
+    SELECT site, unnest(regexp_extract_all(link, '(?i)href\\s*=\\s*"(https://cdn[.]example/[0-9]+[.]png)"', 1)) AS ref
+    FROM (SELECT *, {_ASSET_LINK} AS link FROM ({CP.PAGES_SQL}))) GROUP BY site)
+SELECT dom.site, pages_downloaded, coalesce(assets_downloaded, 0) AS assets_downloaded,
+       CAST(12.5 AS DOUBLE) AS duration, pages_downloaded / CAST(12.5 AS DOUBLE) AS pages_per_second
+FROM dom LEFT JOIN refs ON refs.site = dom.site""")
 def run_stats(spark, sf):
-    """Per site: pages written, assets, duration (a parameter; 0 here) and pages / max(duration, 0.1)."""
+    """Per site: pages written, distinct assets its pages refer to (each page
+    gets a link by the length of its URL), duration (a parameter) and rate."""
     from .pipeline import run_stats as stats
-    return stats(_blocks(spark, sf), None, 0.0)
+    pages, _, _ = _inputs(spark, sf)
+    linked = pages.select("site", "url", F.expr(_ASSET_LINK).alias("content"), F.lit(None).cast("string").alias("html"))
+    return stats(_blocks(spark, sf), A.asset_refs(linked), 12.5)

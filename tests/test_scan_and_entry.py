@@ -86,7 +86,8 @@ def test_cli_run_writes_documents(spark, tmp_path):
     one = docs.first()[0]
     assert "**Downloaded:** T" in one or one.startswith("\n")
     diag = spark.read.json(f"{out}/diagnostics")
-    assert {"site", "pages_downloaded", "pages_per_second"} <= set(diag.columns)
+    assert {"site", "pages_downloaded", "pages_per_second", "assets_downloaded", "sidebar", "sitemap", "heuristic", "merged"} <= set(diag.columns)
+    assert diag.where("merged > 0").count() > 0
 
 
 def _page(title, nav=(), body="Body text of the page that is long enough."):
