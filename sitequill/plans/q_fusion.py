@@ -111,14 +111,15 @@ def _repair_sql(title: str, content: str) -> str:
 
 @query("native_pages", oracle=f"""
 WITH {MD_FETCH_SQL}, {PROBE_SQL}
-SELECT site, url, {_repair_sql("'Untitled'", 'body')} AS title, md5(body) AS content_md5, 'native_probe' AS source
+SELECT site, url, {_repair_sql(f"(CASE WHEN length(url) % 2 = 0 THEN {D.title_from_url('url')} ELSE 'Untitled' END)", 'body')} AS title, md5(body) AS content_md5, 'native_probe' AS source
 FROM hits""")
 def native_pages(spark, sf):
-    """Probe hits as page records; placeholder titles repaired from the content."""
+    """Probe hits as page records; a hierarchy that knows every URL of even
+    length gives titles, and placeholders are repaired from the content."""
     urls, fetches = _probe_inputs(spark, sf)
     hits = FU.probe_resolve(urls, fetches)
-    empty_h = hits.sparkSession.createDataFrame([], "site string, url string, title string")
-    p = FU.native_pages(hits, empty_h)
+    known = urls.where(F.length("url") % 2 == 0).select("site", "url", U.title_from_url("url").alias("title"))
+    p = FU.native_pages(hits, known)
     return p.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
 
 
