@@ -25,6 +25,8 @@ from .ragged import prefix_sums, ragged_index, slice_hash
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 NO_RANK = np.int64(1 << 40)
+#: Sets the cache keys of special strings apart from equal ordinary text.
+SPECIAL_KEY = np.uint64(0xD1B54A32D192ED03)
 #: Distinct pre-tokens a worker remembers before it starts afresh (about 50
 #: bytes each), and with their decoded text (about 150 bytes each).
 CACHE_ENTRIES = 1_500_000
@@ -307,14 +309,16 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.decoded: list[str] = []
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[tuple[str, bool]]:
+        """Parts of a text and whether each is a special string of the raw
+        text (folding may make an ordinary part look like one)."""
         parts = [text]
         if self.special and any(s in text for s in self.vocabulary.special):
             parts = [p for p in self.special.split(text) if p]
         out = []
         for p in parts:
             if p in self.vocabulary.special:
-                out.append(p)
+                out.append((p, True))
                 continue
             if self.fold:
                 p = fold_text(p)
@@ -323,10 +327,10 @@ class Encoder:
                 m = _CUT.search(p, at + PART_CHARS)
                 if not m:
                     break
-                out.append(p[at : m.start() + 1])
+                out.append((p[at : m.start() + 1], False))
                 at = m.start() + 1
-            out.append(p[at:])
-        return [p for p in out if p]
+            out.append((p[at:], False))
+        return [x for x in out if x[0]]
 
     def entries(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cache entry of every pre-token in order, and offsets by text.
@@ -336,7 +340,7 @@ class Encoder:
             self._clear()
         counts = np.zeros(len(texts), np.int64)
         found: list[np.ndarray] = []
-        batch: list[str] = []
+        batch: list[tuple[str, bool]] = []
         owner: list[int] = []
         size = 0
 
@@ -352,56 +356,58 @@ class Encoder:
 
         for i, t in enumerate(texts):
             for p in self._pieces(t):
-                if size + len(p) > PART_CHARS:
+                if size + len(p[0]) > PART_CHARS:
                     flush()
                 batch.append(p)
                 owner.append(i)
-                size += len(p)
+                size += len(p[0])
         flush()
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(counts, out=offsets[1:])
         return (np.concatenate(found) if found else np.zeros(0, np.int64)), offsets
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, flagged: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [p for p, _ in flagged]
+        whole = np.flatnonzero([f for _, f in flagged])
         big = "".join(pieces)
         cp = np.frombuffer(big.encode("utf-32-le"), np.uint32)
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         piece_start = np.cumsum(n) - n
         s, e = self.starts(cp, piece_start)
-        if self.special:
-            s, e = self._whole_specials(pieces, piece_start, n, s, e)
+        if len(whole):
+            s, e = self._whole_specials(piece_start[whole], n[whole], s, e)
         per_piece = np.diff(np.append(np.searchsorted(s, piece_start), len(s)))
         if not len(s):
             return np.zeros(0, np.int64), per_piece
         sums, down = prefix_sums(code_values()[cp])
         key = slice_hash(sums, down, s, e)
+        special = np.zeros(len(s), bool)
+        special[np.searchsorted(s, piece_start[whole])] = True
+        key[special] ^= SPECIAL_KEY
         unique, where, back = np.unique(key, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
         if not known.all():
             new = where[~known]
-            self._learn(unique[~known], [big[i:j] for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            self._learn(unique[~known], [big[i:j] for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)], special[new])
             at = np.searchsorted(self.keys, unique)
         return self.entry[at][back], per_piece
 
-    def _whole_specials(self, pieces, piece_start, n, s, e):
-        whole = [i for i, p in enumerate(pieces) if p in self.vocabulary.special]
-        if not whole:
-            return s, e
+    def _whole_specials(self, start, size, s, e):
+        """Special strings are one pre-token each, whatever the rule cut."""
         keep = np.ones(len(s), bool)
-        for i in whole:
-            a, b = np.searchsorted(s, [piece_start[i], piece_start[i] + n[i]])
+        for i, n in zip(start.tolist(), size.tolist(), strict=True):
+            a, b = np.searchsorted(s, [i, i + n])
             keep[a + 1 : b] = False
-            e[a] = piece_start[i] + n[i]
+            e[a] = i + n
         return s[keep], e[keep]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str], special: np.ndarray) -> None:
         ids, length = encode_words([w.encode() for w in words], self.vocabulary, self.forced_cuts)
-        for i, w in enumerate(words):
-            if w in self.vocabulary.special:  # never a pre-token of ordinary text
-                a = int(length[:i].sum())
-                ids = np.concatenate([ids[:a], [self.vocabulary.special[w]], ids[a + length[i] :]])
-                length[i] = 1
+        for i in np.flatnonzero(special).tolist():
+            a = int(length[:i].sum())
+            ids = np.concatenate([ids[:a], [self.vocabulary.special[words[i]]], ids[a + length[i] :]])
+            length[i] = 1
         first = len(self.length)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])

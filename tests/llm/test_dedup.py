@@ -46,7 +46,7 @@ def test_removal_of_odd_rows(make_docs, odd_rows):
     assert Counter(map(tuple, got)) == Counter(removed_by_brute_force(odd_rows, 35))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_removal_with_shared_passages(make_docs, seed):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
@@ -140,7 +140,7 @@ def test_keys_meet_within_two_bits():
         assert set(key[at == 0].tolist()) & set(key[at == 1].tolist())
 
 
-@pytest.mark.parametrize("bits,direct", [(0, 64), (1, 64), (2, 64), (0, 1), (1, 1), (2, 1), (2, 3)])
+@pytest.mark.parametrize("bits,direct", [(0, 1), (1, 1), (2, 64), (2, 2)])
 def test_links_with_and_without_crowded_keys(spark, monkeypatch, bits, direct):
     monkeypatch.setattr(simhash, "DIRECT_KEY", direct)
     rng = random.Random(bits)
