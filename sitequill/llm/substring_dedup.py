@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_batches
-from .ragged import CHUNK_CHARS, mix, prefix_sums, slice_hash, text_chunks
+from .ragged import batch_chunks, mix, prefix_sums, slice_hash
 
 WINDOW_WORDS = 35
 PERIOD = 21
@@ -107,9 +107,8 @@ def _anchor_positions(n: int, anchor: int, period: int, cover: np.ndarray) -> np
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    for i, j in text_chunks(texts, CHUNK_CHARS):
-        yield batch.slice(i, j - i), Words(texts[i:j])
+    for part, texts in batch_chunks(batch, "text"):
+        yield part, Words(texts)
 
 
 def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
@@ -129,17 +128,17 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
     return map_batches(docs.select("k", "text"), run, [("h", "long"), ("k", "long"), ("pos", "int")])
 
 
-def _repeated(found: DataFrame, hashes: list[str], row: list[str], weight: str = "1") -> DataFrame:
+def _repeated(found: DataFrame, hashes: list[str], row: list[str], weight: str = "1", firsts: bool = False) -> DataFrame:
     """For each row the positions whose hash is found more than once (column
-    ``places``, bounded by the row's own words), and those of them that are
-    the first occurrence of their hash (``firsts``). Occurrences of a
+    ``places``, bounded by the row's own words), and with ``firsts`` those of
+    them that are the first occurrence of their hash. Occurrences of a
     ``weight`` over one are known to be repeated and only vouch for others."""
     place = F.struct("k", "pos")
-    counted = found.groupBy(*hashes).agg(F.sum(F.expr(weight)).alias("n"), F.min(place).alias("first"))
-    twice = cut_lineage(counted.where("n > 1").drop("n"))
+    first = [F.min(place).alias("first")] if firsts else []
+    twice = cut_lineage(found.groupBy(*hashes).agg(F.sum(F.expr(weight)).alias("n"), *first).where("n > 1").drop("n"))
     hits = found.where(F.expr(weight) == 1).join(twice, hashes)
-    return cut_lineage(hits.groupBy(*row).agg(
-        F.collect_list("pos").alias("places"), F.collect_list(F.when(place == F.col("first"), F.col("pos"))).alias("firsts")))
+    own = [F.collect_list(F.when(place == F.col("first"), F.col("pos"))).alias("firsts")] if firsts else []
+    return cut_lineage(hits.groupBy(*row).agg(F.collect_list("pos").alias("places"), *own))
 
 
 def _long_sequences(docs: DataFrame, length: int) -> DataFrame:
@@ -221,11 +220,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, period:
     src = src.withColumn("k", F.xxhash64("id", "text"))
     length = window + EXTRA_WORDS
 
-    marks = _repeated(_anchors(src, window, period), ["h"], ["k"]).drop("firsts")
+    marks = _repeated(_anchors(src, window, period), ["h"], ["k"])
     seen = cut_lineage(_first_pass(src.join(marks, "k", "left"), window, digest))
     touched = seen.where("places IS NOT NULL")
     row = ["id", "k"]
-    settled = _repeated(_long_sequences(touched, length), ["h1", "h2"], row)
+    settled = _repeated(_long_sequences(touched, length), ["h1", "h2"], row, firsts=True)
     with_settled = _attach(touched, settled.withColumnRenamed("places", "settled"))
     single = _repeated(_open_windows(with_settled, window, period, length), ["h1", "h2"], row, "weight")
     both = (settled.select(*row, F.col("places").alias("settled"), F.lit(None).cast("array<int>").alias("single"))
