@@ -20,11 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, id_text, map_batches, map_texts
-from .ragged import prefix_sums, ragged_index, slice_hash
+from .ragged import batch_chunks, prefix_sums, ragged_index, slice_hash
 
 #: Characters of text handled at once.
 CHUNK = 1 << 21
@@ -191,7 +192,7 @@ def expected_counts(big, s, e, weight: np.ndarray, lattice: Lattice, model: np.n
     start = np.cumsum(size) - size
     found = lattice.find(cp, np.repeat(start + size, size))
     counts = np.zeros(lattice.size)
-    for group in _by_length(size):
+    for group in _by_length(size, lattice.longest):  # a table for each length of piece
         _add_expected(found, start[group], size[group], weight[group], model, lattice.longest, counts)
     return counts
 
@@ -261,15 +262,11 @@ def piece_counts(training: DataFrame, vocabulary_path: str) -> DataFrame:
         lattice = _lattice(vocabulary_path)
         equal = np.full(lattice.size, 1 / lattice.size)
         total: dict[str, np.ndarray] = {}
-        from .ragged import text_chunks
-
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for i, j in text_chunks(own, CHUNK):
-                    big, s, e, keys, _ = _words(own[i:j])
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                own = batch.filter(pc.equal(batch.column("lang"), lang))
+                for _, texts in batch_chunks(own, "text", CHUNK):
+                    big, s, e, keys, _ = _words(texts)
                     _, where, n = np.unique(keys, return_index=True, return_counts=True)
                     if len(where):
                         got = expected_counts(big, s[where], e[where], n.astype(float), lattice, equal)
@@ -386,8 +383,6 @@ def keep_identified(docs: DataFrame, model: Model, vocabulary_path: str, least:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .ragged import batch_chunks
-
         for batch in batches:
             for part, texts in batch_chunks(batch, text_col, CHUNK):
                 langs, score = _predict(texts, vocabulary_path, name, shared.value)

@@ -6,10 +6,11 @@ data between chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at once. A longer single text forms a chunk of its own.
 CHUNK_CHARS = 1 << 20
@@ -19,23 +20,26 @@ BASE = _U(0x9E3779B97F4A7C15)
 BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def text_chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges [i, j) of ``texts`` whose lengths sum to about ``limit``."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        if j > i and size + len(t) > limit:
-            yield i, j
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield i, len(texts)
+def size_chunks(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges [i, j) whose sizes sum to at most ``limit``, one item at least."""
+    start, end, total = 0, 0, 0
+    for size in sizes:
+        if end > start and total + size > limit:
+            yield start, end
+            start, total = end, 0
+        total += size
+        end += 1
+    if end > start:
+        yield start, end
 
 
 def batch_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a record batch with their texts (null read as empty)."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    for i, j in text_chunks(texts, limit):
-        yield batch.slice(i, j - i), texts[i:j]
+    """Slices of a record batch with their texts (null read as empty); only one
+    slice's texts leave Arrow at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for i, j in size_chunks(sizes, limit):
+        part = batch.slice(i, j - i)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

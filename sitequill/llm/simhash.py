@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_text, map_batches, row_key
 from .components import connected_components
+from .ragged import batch_chunks
 
 #: (lowest bit, width) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -71,9 +72,10 @@ def simhash(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint((t or "").encode().lower().split(), shingle, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
+            for part, texts in batch_chunks(batch, "text"):
+                fps = [fingerprint(t.encode().lower().split(), shingle, seed) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("row"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
 
     src = id_text(docs, id_col, text_col).withColumn("row", row_key())
     return map_batches(src.select("doc_id", "text", "row"), run, [("doc_id", src.schema["doc_id"].dataType), ("row", "long"), ("fp", "long")])
