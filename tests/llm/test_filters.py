@@ -134,7 +134,8 @@ def test_rules_of_odd_rows(make_docs, odd_rows):
     rows = [*odd_rows, (20, "the word and the other word are here in one line of text\n" * 40), (21, "a b c d e f a b c d e g h i j"), (22, "# * $ % & | < > a b c d"), (23, "!!! " * 60)]
     rows += [(30 + i, " ".join(rng.choice(["the", "a", "und", "x#", "y\n", "zz.", "é"]) for _ in range(rng.randint(0, 80)))) for i in range(60)]
     df = quality_rules.quality_rules(make_docs(rows, clashing=True))
-    unique = list({r[0]: r for r in rows if r[0] is not None}.values())  # the oracle groups by id
+    # The oracle groups by id, and copies a text's words for each of its windows.
+    unique = list({r[0]: r for r in rows if r[0] is not None and len(r[1] or "") < 5000}.values())
     same = quality_rules.quality_rules(make_docs(unique)).drop("failed", "n_stop_words", "n_exclamations", "n_lines")
     same_as_oracle(same, quality_rules.SQL, unique)
     assert df.count() == len(rows)
