@@ -9,8 +9,8 @@ above the threshold keeps its smallest one, so only documents without words
 have an empty sketch.
 
 The hash is the first 60 bits of MD5, as SQL engines agree on it; "below a
-fraction of 1/16" is then "its first hexadecimal digit is 0", a plain string
-comparison. Only what is retained becomes a number.
+fraction of 1/2" is then "its first hexadecimal digit is below 8", a plain
+string comparison. Only what is retained becomes a number.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from ..operators.scan import neighbor_value
 from .common import id_text
 
 SHINGLE_WORDS = 5
-#: Hashes below this string are retained: one in 16.
-THRESHOLD = "1"
+#: Hashes below this string are retained: one in two.
+THRESHOLD = "8"
+#: Sketches kept for long documents alone, ``fingerprints``: one in 16.
+THIN_THRESHOLD = "1"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -68,8 +70,9 @@ def digest(a: Column) -> Column:
     return F.md5(F.array_join(a.cast("array<string>"), ",").cast("binary"))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sketch) of every row. Null text: empty sketch."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THIN_THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sketch) of every row. Null text: empty sketch. Texts of some
+    hundred words and less need ``THRESHOLD``."""
     return id_text(docs, id_col, text_col).select("doc_id", sketch(F.col("text"), shingle, threshold).alias("sketch"))
 
 
@@ -79,8 +82,8 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold
     the next row by falling doc_id; the last row's next is the first.
 
     The order is found on thin rows, range-partitioned. Each row then meets
-    the row before it, learns how much of its text that one needs, and sends
-    only this part and its sketch; its own text is shuffled once.
+    the row before it and sends it its text; each text is shuffled twice and
+    sketches, which are larger, never.
 
     Null texts are empty and null ids come last; rows that share an id are
     ordered by a hash of their text, and rows equal in both are one document
@@ -93,7 +96,7 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold
     """
     src = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     src = src.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("doc_id", F.lit(7)).alias("k2"), "text", F.length("text").cast("long").alias("n_chars"))
-    full = src.drop("n_chars").withColumn("sketch", sketch(F.col("text"), shingle, threshold))
+    full = src.drop("n_chars")
 
     order = src.select("doc_id", "k1", "k2", "n_chars").distinct()
     me = F.struct("k1", "k2", "n_chars")
@@ -109,11 +112,10 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold
     # Both uses of ``full`` read the same columns, so its exchange is made once.
     here = full.join(chain, (full["k1"] == chain["c1"]) & (full["k2"] == chain["c2"]))
     sent = here.groupBy(F.col("before.k1").alias("b1"), F.col("before.k2").alias("b2")).agg(
-        F.first(F.expr("left(text, cast(before.n_chars div 2 as int))")).alias("head"), F.first("sketch").alias("next_sketch"),
-        F.first("doc_id").alias("next_doc_id"))
+        F.first("text").alias("next_text"), F.first("doc_id").alias("next_doc_id"))
     met = full.join(sent, (full["k1"] == sent["b1"]) & (full["k2"] == sent["b2"])).withColumn("n_chars", F.length("text").cast("long"))
-    edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), "head"))
-    both = edited.withColumn("edited_sketch", sketch(F.col("edited"), shingle, threshold))
+    edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.expr("left(next_text, cast(n_chars div 2 as int))")))
+    both = edited.select("*", *[sketch(F.col(c), shingle, threshold).alias(s) for c, s in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch"))])
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"),

@@ -305,6 +305,23 @@ def test_containment_of_unequal_documents_and_unions(make_docs):
     assert r.near == 1.0 and r.same
 
 
+def test_short_documents_keep_their_likeness(make_docs):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 120)))) for i in range(400)]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    errors = []
+    for r in fingerprints.edited_fingerprints(make_docs(rows)).collect():
+        text, n = rows[r.doc_id][1], r.n_chars
+        a, b = shingles(text), shingles(text[: n - n // 2] + rows[r.next_doc_id][1][: n // 2])
+        errors.append(abs(r.near_edited - len(a & b) / min(len(a), len(b))))
+        assert r.near_edited > 0
+    assert sum(errors) / len(errors) < 0.05 and sum(e > 0.2 for e in errors) <= 4
+
+
 def test_sketch_query_plan_is_native(spark):
     df = queries.QUERIES["op10_document_fingerprints"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
