@@ -1,11 +1,12 @@
 """License detection by ordered signature rules.
 
 Texts are reduced to lower-case words joined by one space. A signature is a
-regular expression over these words, keywords that the text must hold for the
-signature to count, a label, a priority and a weight; the table below is the
-product of license names and the phrases in which they are invoked. An
-Aho-Corasick pass finds which keywords a text holds, and only signatures whose
-keywords are all there are run. Of the matches, one whose words lie inside those of a match of
+regular expression over these words, keywords that each of its matches holds,
+groups of keywords of which each match holds one, a label, a priority and a
+weight; the table below is the product of license names and the phrases in
+which they are invoked. An Aho-Corasick pass finds which keywords a text
+holds, and only signatures that can match by them are run: the pass saves
+time and decides nothing. Of the matches, one whose words lie inside those of a match of
 higher priority (or of equal priority and greater length) is suppressed.
 
 Three base phrases are signatures too; their labels always stay. One narrow
@@ -35,72 +36,74 @@ BASE_PHRASES = (
 
 _V = r"(?: v| version| ver)? ?"
 
-#: License names as patterns over words: (label, pattern, keywords).
+#: License names as patterns over words: (label, pattern, keywords of which
+#: each match holds one, where a space comes before the first word too).
 NAMES = (
-    ("mit", r"(?:mit|expat)(?: x11)?", ("licen",)),
-    ("mit-0", r"mit 0|mit no attribution", ("mit",)),
-    ("x11", r"x11", ("x11",)),
-    ("isc", r"isc|internet systems consortium", ("licen",)),
-    ("apache-1", rf"apache(?: software)?(?: foundation)? license{_V}1(?: [01])?|apache 1(?: [01])?", ("apache",)),
-    ("apache-2", rf"apache(?: software)?(?: foundation)? license{_V}2(?: 0)?|apache 2(?: 0)?|asl 2(?: 0)?|al2", ("a",)),
-    ("apache", r"apache(?: software)?(?: foundation)?", ("apache",)),
+    ("mit", r"(?:mit|expat)(?: x11)?", (" mit", " expat")),
+    ("mit-0", r"mit 0|mit no attribution", (" mit 0", " mit no")),
+    ("x11", r"x11", (" x11",)),
+    ("isc", r"isc|internet systems consortium", (" isc", " internet systems")),
+    ("apache-1", rf"apache(?: software)?(?: foundation)? license{_V}1(?: [01])?|apache 1(?: [01])?", (" apache",)),
+    ("apache-2", rf"apache(?: software)?(?: foundation)? license{_V}2(?: 0)?|apache 2(?: 0)?|asl 2(?: 0)?|al2", (" apache", " asl", " al2")),
+    ("apache", r"apache(?: software)?(?: foundation)?", (" apache",)),
     ("bsd-2-clause", r"(?:bsd 2(?: clause)?|(?:simplified|freebsd|two clause|2 clause) bsd)", ("bsd",)),
     ("bsd-3-clause", r"(?:bsd 3(?: clause)?|(?:modified|new|revised|three clause|3 clause) bsd)", ("bsd",)),
     ("bsd-4-clause", r"(?:bsd 4(?: clause)?|(?:original|old|four clause|4 clause) bsd)", ("bsd",)),
     ("0bsd", r"(?:0bsd|zero clause bsd)", ("bsd",)),
-    ("bsd", r"bsd(?: style)?", ("bsd",)),
-    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl){_V}1(?: 0)?|gplv1", ("g",)),
-    ("gpl-2", rf"(?:gnu )?(?:general public license|gpl){_V}2(?: 0)?|gplv2|gpl2", ("g",)),
-    ("gpl-3", rf"(?:gnu )?(?:general public license|gpl){_V}3(?: 0)?|gplv3|gpl3", ("g",)),
-    ("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", ("g",)),
-    ("lgpl-2", rf"(?:gnu )?(?:library|lesser) (?:general public license|gpl){_V}2(?: [01])?|lgpl{_V}2(?: [01])?|lgplv2", ("g",)),
-    ("lgpl-3", rf"(?:gnu )?lesser (?:general public license|gpl){_V}3(?: 0)?|lgpl{_V}3(?: 0)?|lgplv3", ("g",)),
-    ("lgpl", r"(?:gnu )?(?:library|lesser) general public license|lgpl", ("g",)),
-    ("agpl-3", rf"(?:gnu )?affero (?:general public license|gpl){_V}3(?: 0)?|agpl{_V}3(?: 0)?|agplv3", ("g",)),
-    ("agpl", r"(?:gnu )?affero general public license|agpl", ("g",)),
-    ("gfdl", r"(?:gnu )?free documentation license(?: version)?(?: 1(?: [123])?)?|gfdl", ("f",)),
-    ("mpl-1", rf"(?:mozilla public license|mpl){_V}1(?: [01])?", ("m",)),
-    ("mpl-2", rf"(?:mozilla public license|mpl){_V}2(?: 0)?", ("m",)),
-    ("mpl", r"mozilla public license|mpl", ("m",)),
-    ("epl-1", rf"(?:eclipse public license|epl){_V}1(?: 0)?", ("e",)),
-    ("epl-2", rf"(?:eclipse public license|epl){_V}2(?: 0)?", ("e",)),
-    ("eupl", rf"european union public licen[cs]e(?:{_V}1(?: [012])?)?|eupl(?:{_V}1(?: [012])?)?", ("eu",)),
-    ("cddl", rf"common development and distribution license(?:{_V}1(?: [01])?)?|cddl(?:{_V}1(?: [01])?)?", ("d",)),
-    ("cpl", rf"common public license(?:{_V}1(?: 0)?)?", ("common public",)),
-    ("artistic", rf"artistic license(?:{_V}[12](?: 0)?)?", ("artistic",)),
-    ("bsl-1", rf"boost software license(?:{_V}1(?: 0)?)?", ("boost",)),
-    ("zlib", r"zlib(?: libpng)?", ("zlib",)),
-    ("unlicense", r"unlicense", ("unlicense",)),
-    ("wtfpl", r"wtfpl", ("wtfpl",)),
-    ("cc0", rf"cc0(?:{_V}1(?: 0)?)?|creative commons zero", ("c",)),
-    ("cc-by-nc-nd", r"cc by nc nd(?: [1234] ?[05]?)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s", ("c",)),
-    ("cc-by-nc-sa", r"cc by nc sa(?: [1234] ?[05]?)?|creative commons attribution non ?commercial share ?alike", ("c",)),
-    ("cc-by-nc", r"cc by nc(?: [1234] ?[05]?)?|creative commons attribution non ?commercial", ("c",)),
-    ("cc-by-nd", r"cc by nd(?: [1234] ?[05]?)?|creative commons attribution no ?deriv(?:ative)?s", ("c",)),
-    ("cc-by-sa", r"cc by sa(?: [1234] ?[05]?)?|creative commons attribution share ?alike", ("c",)),
-    ("cc-by", r"cc by(?: [1234] ?[05]?)?|creative commons attribution", ("c",)),
+    ("bsd", r"bsd(?: style)?", (" bsd",)),
+    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl){_V}1(?: 0)?|gplv1", ("general public", " gpl")),
+    ("gpl-2", rf"(?:gnu )?(?:general public license|gpl){_V}2(?: 0)?|gplv2|gpl2", ("general public", " gpl")),
+    ("gpl-3", rf"(?:gnu )?(?:general public license|gpl){_V}3(?: 0)?|gplv3|gpl3", ("general public", " gpl")),
+    ("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", ("general public", " gpl")),
+    ("lgpl-2", rf"(?:gnu )?(?:library|lesser) (?:general public license|gpl){_V}2(?: [01])?|lgpl{_V}2(?: [01])?|lgplv2", ("library g", "lesser g", " lgpl")),
+    ("lgpl-3", rf"(?:gnu )?lesser (?:general public license|gpl){_V}3(?: 0)?|lgpl{_V}3(?: 0)?|lgplv3", ("lesser g", " lgpl")),
+    ("lgpl", r"(?:gnu )?(?:library|lesser) general public license|lgpl", ("library g", "lesser g", " lgpl")),
+    ("agpl-3", rf"(?:gnu )?affero (?:general public license|gpl){_V}3(?: 0)?|agpl{_V}3(?: 0)?|agplv3", ("affero", " agpl")),
+    ("agpl", r"(?:gnu )?affero general public license|agpl", ("affero", " agpl")),
+    ("gfdl", r"(?:gnu )?free documentation license(?: version)?(?: 1(?: [123])?)?|gfdl", ("free documentation", " gfdl")),
+    ("mpl-1", rf"(?:mozilla public license|mpl){_V}1(?: [01])?", (" mozilla", " mpl")),
+    ("mpl-2", rf"(?:mozilla public license|mpl){_V}2(?: 0)?", (" mozilla", " mpl")),
+    ("mpl", r"mozilla public license|mpl", (" mozilla", " mpl")),
+    ("epl-1", rf"(?:eclipse public license|epl){_V}1(?: 0)?", (" eclipse", " epl")),
+    ("epl-2", rf"(?:eclipse public license|epl){_V}2(?: 0)?", (" eclipse", " epl")),
+    ("eupl", rf"european union public licen[cs]e(?:{_V}1(?: [012])?)?|eupl(?:{_V}1(?: [012])?)?", (" european union", " eupl")),
+    ("cddl", rf"common development and distribution license(?:{_V}1(?: [01])?)?|cddl(?:{_V}1(?: [01])?)?", (" common development", " cddl")),
+    ("cpl", rf"common public license(?:{_V}1(?: 0)?)?", (" common public",)),
+    ("artistic", rf"artistic license(?:{_V}[12](?: 0)?)?", (" artistic",)),
+    ("bsl-1", rf"boost software license(?:{_V}1(?: 0)?)?", (" boost",)),
+    ("zlib", r"zlib(?: libpng)?", (" zlib",)),
+    ("unlicense", r"unlicense", (" unlicense",)),
+    ("wtfpl", r"wtfpl", (" wtfpl",)),
+    ("cc0", rf"cc0(?:{_V}1(?: 0)?)?|creative commons zero", (" cc0", " creative commons")),
+    ("cc-by-nc-nd", r"cc by nc nd(?: [1234] ?[05]?)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s", (" cc by", " creative commons")),
+    ("cc-by-nc-sa", r"cc by nc sa(?: [1234] ?[05]?)?|creative commons attribution non ?commercial share ?alike", (" cc by", " creative commons")),
+    ("cc-by-nc", r"cc by nc(?: [1234] ?[05]?)?|creative commons attribution non ?commercial", (" cc by", " creative commons")),
+    ("cc-by-nd", r"cc by nd(?: [1234] ?[05]?)?|creative commons attribution no ?deriv(?:ative)?s", (" cc by", " creative commons")),
+    ("cc-by-sa", r"cc by sa(?: [1234] ?[05]?)?|creative commons attribution share ?alike", (" cc by", " creative commons")),
+    ("cc-by", r"cc by(?: [1234] ?[05]?)?|creative commons attribution", (" cc by", " creative commons")),
     ("odbl", r"open database license|odbl", ("od",)),
-    ("ofl-1", r"(?:sil )?open font license(?: version)?(?: 1 ?1?)?|ofl 1 1", ("o",)),
-    ("postgresql", r"postgresql", ("postgresql",)),
-    ("psf", r"python software foundation|psf", ("p",)),
-    ("openssl", r"openssl", ("openssl",)),
-    ("vim", r"vim", ("vim",)),
-    ("ms-pl", r"microsoft public", ("microsoft",)),
-    ("ms-rl", r"microsoft reciprocal", ("microsoft",)),
-    ("sspl", r"server side public license(?: v1)?|sspl", ("s",)),
-    ("busl", r"business source license(?: 1 1)?|busl 1 1", ("bus",)),
-    ("proprietary", r"proprietary|commercial", ("r",)),
+    ("ofl-1", r"(?:sil )?open font license(?: version)?(?: 1 ?1?)?|ofl 1 1", ("open font", " ofl")),
+    ("postgresql", r"postgresql", (" postgresql",)),
+    ("psf", r"python software foundation|psf", (" python software", " psf")),
+    ("openssl", r"openssl", (" openssl",)),
+    ("vim", r"vim", (" vim",)),
+    ("ms-pl", r"microsoft public", (" microsoft",)),
+    ("ms-rl", r"microsoft reciprocal", (" microsoft",)),
+    ("sspl", r"server side public license(?: v1)?|sspl", (" server side", " sspl")),
+    ("busl", r"business source license(?: 1 1)?|busl 1 1", (" business source", " busl")),
+    ("proprietary", r"proprietary|commercial", (" proprietary", " commercial")),
 )
 
-#: Phrases around a name: (pattern, keywords, priority, weight).
+#: Phrases around a name: (pattern, keywords that each match holds, keywords
+#: of which each match holds one, priority, weight).
 PHRASES = (
-    (r"spdx license identifier (?:{0})", ("spdx",), 100, 1.0),
-    (r"(?:licen[cs]ed|released|distributed|published|available|provided|made available|covered|governed)(?: to you)? (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{0})(?: licen[cs]e| public licen[cs]e)?", ("licen",), 90, 1.0),
-    (r"(?:subject to|in accordance with|in compliance with|according to|pursuant to)(?: the)?(?: terms of)?(?: the)? (?:{0})(?: licen[cs]e)?", ("licen",), 80, 0.9),
-    (r"(?:under|terms of)(?: either)? (?:a |an |the )?(?:{0}) licen[cs]e", ("licen",), 70, 0.8),
-    (r"(?:copy|text|version) of the (?:{0})(?: licen[cs]e)?", ("licen",), 60, 0.7),
-    (r"licen[cs]e (?:is )?(?:{0})", ("licen",), 50, 0.6),
-    (r"(?:{0}) licen[cs]e", ("licen",), 40, 0.5),
+    (r"spdx license identifier (?:{0})", ("spdx",), ("spdx",), 100, 1.0),
+    (r"(?:licen[cs]ed|released|distributed|published|available|provided|made available|covered|governed)(?: to you)? (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{0})(?: licen[cs]e| public licen[cs]e)?", ("e",), ("ed under", "ed by", "ed to you", "able under", "able by", "able to you"), 90, 1.0),
+    (r"(?:subject to|in accordance with|in compliance with|according to|pursuant to)(?: the)?(?: terms of)?(?: the)? (?:{0})(?: licen[cs]e)?", ("t",), ("subject to", "accordance with", "compliance with", "according to", "pursuant to"), 80, 0.9),
+    (r"(?:under|terms of)(?: either)? (?:a |an |the )?(?:{0}) licen[cs]e", ("licen",), ("licen",), 70, 0.8),
+    (r"(?:copy|text|version) of the (?:{0})(?: licen[cs]e)?", ("of the",), ("copy of the", "text of the", "version of the"), 60, 0.7),
+    (r"licen[cs]e (?:is )?(?:{0})", ("licen",), ("licen",), 50, 0.6),
+    (r"(?:{0}) licen[cs]e", ("licen",), ("licen",), 40, 0.5),
 )
 
 #: Notices that name no license: (label, pattern, keywords, priority, weight).
@@ -125,6 +128,7 @@ class Signature(NamedTuple):
     priority: int
     weight: float
     base: bool
+    one_of: tuple[tuple[str, ...], ...]
 
 
 class Match(NamedTuple):
@@ -140,37 +144,44 @@ def _whole_words(pattern: str) -> re.Pattern:
 @lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
     """All signatures, highest priority first."""
-    out = [Signature(label, _whole_words(phrase), tuple(phrase.split()[-1:]) + ("licen",) * ("license" in phrase), 110, 1.0, True) for phrase, label in BASE_PHRASES]
+    out = [Signature(label, _whole_words(phrase), tuple(phrase.split()[-1:]) + ("licen",) * ("license" in phrase), 110, 1.0, True, ()) for phrase, label in BASE_PHRASES]
     for label, name, own in NAMES:
-        for phrase, keys, priority, weight in PHRASES:
-            out.append(Signature(label, _whole_words(phrase.format(name)), (*own, *keys), priority, weight, False))
-    out += [Signature(label, _whole_words(p), keys, priority, weight, False) for label, p, keys, priority, weight in NOTICES]
+        for phrase, keys, words, priority, weight in PHRASES:
+            out.append(Signature(label, _whole_words(phrase.format(name)), keys, priority, weight, False, (own, words)))
+    out += [Signature(label, _whole_words(p), keys, priority, weight, False, ()) for label, p, keys, priority, weight in NOTICES]
     return tuple(sorted(out, key=lambda s: -s.priority))
 
 
+@lru_cache(maxsize=1)
+def _gates() -> tuple[tuple[Signature, tuple[frozenset[str], ...]], ...]:
+    """Signatures, each with its groups of keywords; where it has groups they
+    imply its single keywords."""
+    return tuple((s, tuple(frozenset(g) for g in s.one_of or [(k,) for k in s.keywords])) for s in signatures())
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in {k for s in signatures() for k in s.keywords}:
+    for word in {k for _, groups in _gates() for g in groups for k in g}:
         found.add_word(word, word)
     found.make_automaton()
     return found
 
 
 #: Without one of these no signature can match, so the text is not scanned.
-TRIGGERS = tuple(sorted({"licen", "spdx", "cc by nc"} | {k for *_, keys, _, _ in NOTICES for k in keys}))
+TRIGGERS = tuple(sorted({"cc by nc"} | {k for _, _, words, _, _ in PHRASES for k in words} | {k for *_, keys, _, _ in NOTICES for k in keys}))
 
 
 def scan(joined: str) -> list[Match]:
     """All matches in words joined by one space, in order of priority."""
     if not any(t in joined for t in TRIGGERS):
         return []
-    present = {word for _, word in _automaton().iter(joined)}
+    present = {word for _, word in _automaton().iter(" " + joined)}
     found = []
-    for s in signatures():
-        if all(k in present for k in s.keywords):
+    for s, groups in _gates():
+        if not any(present.isdisjoint(g) for g in groups):
             found += [Match(m.start(), m.end(), s) for m in s.pattern.finditer(joined)]
     return found
 

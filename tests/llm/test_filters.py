@@ -252,6 +252,46 @@ def test_signatures_run_where_their_keywords_are():
     assert all(any(t in k or k in t for t in license_scan.TRIGGERS for k in s.keywords) for s in license_scan.signatures())
 
 
+def matched_texts(node):
+    """Every text that a parsed pattern without unbounded repeats matches."""
+    out = [""]
+    for op, arg in node:
+        kind = str(op)
+        if kind == "LITERAL":
+            ways = [chr(arg)]
+        elif kind == "IN":
+            ways = [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else (a[0], a[1]))]
+        elif kind == "BRANCH":
+            ways = [w for part in arg[1] for w in matched_texts(part)]
+        elif kind == "SUBPATTERN":
+            ways = matched_texts(arg[3])
+        else:
+            assert kind == "MAX_REPEAT", kind
+            inner = matched_texts(arg[2])
+            ways = [w * n for n in (arg[0], arg[1]) for w in inner]
+        out = [a + w for a in out for w in ways]
+    return set(out)
+
+
+def test_every_form_of_phrases_and_notices_holds_its_keywords():
+    for pattern, keys, words, _, _ in license_scan.PHRASES:
+        for text in matched_texts(re._parser.parse(pattern.format("NAME"))):
+            assert all(k in text for k in keys) and any(k in text for k in words), text
+    for _, pattern, keys, _, _ in license_scan.NOTICES:
+        for text in matched_texts(re._parser.parse(re.sub(r"\{\d+,\d+\}", "{2}", pattern))):
+            assert all(k in text for k in keys), text
+
+
+@pytest.mark.parametrize("text,label", [
+    ("Released under GPL 3", "gpl-3"), ("This work is available under CC BY-SA 4.0", "cc-by-sa"), ("distributed under the Apache 2.0", "apache-2"),
+    ("subject to the MPL 2.0", "mpl-2"), ("a copy of the EUPL", "eupl"), ("Released under MIT", "mit"), ("provided to you under ISC", "isc")])
+def test_labels_do_not_depend_on_other_text(text, label):
+    for around in ("{}", "{} and some code by another licensor"):
+        t = around.format(text)
+        assert set(license_scan.detect(t)["labels"].split(",")) == labels_without_prefilter(t)
+        assert label in license_scan.detect(t)["labels"].split(",")
+
+
 def test_scan_query_and_spans(spark, make_docs):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.QUERIES["op6_license_scan"](spark, SF).collect()
