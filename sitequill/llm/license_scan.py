@@ -81,7 +81,7 @@ NAMES = (
     ("cc-by-nd", r"cc by nd(?: [1234] ?[05]?)?|creative commons attribution no ?deriv(?:ative)?s", (" cc by", " creative commons")),
     ("cc-by-sa", r"cc by sa(?: [1234] ?[05]?)?|creative commons attribution share ?alike", (" cc by", " creative commons")),
     ("cc-by", r"cc by(?: [1234] ?[05]?)?|creative commons attribution", (" cc by", " creative commons")),
-    ("odbl", r"open database license|odbl", ("od",)),
+    ("odbl", r"open database license|odbl", (" open database", " odbl")),
     ("ofl-1", r"(?:sil )?open font license(?: version)?(?: 1 ?1?)?|ofl 1 1", ("open font", " ofl")),
     ("postgresql", r"postgresql", (" postgresql",)),
     ("psf", r"python software foundation|psf", (" python software", " psf")),

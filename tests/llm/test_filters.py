@@ -273,6 +273,14 @@ def matched_texts(node):
     return set(out)
 
 
+@pytest.mark.parametrize("label,pattern,words", [(a, b, c) for a, b, c in license_scan.NAMES])
+def test_every_form_of_a_name_holds_its_keywords(label, pattern, words):
+    for name in matched_texts(re._parser.parse(pattern)):
+        assert any(k in f" {name}" for k in words), name
+        for text in (f"released under {name}", f"this data is licensed under the {name}", f"subject to the {name}", f"copy of the {name}", f"{name} license"):
+            assert label in {m.signature.label for m in license_scan.scan(text)}, text
+
+
 def test_every_form_of_phrases_and_notices_holds_its_keywords():
     for pattern, keys, words, _, _ in license_scan.PHRASES:
         for text in matched_texts(re._parser.parse(pattern.format("NAME"))):
@@ -284,7 +292,8 @@ def test_every_form_of_phrases_and_notices_holds_its_keywords():
 
 @pytest.mark.parametrize("text,label", [
     ("Released under GPL 3", "gpl-3"), ("This work is available under CC BY-SA 4.0", "cc-by-sa"), ("distributed under the Apache 2.0", "apache-2"),
-    ("subject to the MPL 2.0", "mpl-2"), ("a copy of the EUPL", "eupl"), ("Released under MIT", "mit"), ("provided to you under ISC", "isc")])
+    ("subject to the MPL 2.0", "mpl-2"), ("a copy of the EUPL", "eupl"), ("Released under MIT", "mit"), ("provided to you under ISC", "isc"),
+    ("This data is licensed under the Open Database License", "odbl")])
 def test_labels_do_not_depend_on_other_text(text, label):
     for around in ("{}", "{} and some code by another licensor"):
         t = around.format(text)
