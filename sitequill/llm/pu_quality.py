@@ -186,7 +186,7 @@ def _feature_rows(rows: DataFrame) -> np.ndarray:
     def run(texts: list[str]) -> dict:
         return {"x": list(features(texts))}
 
-    got = map_texts(rows, run, [("x", "array<double>")]).select("x").collect()
+    got = sorted(map_texts(rows, run, [("x", "array<double>")]).select("doc_id", "x").collect(), key=lambda r: r["doc_id"])
     return np.array([r["x"] for r in got], np.float64).reshape(-1, N_FEATURES)
 
 
@@ -195,15 +195,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     """Fit on rows outside the held-out fold: up to ``sample_rows`` rows with
     label 1 as positives and up to as many rows, labelled or not, as
     unlabelled. Which rows those are is settled on ids; only their texts are
-    fetched. Labels without a row, null labels and null ids are ignored."""
+    fetched, one of each id however many rows share it. Labels without a row, null labels and null ids are ignored."""
     learn = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (fold_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(label_id).alias("doc_id")).distinct()
     ids = learn.select("doc_id").distinct()
 
     def texts(chosen: DataFrame) -> np.ndarray:
         first = chosen.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample_rows)
-        # At most sample_rows ids, a proven bound.
-        return _feature_rows(learn.join(F.broadcast(first), "doc_id", "left_semi"))
+        # At most sample_rows ids, and one row of each: rows that share an id are
+        # combined before they are moved.
+        rows = learn.join(F.broadcast(first), "doc_id", "left_semi")
+        return _feature_rows(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     return fit(texts(ids.join(trusted, "doc_id", "left_semi")), texts(ids))
 

@@ -187,6 +187,16 @@ def test_classifier_on_odd_rows(make_docs, odd_rows, spark):
     assert {r.score for r in pu_quality.score_documents(docs, unlearned).collect()} == {0.5}
 
 
+def test_sample_bounds_rows_of_a_repeated_id(spark, make_docs, monkeypatch):
+    rows = [(1, f"word {i} of a hot id") for i in range(300)] + [(i, f"text number {i}") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 40, 2)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(pu_quality, "fit", lambda positive, unlabelled: sizes.append((len(positive), len(unlabelled))))
+    pu_quality.train(make_docs(rows), labels, sample_rows=30)
+    free = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % pu_quality.FOLDS != pu_quality.HELD_OUT]
+    assert 1 in free and sizes == [(sum(i % 2 for i in free), min(30, len(free)))]
+
+
 def test_features_do_not_depend_on_the_chunk():
     texts = ["", "one two\nthree", "a a a a", "!!! ***", "é 漢 x1", "   "]
     whole = pu_quality.features(texts)
