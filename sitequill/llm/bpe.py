@@ -13,6 +13,7 @@ parameter; nothing is trained or copied here.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -21,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .ragged import prefix_sums, ragged_index, slice_hash
+from .ragged import disjoint_hash, ragged_index
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 NO_RANK = np.int64(1 << 40)
@@ -37,14 +38,46 @@ MERGE_SYMBOLS = 1 << 20
 PART_CHARS = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def class_table() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
-    every = "".join(map(chr, range(0x110000)))
-    table = np.zeros(0x110000, np.uint8)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, every):
-            table[m.start() : m.end()] = kind
+def _probed() -> np.ndarray:
+    """Code points whose class is probed: planes 0 to 3 and the start of plane
+    14, less surrogates and the space. The others are unassigned or private
+    in every version of Unicode and therefore neither letter, number nor white space."""
+    return np.array([*range(0x20), *range(0x21, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)])
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def class_table(path: str) -> np.ndarray:
+    """Class of every code point (letter, number, white space or other) as the
+    pre-tokenizer of the file sees it; packages differ in their Unicode tables.
+
+    The pre-tokenizer cuts the code points in ascending order into runs of one
+    class; the first of each run is then tried next to a letter, a symbol and
+    white space. A worker does so once for a file."""
+    cut = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+    cp = _probed()
+    spans = [span for _, span in cut("".join(map(chr, cp.tolist())))]
+    heads = [chr(cp[a]) for a, _ in spans]
+    kinds = np.full(len(heads), SPACE, np.uint8)
+    for lead, kind in (("a", LETTER), ("!", OTHER)):
+        end_of = dict(span for _, span in cut("".join(f"{lead}{c}\n" for c in heads)))
+        kinds[[end_of.get(3 * i, 0) >= 3 * i + 2 for i in range(len(heads))]] = kind
+    # White space is dropped or joined by the white space after it, a number is neither.
+    end_of = dict(span for _, span in cut("".join(f"!{c}\n\n" for c in heads)))
+    alone = np.array([end_of.get(4 * i + 1, 0) == 4 * i + 2 for i in range(len(heads))], bool)
+    kinds[alone & (kinds == SPACE)] = NUMBER
+    table = np.full(0x110000, OTHER, np.uint8)
+    table[0x20] = SPACE
+    # What a file drops lies between its runs, and is white space.
+    of_probed = np.full(len(cp), SPACE, np.uint8)
+    for (a, b), kind in zip(spans, kinds.tolist(), strict=True):
+        of_probed[a:b] = kind
+    table[cp] = of_probed
     return table
 
 
@@ -246,10 +279,9 @@ def _split_contractions(cp, start, piece_start) -> None:
             start[i + n] = True
 
 
-def spaced_starts(cp: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spaced_starts(cp: np.ndarray, kind: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pre-tokens that take one leading space along:
     runs of letters, of numbers, of other characters; white space apart."""
-    kind = class_table()[cp]
     start = np.ones(len(cp), bool)
     start[1:] = kind[1:] != kind[:-1]
     first = np.zeros(len(cp), bool)
@@ -264,10 +296,9 @@ def spaced_starts(cp: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray,
     return s, np.append(s[1:], len(cp))
 
 
-def bare_starts(cp: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bare_starts(cp: np.ndarray, kind: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pre-tokens without white space: runs of letters,
     single numbers, runs of other characters."""
-    kind = class_table()[cp]
     start = np.ones(len(cp), bool)
     start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
     start[piece_start] = True
@@ -278,9 +309,23 @@ def bare_starts(cp: np.ndarray, piece_start: np.ndarray) -> tuple[np.ndarray, np
     return s[solid], e[solid]
 
 
-def fold_text(text: str) -> str:
-    """Composed form, lower case by single characters (so no final sigma)."""
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Any code point that this Python's Unicode tables do not know. Newer
+    tables may compose it or give it a lower case."""
+    none = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edge.reshape(-1, 2).tolist()) + "]")
+
+
+def fold_text(text: str, normalizer=None) -> str:
+    """Composed form, lower case by single characters (so no final sigma).
+
+    A text with a code point unknown to Python goes to the file's own
+    ``normalizer``, which is slower."""
     if not text.isascii():
+        if normalizer is not None and _unassigned().search(text):
+            return normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
 
@@ -295,10 +340,14 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool = True, fold: bool = False, forced_cuts: bool = False, keep_text: bool = False) -> None:
         self.vocabulary = Vocabulary(path)
+        self.classes = class_table(path)
+        self.normalizer = _tokenizer(path).normalizer if fold else None
         self.starts = spaced_starts if spaced else bare_starts
         self.fold, self.forced_cuts, self.keep_text = fold, forced_cuts, keep_text
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        #: Keys live and die with this encoder; no text can be made to clash with another.
+        self.seed = int.from_bytes(os.urandom(8), "little")
         self._clear()
 
     def _clear(self) -> None:
@@ -321,7 +370,7 @@ class Encoder:
                 out.append((p, True))
                 continue
             if self.fold:
-                p = fold_text(p)
+                p = fold_text(p, self.normalizer)
             at = 0
             while len(p) - at > PART_CHARS:
                 m = _CUT.search(p, at + PART_CHARS)
@@ -373,14 +422,13 @@ class Encoder:
         cp = np.frombuffer(big.encode("utf-32-le"), np.uint32)
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         piece_start = np.cumsum(n) - n
-        s, e = self.starts(cp, piece_start)
+        s, e = self.starts(cp, self.classes[cp], piece_start)
         if len(whole):
             s, e = self._whole_specials(piece_start[whole], n[whole], s, e)
         per_piece = np.diff(np.append(np.searchsorted(s, piece_start), len(s)))
         if not len(s):
             return np.zeros(0, np.int64), per_piece
-        sums, down = prefix_sums(code_values()[cp])
-        key = slice_hash(sums, down, s, e)
+        key = disjoint_hash(code_values()[cp], s, e, self.seed)
         special = np.zeros(len(s), bool)
         special[np.searchsorted(s, piece_start[whole])] = True
         key[special] ^= SPECIAL_KEY

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, id_text, map_batches, map_texts
-from .ragged import batch_chunks, prefix_sums, ragged_index, slice_hash
+from .ragged import batch_chunks, disjoint_hash, prefix_sums, ragged_index, slice_hash
 
 #: Characters of text handled at once.
 CHUNK = 1 << 21
@@ -94,16 +94,22 @@ class Lattice:
         return out
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def _words(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(joined lower-case text, word starts, word ends, word keys, offsets by text)."""
-    from .bpe import LETTER, class_table, code_values
+    from .bpe import code_values
 
     folded = [t.lower() for t in texts]
     big = "".join(folded)
     cp = np.frombuffer(big.encode("utf-32-le"), np.uint32)
     n = np.fromiter(map(len, folded), np.int64, len(folded))
     begin = np.cumsum(n) - n
-    letter = class_table()[cp] == LETTER
+    letter = letters()[cp]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     inner = begin[(n > 0)]
@@ -114,12 +120,7 @@ def _words(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, n
     last[final] = letter[final]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     offsets = np.append(np.searchsorted(s, begin), len(s))
-    if len(cp):
-        sums, down = prefix_sums(code_values()[cp])
-        keys = slice_hash(sums, down, s, e)
-    else:
-        keys = np.zeros(0, np.uint64)
-    return big, s, e, keys, offsets
+    return big, s, e, disjoint_hash(code_values()[cp], s, e), offsets
 
 
 def _marked(big: str, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 CHUNK_CHARS = 1 << 20
 
 _U = np.uint64
-BASE = _U(0x9E3779B97F4A7C15)
-BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PRIME = _U((1 << 61) - 1)
+_LOW30, _LOW31 = _U((1 << 30) - 1), _U((1 << 31) - 1)
 
 
 def size_chunks(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -51,40 +51,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime 2**61 - 1, for factors below it."""
+    a_high, a_low = a >> _U(31), a & _LOW31
+    b_high, b_low = b >> _U(31), b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    total = ((a_high * b_high) << _U(1)) + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a_low * b_low
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> _U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
 class Powers:
-    """BASE**i and BASE**-i modulo 2**64, grown as needed."""
+    """base**i and base**-i modulo PRIME, grown as needed."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = (base, pow(base, -1, int(PRIME)))
+        self._clear()
 
-    def __init__(self) -> None:
+    def _clear(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up)) if n < 4 * CHUNK_CHARS else n
-            for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-                p = np.full(m, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while len(self.up) < n:
+            m = len(self.up)
+            more = min(m, n - m) if n >= 4 * CHUNK_CHARS else m
+            for name, base in zip(("up", "down"), self.bases, strict=True):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, mulmod(held[:more], _U(pow(base, m, int(PRIME))))]))
         up, down = self.up[:n], self.down[:n]
         if len(self.up) > 4 * CHUNK_CHARS:  # do not keep what one long text needed
-            self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+            self._clear()
         return up, down
 
 
-POWERS = Powers()
+POWERS = Powers(0x19E3779B97F4A7C1)
+#: A second base, for hashes that must not fail together with the first.
+OTHER_POWERS = Powers(0x0F58476D1CE4E5B9)
 
 
-def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of values[i] * BASE**i, and BASE**-i, for ``slice_hash``."""
-    up, down = POWERS.of(len(values) + 1)
+def prefix_sums(values: np.ndarray, powers: Powers = POWERS) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of values[i] * base**i modulo PRIME, and base**-i, for
+    ``slice_hash``. The modulus is a prime: modulo 2**64 long Thue-Morse words
+    of the same length would share one hash, whatever the base."""
+    up, down = powers.of(len(values) + 1)
+    terms = mulmod(values >> _U(3), up[:-1])
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
+    # Halves of 32 and 29 bits, so that sums of 2**32 terms do not overflow.
+    high = _reduced(np.cumsum(terms >> _U(32), dtype=np.uint64))
+    low = _reduced(np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64))
+    sums[1:] = _reduced(mulmod(high, _U(1 << 32)) + low)
     return sums, down
 
 
 def slice_hash(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-independent polynomial hash of values[start:end], mixed."""
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    inside = _reduced(sums[end] + (PRIME - sums[start]))
+    return mix(mulmod(inside, down[start]) + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def disjoint_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each of the slices values[start:end], none of which may
+    overlap: the sum of scattered (value, place in the slice) pairs."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    at = ragged_index(start, size)
+    place = (at - np.repeat(start, size)).astype(np.uint64)
+    terms = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(mix(values[at] + place * _U(0x9E3779B97F4A7C15) + _U(seed)), out=terms[1:])
+    edge = np.cumsum(size)
+    return mix(terms[edge] - terms[edge - size] + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

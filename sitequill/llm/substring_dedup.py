@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_batches
-from .ragged import batch_chunks, mix, prefix_sums, slice_hash
+from .ragged import OTHER_POWERS, batch_chunks, disjoint_hash, mix, prefix_sums, slice_hash
 
 WINDOW_WORDS = 35
 PERIOD = 21
@@ -76,18 +76,16 @@ class Words:
         #: Index of the first word of each text, and one past the last word.
         self.first = np.append(np.searchsorted(self.start, text_end - size), len(self.start))
         self.count = np.diff(self.first)
-        if len(b):
-            sums, down = prefix_sums(_BYTES[b])
-            self.hash = slice_hash(sums, down, self.start, self.end)
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self._values = _BYTES[b]
+        self.hash = disjoint_hash(self._values, self.start, self.end)
 
     def one(self) -> tuple[np.ndarray, np.ndarray]:
         return prefix_sums(self.hash)
 
     def hashes(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the ``length`` words at each place."""
-        other = prefix_sums(mix(self.hash ^ np.uint64(0xA0761D6478BD642F)))
+        """Two independent 64-bit hashes of the ``length`` words at each place,
+        from two hashes of each word and over two bases."""
+        other = prefix_sums(disjoint_hash(self._values, self.start, self.end, 0xA0761D6478BD642F), OTHER_POWERS)
         return tuple(slice_hash(*x, at, at + length).view(np.int64) for x in (self.one(), other))
 
     def joined(self, text: int, keep: np.ndarray | None = None) -> bytes:
@@ -130,15 +128,17 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
 
 def _repeated(found: DataFrame, hashes: list[str], row: list[str], weight: str = "1", firsts: bool = False) -> DataFrame:
     """For each row the positions whose hash is found more than once (column
-    ``places``, bounded by the row's own words), and with ``firsts`` those of
-    them that are the first occurrence of their hash. Occurrences of a
-    ``weight`` over one are known to be repeated and only vouch for others."""
+    ``places``), and with ``firsts`` those of them that are the first occurrence
+    of their hash. Occurrences of a ``weight`` over one are known to be repeated
+    and only vouch for others. Repeated rows share ``row``; they are sets of
+    positions, made partly before the shuffle, so that any number of copies
+    leaves one list bounded by the words of one."""
     place = F.struct("k", "pos")
     first = [F.min(place).alias("first")] if firsts else []
     twice = cut_lineage(found.groupBy(*hashes).agg(F.sum(F.expr(weight)).alias("n"), *first).where("n > 1").drop("n"))
     hits = found.where(F.expr(weight) == 1).join(twice, hashes)
-    own = [F.collect_list(F.when(place == F.col("first"), F.col("pos"))).alias("firsts")] if firsts else []
-    return cut_lineage(hits.groupBy(*row).agg(F.collect_list("pos").alias("places"), *own))
+    own = [F.collect_set(F.when(place == F.col("first"), F.col("pos"))).alias("firsts")] if firsts else []
+    return cut_lineage(hits.groupBy(*row).agg(F.collect_set("pos").alias("places"), *own))
 
 
 def _long_sequences(docs: DataFrame, length: int) -> DataFrame:

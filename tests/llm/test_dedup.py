@@ -65,6 +65,36 @@ def test_removal_with_shared_passages(make_docs, seed):
     assert Counter(map(tuple, got)) == Counter(removed_by_brute_force(rows, 13))
 
 
+def test_thue_morse_words_are_not_taken_for_each_other(make_docs):
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(d, " ".join([f"w{i}" for i in range(20)] + [word] + [f"w{i}" for i in range(20, 34)])) for d, word in ((1, one), (2, other))]
+    assert [r.n_removed for r in remove_repeated_windows(make_docs(rows), digest=True).collect()] == [0, 0]
+
+
+def test_many_copies_of_one_row_leave_one_list_of_its_places(make_docs, spark, monkeypatch):
+    """Equal rows, with an id and without: what a row carries is bounded by its own words."""
+    from sitequill.llm import substring_dedup
+
+    lists = []
+    kept = substring_dedup.cut_lineage
+
+    def spy(df):
+        out = kept(df)
+        if "places" in out.columns:
+            lists.append(max((len(r.places or []) for r in out.collect()), default=0))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "cut_lineage", spy)
+    text = " ".join(f"w{i % 200}" for i in range(300))
+    rows = [(7, text)] * 60 + [(None, text)] * 60 + [(8, "alone " + text)]
+    got = remove_repeated_windows(make_docs(rows), digest=True).collect()
+    assert Counter(map(tuple, got)) == Counter(removed_by_brute_force(rows, 35))
+    assert lists and max(lists) <= 301
+
+
 def test_removal_returns_texts_and_carried_columns(make_docs):
     long = " ".join(f"w{i}" for i in range(40))
     docs = make_docs([(1, "before  it " + long), (2, long + "\nafter it"), (3, "  left   alone "), (4, None)])

@@ -15,6 +15,7 @@ from sitequill.llm import queries
 from sitequill.llm.bpe import Encoder, Vocabulary, class_table, encode_words, encoder
 from sitequill.llm.bpe_codec import encode_decode, encode_decode_digests
 from sitequill.llm.packing import pack_documents
+from sitequill.llm.ragged import OTHER_POWERS, POWERS, PRIME, disjoint_hash, mix, prefix_sums, slice_hash
 from sitequill.llm.token_counts import token_counts
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -74,8 +75,60 @@ def test_forced_cuts_change_nothing():
 
 
 def test_classes_of_code_points():
-    t = class_table()
-    assert [t[ord(c)] for c in "aé1² \n\x85!_"] == [1, 1, 2, 2, 3, 3, 3, 0, 0]
+    for path in (BYTE, WORD):
+        t = class_table(path)
+        assert [t[ord(c)] for c in "aé1² \n\x85!_"] == [1, 1, 2, 2, 3, 3, 3, 0, 0]
+
+
+def _code_points():
+    """All of the planes that hold characters, and some of the others."""
+    return [*range(0xD800), *range(0xE000, 0x34000), *range(0x34000, 0xE0000, 997), *range(0xE0000, 0xE2000), *range(0xE2000, 0x110000, 997)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_code_point_as_the_library_has_it(library, path):
+    every = _code_points()
+    for i in range(0, len(every), 20_000):
+        texts = [t for c in map(chr, every[i : i + 20_000]) for t in (f"a{c}1{c}'s{c}b", f":{c}'{c}s {c}  {c}", f"{c}'t{c}{c} {c}2é{c}")]
+        mine, theirs = _mine(path, texts), _theirs(library[path], texts)
+        assert [t for t, a, b in zip(texts, mine, theirs, strict=True) if a != b] == []
+
+
+def _thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_thue_morse_words_stay_apart(library, n):
+    texts = list(_thue_morse(n))
+    for path, tok in library.items():
+        assert _mine(path, texts) == _theirs(tok, texts)
+        assert _mine(path, [" ".join(texts)]) == _theirs(tok, [" ".join(texts)])
+
+
+def test_hashes_of_slices_stay_apart():
+    words = [mix(np.frombuffer(t.encode(), np.uint8).astype(np.uint64)) for t in _thue_morse(1 << 14)]
+    seen = set()
+    for n in (1 << k for k in range(4, 15)):
+        for w in words:
+            start, end = np.array([0]), np.array([n])
+            seen |= {int(disjoint_hash(w, start, end)[0]), *(int(slice_hash(*prefix_sums(w, p), start, end)[0]) for p in (POWERS, OTHER_POWERS))}
+    assert len(seen) == 11 * 2 * 3
+
+
+def test_slice_hash_by_definition():
+    values = np.random.default_rng(5).integers(0, 1 << 63, 300, dtype=np.uint64)
+    sums, down = prefix_sums(values)
+    p, total = int(PRIME), 0
+    for i, v in enumerate(values.tolist()):
+        total = (total + (v >> 3) * pow(POWERS.bases[0], i, p)) % p
+        assert int(sums[i + 1]) == total
+    again = prefix_sums(np.concatenate([values[40:90], values]))
+    same = slice_hash(*again, np.array([0, 90]), np.array([50, 140]))
+    assert same[0] == same[1] == slice_hash(sums, down, np.array([40]), np.array([90]))[0]
 
 
 def test_cache_starts_afresh(library, monkeypatch):
