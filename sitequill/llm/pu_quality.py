@@ -2,9 +2,9 @@
 
 Trusted positives are rows labelled 1; unlabelled are rows of the web text as
 it comes, whatever their labels. No negative label is used. The class prior
-is estimated first: a plain classifier of positives against unlabelled ranks
-both, and the least share of unlabelled rows that any of its upper sets holds
-per positive bounds the prior. Then a logistic model minimises the
+is estimated first: plain classifiers of positives against unlabelled rank
+rows they were not learned from, and the least share of unlabelled rows that
+any of their upper sets holds per positive bounds the prior. Then a logistic model minimises the
 non-negative unbiased risk
 
     prior * E_pos[l(+g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)]).
@@ -38,6 +38,9 @@ LEARNING_RATE = 0.05
 PENALTY = 1e-3
 #: An upper set must hold this share of the positives to bound the prior.
 LEAST_UPPER_SET = 0.3
+#: Random splits of the rows that the prior is averaged over, folds of each,
+#: and steps of the classifiers that rank them.
+PRIOR_SPLITS, PRIOR_FOLDS, PRIOR_STEPS = 3, 5, 500
 
 _KINDS = ("letter", "upper", "digit", "sentence", "quote", "symbol", "other", "wide")
 _CLASS = np.full(256, _KINDS.index("other"), np.uint8)
@@ -122,45 +125,71 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(gradient, size: int) -> np.ndarray:
+def _descend(gradient, size: int, steps: int = STEPS) -> np.ndarray:
     """Adam from zero, whole samples at every step; deterministic."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         g = gradient(w) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - LEARNING_RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
     """Upper bound of the share of positives among the unlabelled.
 
     The unlabelled are positives and others, so any set of texts holds at
     least prior times as large a share of the unlabelled as of the positives;
-    the upper sets of a classifier of the two come close to equality. Either
-    half of the rows is ranked by a classifier learned from the other half."""
-    return float(np.mean([_prior_bound(positive[i::2], unlabelled[i::2], positive[1 - i :: 2], unlabelled[1 - i :: 2]) for i in (0, 1)]))
+    the upper sets of a classifier of the two come close to equality. Each
+    fold is ranked by a classifier learned from the other folds, and the shares
+    of its upper sets are averaged over the folds of ``PRIOR_SPLITS`` random
+    splits before the least ratio is taken: that of one ranking alone turns on
+    the order of the rows and, being the least of many noisy ones, falls short."""
+    rng = np.random.default_rng(seed)
+    shares = []
+    for _ in range(PRIOR_SPLITS):
+        fold_p, fold_u = (rng.permutation(len(x)) % PRIOR_FOLDS for x in (positive, unlabelled))
+        for k in range(PRIOR_FOLDS):
+            parts = positive[fold_p == k], unlabelled[fold_u == k], positive[fold_p != k], unlabelled[fold_u != k]
+            if all(map(len, parts)):
+                shares.append(_upper_shares(*parts))
+    if not shares:
+        return 0.5
+    of_p, of_u = np.mean(shares, axis=0)
+    return float(np.clip((of_u / of_p).min(), 0.05, 0.95))
 
 
-def _prior_bound(positive, unlabelled, other_positive, other_unlabelled) -> float:
-    if not all(map(len, (positive, unlabelled, other_positive, other_unlabelled))):
-        return 0.5
+def _upper_shares(positive, unlabelled, other_positive, other_unlabelled) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the positives and of the unlabelled in upper sets of a
+    classifier learned from the others."""
 
     def gradient(w):
         p, u = _sigmoid(other_positive @ w), _sigmoid(other_unlabelled @ w)
         return -other_positive.T @ (1 - p) / len(p) / 2 + other_unlabelled.T @ u / len(u) / 2
 
-    w = _descend(gradient, positive.shape[1])
+    w = _descend(gradient, positive.shape[1], PRIOR_STEPS)
     p, u = np.sort(positive @ w), np.sort(unlabelled @ w)
     levels = np.quantile(p, np.linspace(0, 1 - LEAST_UPPER_SET, 50))
-    of_p = 1 - np.searchsorted(p, levels) / len(p)
-    of_u = 1 - np.searchsorted(u, levels) / len(u)
-    # Two standard errors up, so that the least of many noisy ratios is no underestimate.
-    error = np.sqrt((1 - of_p) / of_p / len(p) + (1 - of_u) / np.maximum(of_u, 1e-9) / len(u))
-    return float(np.clip((of_u / of_p * (1 + 2 * error)).min(), 0.05, 0.95))
+    return 1 - np.searchsorted(p, levels) / len(p), 1 - np.searchsorted(u, levels) / len(u)
+
+
+def risks(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Unbiased estimates of the positives' and of the negatives' part of the
+    logistic risk; the second may fall below zero."""
+    zp, zu = positive @ w, unlabelled @ w
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+def risk_gradient(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Step of the non-negative estimator: the gradient of the whole risk, or,
+    where the negatives' part falls below zero, back up along that part."""
+    zp, zu = positive @ w, unlabelled @ w
+    up = -prior * (positive.T @ (1 - _sigmoid(zp))) / len(zp)
+    down = unlabelled.T @ _sigmoid(zu) / len(zu) - prior * (positive.T @ _sigmoid(zp)) / len(zp)
+    return up + down if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean() else -down
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 0) -> Model:
     """Minimise the non-negative unbiased risk. Without positives or without
     unlabelled rows every text scores one half."""
     every = np.vstack([positive, unlabelled])
@@ -169,17 +198,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return Model(np.zeros(n), np.ones(n), np.zeros(2 * n + 1), 0.5)
     empty = Model(every.mean(axis=0), every.std(axis=0) + 1e-6, np.zeros(0), 0.0)
     p, u = empty.inputs(positive), empty.inputs(unlabelled)
-    prior = estimate_prior(p, u) if prior is None else prior
-
-    def gradient(w):
-        zp, zu = p @ w, u @ w
-        up = -prior * (p.T @ (1 - _sigmoid(zp))) / len(p)
-        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
-        # Where the estimated negative risk falls below zero, step back up.
-        return up + down if negative_risk >= 0 else -down
-
-    return empty._replace(weights=_descend(gradient, p.shape[1]), prior=prior)
+    prior = estimate_prior(p, u, seed) if prior is None else prior
+    return empty._replace(weights=_descend(lambda w: risk_gradient(w, p, u, prior), p.shape[1]), prior=prior)
 
 
 def _feature_rows(rows: DataFrame) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Language ID, quality rules and classifier, license scan, sketches."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -173,6 +174,61 @@ def test_classifier_on_held_out_labels(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_prior_does_not_turn_on_the_split(spark, sf):
+    """Ten seeds of the split: right on held-out labels with each of them."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id", "left").orderBy("doc_id").collect()
+    x = pu_quality.features([r.text or "" for r in rows])
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows])
+    quality = np.array([-1 if r.quality is None else r.quality for r in rows])
+    test = held & (quality >= 0)
+    priors = []
+    for seed in range(10):
+        model = pu_quality.fit(x[~held & (quality == 1)], x[~held], seed=seed)
+        priors.append(model.prior)
+        assert ((model.score(x[test]) >= 0.7) == (quality[test] == 1)).mean() >= 0.93
+    assert max(priors) - min(priors) < 0.06 and abs(np.mean(priors) - (quality[quality >= 0] == 1).mean()) < 0.05
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.7])
+def test_risk_and_gradient_by_brute_force(prior):
+    rng = np.random.default_rng(4)
+    p, u, w = rng.normal(0.5, 1, (40, 5)), rng.normal(0, 1, (60, 5)), rng.normal(0, 0.3, 5)
+    loss = lambda z: math.log(1 + math.exp(-z))
+
+    def by_hand(w):
+        z = lambda rows: [sum(a * b for a, b in zip(r, w, strict=True)) for r in rows.tolist()]
+        mean = lambda v: sum(v) / len(v)
+        return prior * mean([loss(x) for x in z(p)]), mean([loss(-x) for x in z(u)]) - prior * mean([loss(-x) for x in z(p)])
+
+    def slope(f):
+        return np.array([(f(w + d) - f(w - d)) / 2e-6 for d in np.eye(5) * 1e-6])
+
+    assert np.allclose(pu_quality.risks(w, p, u, prior), by_hand(w))
+    assert by_hand(w)[1] > 0
+    assert np.allclose(pu_quality.risk_gradient(w, p, u, prior), slope(lambda v: sum(by_hand(v))), atol=1e-6)
+    # All positives far on the positive side, all unlabelled on the negative one: the negative part is below zero.
+    p, u, w = p + 9, u - 9, np.ones(5)
+    assert by_hand(w)[1] < 0
+    assert np.allclose(pu_quality.risk_gradient(w, p, u, prior), -slope(lambda v: by_hand(v)[1]), atol=1e-6)
+
+
+def _thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_thue_morse_words_are_scored_apart(lattice):
+    one, other = _thue_morse(2048)
+    x = pu_quality.features([f"{one} {other}", f"{one} {one}"])
+    assert x[0, pu_quality.N_WORDS + 4] == 0 and x[1, pu_quality.N_WORDS + 4] == 0.5
+    _, _, _, keys, _ = language_id._words([one, other])
+    assert keys[0] != keys[1]
+
+
 def test_classifier_on_odd_rows(make_docs, odd_rows, spark):
     labels = spark.createDataFrame([(1, 1), (4, 1), (8, 1), (5, 0), (None, 1), (12345, 1)], "doc_id long, quality int")
     docs = make_docs(odd_rows, clashing=True)
