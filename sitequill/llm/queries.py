@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pu_quality, quality_rules
+from . import merkle, pu_quality, quality_rules, vector_search
 from .bpe_codec import encode_decode_digests
 from ..sources.tables import read_table
 from .common import documents
@@ -16,6 +16,7 @@ from .fingerprints import EDITED_SQL, edited_fingerprints
 from .language_id import predict, train
 from .license_scan import scan_licenses
 from .packing import pack_documents
+from .runs import run_digests
 from .simhash import simhash_classes
 from .substring_dedup import remove_repeated_windows
 from .token_counts import token_counts
@@ -99,3 +100,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_document_fingerprints", EDITED_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op11_vector_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(documents(spark, sf_dir))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(documents(spark, sf_dir), plant=True)
