@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import read_table
+from ..streaming import line_source as LS
 from ..streaming import progress as PG
+from ..streaming import task_runs as TR
 from . import duck as D
 from .registry import query
 
@@ -123,3 +127,63 @@ def task_runs_stateful(spark, sf):
     that drops a task's state when its run exits."""
     events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     return PG.stream_task_runs(spark, PG.event_lines(events), PG.exit_lines(events), PG.scratch_root(spark, "runs"))
+
+
+def _landed_halves(events, path):
+    """Run output as text files, the earlier half of the ids first."""
+    half = events.agg(F.expr("(max(event_id) + min(event_id)) div 2")).first()[0] or 0
+    lines = PG.event_lines(events)
+    return [lambda: LS.land_lines(lines.where(F.col("seq") <= half), path, 0), lambda: LS.land_lines(lines.where(F.col("seq") > half), path, 1)]
+
+
+@query("task_state_lines", oracle=_STATE_SQL.replace("a.n_log_lines, a.last_seq", "a.n_log_lines"))
+def task_state_lines(spark, sf):
+    """Task state from raw text lines, read by byte offsets: the stream stops
+    after the first half of the files and goes on with the second."""
+    events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    runs = TR.TaskRuns(spark, PG.scratch_root(spark, "lines"))
+    for land in _landed_halves(events, runs.lines):
+        land()
+        runs.digest()
+    return runs.line_state()
+
+
+@query("task_log_stream", oracle=f"WITH {LINES_SQL} SELECT task_id, line AS text FROM ev WHERE kind = 'log'")
+def task_log_stream(spark, sf):
+    """Log lines appended by a stream to a table with a manifest, exactly once."""
+    events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    root = PG.scratch_root(spark, "log")
+    for land in _landed_halves(events, f"{root}/lines"):
+        land()
+        table = TR.stream_task_log(spark, f"{root}/lines", root, compact_every=2)
+    return table.snapshot().select("task_id", "text")
+
+
+@query("task_run_states", oracle=f"""
+WITH {LINES_SQL}, exits AS (
+  SELECT user_id AS task_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id
+), p AS (SELECT task_id, arg_max(struct_pack(seq := seq, current := current, total := total, status := status), seq) AS p
+      FROM ev WHERE type = 'progress' GROUP BY task_id),
+s AS (SELECT task_id, arg_max(struct_pack(seq := seq, stage := stage), seq) AS s FROM ev WHERE type = 'stage' GROUP BY task_id),
+a AS (SELECT task_id, count(*) FILTER (WHERE kind = 'log') AS n_log_lines FROM ev GROUP BY task_id),
+t AS (SELECT c_custkey AS task_id FROM customer UNION SELECT user_id FROM events)
+SELECT t.task_id, CASE WHEN a.task_id IS NULL THEN 'pending' WHEN last_type = 'error' THEN 'failed'
+                       WHEN last_type = 'purchase' THEN 'completed' ELSE 'running' END AS run_status,
+  CASE WHEN last_type = 'error' THEN 'Process exited with code 1' END AS error,
+  p.p.current AS current, p.p.total AS total, p.p.status AS status,
+  CASE WHEN s.s IS NOT NULL AND (p.p IS NULL OR s.s.seq > p.p.seq) THEN s.s.stage END AS stage,
+  coalesce(a.n_log_lines, 0) AS n_log_lines
+FROM t LEFT JOIN a ON a.task_id = t.task_id LEFT JOIN exits e ON e.task_id = t.task_id
+LEFT JOIN p ON p.task_id = t.task_id LEFT JOIN s ON s.task_id = t.task_id""")
+def task_run_states(spark, sf):
+    """Runs of all registered tasks (every customer), merged from digests by
+    ``transformWithState``; runs whose last event is an error or a purchase end."""
+    events = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    runs = TR.TaskRuns(spark, PG.scratch_root(spark, "task-runs"))
+    read_table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").cast("long").alias("task_id")).write.parquet(runs.registered)
+    LS.land_lines(PG.event_lines(events), runs.lines)
+    runs.advance()
+    ending = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last IN ('error', 'purchase')")
+    LS.land_lines(PG.exit_lines(events).join(ending.select(F.col("user_id").alias("task_id")), "task_id", "left_semi"), runs.lines, 1)
+    runs.advance()
+    return runs.runs()
