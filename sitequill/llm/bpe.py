@@ -310,12 +310,10 @@ def bare_starts(cp: np.ndarray, kind: np.ndarray, piece_start: np.ndarray) -> tu
 
 
 @lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Any code point that this Python's Unicode tables do not know. Newer
+def _unassigned() -> np.ndarray:
+    """Whether a code point is unknown to this Python's Unicode tables. Newer
     tables may compose it or give it a lower case."""
-    none = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8)))
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edge.reshape(-1, 2).tolist()) + "]")
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
 
 
 def fold_text(text: str, normalizer=None) -> str:
@@ -324,7 +322,7 @@ def fold_text(text: str, normalizer=None) -> str:
     A text with a code point unknown to Python goes to the file's own
     ``normalizer``, which is slower."""
     if not text.isascii():
-        if normalizer is not None and _unassigned().search(text):
+        if normalizer is not None and _unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
