@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, id_text, map_batches, map_texts
-from .ragged import batch_chunks, disjoint_hash, prefix_sums, ragged_index, slice_hash
+from .common import cut_lineage, fold_remainder, id_text, map_batches, map_texts
+from .ragged import batch_chunks, disjoint_hash, prefix_sums, ragged_index, segment_sums, slice_hash
 
 #: Characters of text handled at once.
 CHUNK = 1 << 21
@@ -40,6 +40,9 @@ SMOOTHING = 0.1
 CACHE_WORDS = 600_000
 #: Rows whose crc32(id) modulo this is 0 are held out.
 FOLDS = 5
+#: Of the median gain over the background that a language's training rows have,
+#: the share that a text must have to count as written in it.
+GAIN_SHARE = 0.05
 UNDETERMINED = "und"
 MARK = "▁"
 
@@ -304,29 +307,33 @@ def train(docs: DataFrame, vocabulary_path: str, folds: int = FOLDS, id_col: str
 
 
 class Scorer:
-    """Scores words once per worker, within a bounded cache."""
+    """Scores words once per worker, within a bounded cache: by each language
+    and, in the last column, by a background in which all pieces are equal."""
 
     def __init__(self, path: str, model: Model) -> None:
         self.lattice, self.model = _lattice(path), model
+        equal = np.full((self.lattice.size, 1), 1 / self.lattice.size)
+        self.columns = np.hstack([model.probabilities, equal])
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.scores = np.zeros((0, len(self.model.langs)))
+        self.scores = np.zeros((0, self.columns.shape[1]))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability by text and language, number of words by text)."""
+        """(log probability by text and column, characters of words by text,
+        each word's mark included)."""
         if len(self.keys) > CACHE_WORDS:
             self._clear()
         big, s, e, keys, offsets = _words(texts)
-        n = np.diff(offsets)
-        out = np.zeros((len(texts), len(self.model.langs)))
+        n = segment_sums(e - s + 1, offsets)
+        out = np.zeros((len(texts), self.columns.shape[1]))
         if not len(keys):
             return out, n
         unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
         new = ~np.isin(unique, self.keys)
         if new.any():
-            scored = word_scores(big, s[where[new]], e[where[new]], self.lattice, self.model.probabilities)
+            scored = word_scores(big, s[where[new]], e[where[new]], self.lattice, self.columns)
             at = np.searchsorted(self.keys, unique[new])
             self.keys = np.insert(self.keys, at, unique[new])
             self.scores = np.insert(self.scores, at, scored, axis=0)
@@ -346,14 +353,19 @@ def _scorer(path: str, name: str, model: Model) -> Scorer:
     return _SCORERS[name]
 
 
-def _predict(texts: list[str], path: str, name: str, model: Model) -> tuple[list[str], np.ndarray]:
+def _predict(texts: list[str], path: str, name: str, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and gain of each text. The gain is the log
+    probability per character by the best language less that by the background:
+    above zero where the language explains the text's pieces at all."""
     if not model.langs:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    logs, n = _scorer(path, name, model).texts(texts)
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    scored, n = _scorer(path, name, model).texts(texts)
+    logs, background = scored[:, :-1], scored[:, -1]
     best = logs.argmax(axis=1)
     top = logs.max(axis=1, keepdims=True)
     score = np.where(n > 0, 1 / np.exp(logs - top).sum(axis=1), 0.0)
-    return [model.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), n.tolist(), strict=True)], score
+    return ([model.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), n.tolist(), strict=True)], score,
+            (top[:, 0] - background) / np.maximum(n, 1))
 
 
 def predict(docs: DataFrame, model: Model, vocabulary_path: str, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,27 +382,42 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str, folds: int = FO
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str]) -> dict:
-        langs, score = _predict(texts, vocabulary_path, name, shared.value)
+        langs, score, _ = _predict(texts, vocabulary_path, name, shared.value)
         return {"lang_pred": langs, "score": score}
 
     out = map_texts(id_text(docs, id_col, text_col), run, [("lang_pred", "string"), ("score", "double")], CHUNK)
     return out.select("doc_id", (fold_remainder(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, vocabulary_path: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a posterior of
-    ``least`` or more. Columns stay as they are; rows are not moved."""
+def keep_identified(docs: DataFrame, model: Model, vocabulary_path: str, least: float = 0.5, share: float = GAIN_SHARE, folds: int = FOLDS,
+                    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is determined: with a posterior of
+    ``least`` or more, and a gain over the background of ``share`` of the
+    median gain of that language's training rows or more.
+
+    The posterior only compares the learned languages and nears 1 for any text
+    of some words; the gain tells noise and languages that were not learned.
+    Null and letterless texts go, and all rows when no language was learned.
+    Repeated rows are judged alike; an empty table stays empty. Texts are
+    scored once, and written with their scores before the medians are taken."""
     name = _model_name(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in batch_chunks(batch, text_col, CHUNK):
-                langs, score = _predict(texts, vocabulary_path, name, shared.value)
-                keep = [x != UNDETERMINED for x in langs] & (score >= least)
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+                found = _predict(texts, vocabulary_path, name, shared.value)
+                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([row, *map(pa.array, found)], names=["row", "found", "score", "gain"])
+
+    scored = cut_lineage(map_batches(docs, run, [("row", docs.schema), ("found", "string"), ("score", "double"), ("gain", "double")]))
+    label = F.col(f"row.`{lang_col}`").cast("string")
+    training = scored.where(label.isNotNull() & (F.col("found") == label) & (fold_remainder(F.col(f"row.`{id_col}`"), folds) != 0))
+    # One row a learned language.
+    medians = training.groupBy("found").agg(F.percentile_approx("gain", 0.5, 10_000).alias("median")).collect()
+    bounds = [F.when(F.col("found") == r["found"], F.lit(share * r["median"])) for r in medians]
+    enough = (F.col("gain") >= F.coalesce(*bounds, F.lit(0.0))) & (F.col("score") >= least)
+    return scored.where((F.col("found") != UNDETERMINED) & enough).select("row.*")
 
 
 def _model_name(model: Model) -> str:

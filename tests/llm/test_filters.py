@@ -121,6 +121,24 @@ def test_language_of_odd_rows(make_docs, odd_rows, spark):
     assert language_id.predict(make_docs([]), model, PIECES).count() == 0
 
 
+def test_noise_and_unlearned_languages_go(spark, make_docs):
+    """Posteriors near 1, but no gain over the background; clean rows stay."""
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (5, 60, 2000)]
+    other = ["Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "漢字漢字漢字", "Все люди рождаются свободными"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, PIECES)
+    planted = make_docs([(-1 - i, t, None) for i, t in enumerate([*noise, *other])])
+    scored = language_id.predict(planted, model, PIECES).collect()
+    assert min(r.score for r in scored) > 0.5  # the posterior alone would keep them all
+    kept = language_id.keep_identified(docs.unionByName(planted), model, PIECES)
+    gone = {r.doc_id for r in docs.unionByName(planted).select("doc_id").collect()} - {r.doc_id for r in kept.select("doc_id").collect()}
+    letterless = {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
+    assert gone == {r.doc_id for r in planted.collect()} | letterless
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+
+
 def test_no_language_learned(make_docs):
     model = language_id.train(make_docs([]), PIECES)
     got = language_id.predict(make_docs([(1, "some text"), (2, None)]), model, PIECES).collect()
