@@ -24,19 +24,27 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; null and letterless texts go."""
+    """Documents whose language is determined. Null and letterless texts go, and
+    so does what no learned language explains better than a background of equal
+    pieces does: noise, and other languages. Repeated rows are judged alike, an
+    empty table stays empty, very long texts are read whole."""
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     return language_id.keep_identified(docs, language_id.train(docs, pieces), pieces, LEAST_LANGUAGE_SCORE)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from these documents and their
-    labels, scores at its threshold or above."""
+    labels, scores at its threshold or above. Null and empty texts have no
+    words and score as such; repeated rows score alike; with an empty table
+    nothing is learned and nothing returned. Texts are read whole."""
     return pu_quality.keep_good(docs, pu_quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group."""
+    """One document, that of the smallest id, of each near-duplicate group. Null
+    and empty texts are near-duplicates of each other; of repeated rows one
+    stays; a null id comes after all others; an empty table stays empty. Very
+    long texts enter whole."""
     return simhash.keep_representatives(docs)
 
 
@@ -54,7 +62,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences."""
+    """Pieces of all documents in training sequences. Null and empty texts are
+    one end token; repeated rows are packed each; an empty table gives no piece;
+    a text longer than a sequence is cut over several."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
