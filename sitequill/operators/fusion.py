@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as TX
 from ..functions import urls as U
+from .scan import dense_number
 from ..session import cut_lineage
 from . import extract as X
 
@@ -78,6 +79,17 @@ def fuse_sources(sidebar: DataFrame, sitemap_urls: DataFrame, heuristic: DataFra
     return best.select("site", "n.url", "n.title", "n.depth", "n.ord", "n.source")
 
 
+def order_fused(fused: DataFrame) -> DataFrame:
+    """Fused nodes with ``node_order``, their place in their site's reading
+    order: by the order their source gave them, then by URL."""
+    return dense_number(fused, ["ord", "url"], "node_order", "site")
+
+
+def order_urls(urls: DataFrame) -> DataFrame:
+    """Distinct (site, url) with ``node_order``, their place in their site by URL."""
+    return dense_number(urls.select("site", "url").distinct(), ["url"], "node_order", "site")
+
+
 def discovery_counts(sidebar: DataFrame, sitemap_urls: DataFrame, heuristic: DataFrame, fused: DataFrame) -> DataFrame:
     """Rows per discovery source and the merged count, per site."""
     u = (sidebar.select("site", F.lit("sidebar").alias("source"))

@@ -159,6 +159,15 @@ def _cond(node: Node, c: tuple) -> bool:
         return v is not None and c[2] in v
     if kind == "has":
         return c[1] in node.attrs
+    if kind == "child":  # where the element stands is checked by select
+        return True
+    v = node.attrs.get(c[1])
+    if kind == "attr^":
+        return v is not None and c[2] != "" and v.startswith(c[2])
+    if kind == "attr$":
+        return v is not None and c[2] != "" and v.endswith(c[2])
+    if kind == "attr~":
+        return v is not None and c[2] in v.split()
     raise ValueError(kind)
 
 
@@ -167,10 +176,13 @@ def matches(node: Node, step: tuple) -> bool:
 
 
 def select(root: Node, selector: list) -> list[Node]:
-    """Elements under ``root`` matching a descendant-combinator selector."""
+    """Elements under ``root`` matching a selector of steps; a step that begins
+    with ("child",) stands directly below the one before it."""
     *ancestors, last = selector
     if not ancestors:
         return [n for n in root.descendants() if matches(n, last)]
+    if any(step[:1] == (("child",),) for step in selector):
+        return [n for n in root.descendants() if matches(n, last) and _held(n, selector)]
     out = []
     for n in root.descendants():
         if not matches(n, last):
@@ -186,6 +198,23 @@ def select(root: Node, selector: list) -> list[Node]:
     return out
 
 
+def _held(node: Node, selector: list) -> bool:
+    """Whether the element's ancestors match all but the last step. For every
+    step the elements that may stand for it are followed upwards together."""
+    here = [node]
+    for i in range(len(selector) - 1, 0, -1):
+        direct = selector[i][:1] == (("child",),)
+        above: dict[int, Node] = {}
+        for n in here:
+            p = n.parent
+            while p is not None:
+                if id(p) not in above and matches(p, selector[i - 1]):
+                    above[id(p)] = p
+                p = None if direct else p.parent
+        here = list(above.values())
+    return bool(here)
+
+
 def select_any(root: Node, selectors: list) -> list[Node]:
     """Union of several selectors, in document order (a CSS selector group)."""
     if all(len(s) == 1 for s in selectors):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import cut_lineage
 from .consolidate import PREVIEW_CHARS, heads_path
 from .fusion import SPLITLINES_RE
 from .scan import exclusive_running_sum
@@ -34,16 +35,58 @@ def heading_audit(blocks: DataFrame) -> DataFrame:
     return rec.select("site", "before", F.inline("heads")).select("site", (F.col("before") + F.col("i") + 1).alias("line_no"), "text")
 
 
-def target_heading_audit(headings: DataFrame, targets: list[str]) -> DataFrame:
+#: Characters of the keys of the inverted index.
+KEY_CHARS = 4
+
+
+def _keys(text, length: int) -> F.Column:
+    """Distinct runs of ``length`` characters of a text."""
+    chars = F.split(text, "")
+    n = F.length(text) - length
+    run = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(length)]))
+    return F.when(n >= 0, F.array_distinct(run)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(text, target): every distinct text (column ``text``) that contains a
+    distinct target (column ``target``) as a substring.
+
+    An inverted index by runs of KEY_CHARS characters (for shorter targets of
+    as many as they have): a text holds a target only if it holds each of its
+    runs, so one run of each target is enough as a key. It is the one that
+    fewest texts hold, which also keeps common runs out of the join; a target
+    with a run that no text holds is done with. What meets is compared. Nulls
+    match nothing; an empty target is in every text."""
+    distinct = texts.select("text").where(F.col("text").isNotNull()).distinct()
+    wanted = targets.select("target").where(F.col("target").isNotNull()).distinct()
+    sized = wanted.withColumn("k", F.least(F.length("target"), F.lit(KEY_CHARS)))
+    by_size = [r["k"] for r in sized.select("k").distinct().collect()]  # KEY_CHARS + 1 values at most
+    found = []
+    for k in sorted(by_size):
+        own = sized.where(F.col("k") == k)
+        if k == 0:
+            found.append(distinct.select("text", F.lit("").alias("target")))
+            continue
+        index = cut_lineage(distinct.select("text", F.explode(_keys(F.col("text"), k)).alias("key")))
+        counts = index.groupBy("key").agg(F.count("*").alias("n"))
+        runs = own.select("target", F.explode(_keys(F.col("target"), k)).alias("key")).join(counts, "key", "left")
+        rarest = runs.groupBy("target").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+        found.append(index.join(rarest, "key").where(F.instr(F.col("text"), F.col("target")) > 0).select("text", "target"))
+    out = texts.sparkSession.createDataFrame([], "text string, target string")
+    for part in found:
+        out = out.unionByName(part)
+    return out
+
+
+def target_heading_audit(headings: DataFrame, targets: list[str] | DataFrame) -> DataFrame:
     """Heading lines containing any target title: (site, line_no, text, target).
 
-    The target list is a parameter (a handful of titles), broadcast into a
-    nested-loop join on ``contains`` -- the only non-equi join of the engine.
-    """
-    spark = headings.sparkSession
-    t = spark.createDataFrame([(x,) for x in targets], "target string")
-    return headings.join(F.broadcast(t), F.instr(F.col("text"), F.col("target")) > 0).select(
-        "site", "line_no", "text", "target")
+    The targets are a list or a table with a column ``target``; each counts
+    once. Any number of them is matched by ``containing``."""
+    if not isinstance(targets, DataFrame):
+        targets = headings.sparkSession.createDataFrame([(x,) for x in targets], "target string")
+    headings = cut_lineage(headings.select("site", "line_no", "text"))
+    return headings.join(containing(headings, targets), "text").select("site", "line_no", "text", "target")
 
 
 def library_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:

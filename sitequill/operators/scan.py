@@ -66,3 +66,28 @@ def neighbor_value(df: DataFrame, group: str, order: list[str], value: str, out:
     return (marked.join(carry, ["_pid", group])
             .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_step")))
             .drop("_pid", "_step", "_rn", "_carry"))
+
+
+def dense_number(df: DataFrame, order: list, out: str, group: str | None = None, start: int = 0) -> DataFrame:
+    """Add ``out``: each row's place (from ``start``, without gaps) by ``order``
+    in its ``group``, or in the whole table.
+
+    ``order`` are column names or sort expressions (``F.desc("time")``); equal
+    rows are told apart arbitrarily. Rows are range-partitioned by the order
+    and written with their partition; a partition numbers its own rows, and the
+    counts of the partitions before it, one row per partition and group, are
+    carried over. No window holds more than a partition's share."""
+    keys = [*([group] if group else []), *order]
+    tied = df.withColumn("_row", F.monotonically_increasing_id())
+    ranged = cut_lineage(tied.repartitionByRange(*keys, "_row").withColumn("_pid", F.spark_partition_id()))
+    own = ["_pid", *([group] if group else [])]
+    counts = ranged.groupBy(*own).agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition (and group): the only rows that meet in one place.
+    bases = counts.select(F.col("_pid").alias("_p"), *([F.col(group).alias("_g")] if group else []), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    local = F.row_number().over(Window.partitionBy(*own).orderBy(*order, "_row"))
+    on = ranged["_pid"] == bases["_p"]
+    if group:
+        on = on & ranged[group].eqNullSafe(bases["_g"])
+    numbered = ranged.withColumn("_local", local).join(bases, on)
+    return numbered.withColumn(out, (F.col("_base") + F.col("_local") + (start - 1)).cast("long")).drop("_row", "_pid", "_p", "_g", "_local", "_base")

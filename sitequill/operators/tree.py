@@ -19,14 +19,14 @@ from ..session import cut_lineage
 from . import extract as X
 from .extract import list_items
 from .htmltree import Node, parse, select_any
+from .selectors import compile_group
 
 ROOT_TITLE = "Documentation Root"
 FLAT_MIN_TOCLINKS = 3
 # Breadcrumb heads that are dropped before healing.
 CRUMB_HEADS = ["home", "docs"]
-# Breadcrumb items, nav[aria-label='Breadcrumb'] li and .gitbook-breadcrumbs a.
-BREADCRUMB_SELECTORS = [[(("tag", "nav"), ("attr", "aria-label", "Breadcrumb")), (("tag", "li"),)],
-                        [(("class", "gitbook-breadcrumbs"),), (("tag", "a"),)]]
+# Breadcrumb items.
+BREADCRUMB_SELECTORS = compile_group("nav[aria-label='Breadcrumb'] li, .gitbook-breadcrumbs a")
 
 
 def _is_toclink(n: Node) -> bool:
@@ -160,65 +160,60 @@ def missing_from_tree(tree: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
 
 
 def heal_tree(tree: DataFrame, missing: DataFrame, crumbs: DataFrame) -> DataFrame:
-    """Nodes to add so every missing URL hangs under its breadcrumb path.
+    """Nodes to add so every missing URL hangs under its breadcrumb path, as if
+    the URLs were restored one after the other in the order of their names:
+    pages and directories restored earlier serve later ones as parents.
 
     tree(site, node_id, parent_id, title, level, url, sib_ord) with root 0;
     missing(site, url); crumbs(site, url, crumbs, page_title).
     A leading ``home``/``docs``/root-title crumb is dropped; the last crumb is
-    the page title; each other crumb names a directory, matched
-    case-insensitively against existing children level by level (first
-    sibling wins, one join per level until no path is left to match), else created once per distinct
-    path. No crumbs: the page goes under the root at level 1 with its title.
+    the page title; each other crumb names a directory: the first child of
+    that title in any case, else a new one. No crumbs: the page goes under the
+    root with the document's title.
+
+    Paths form a trie that is built by depth for all sites at once. At a depth,
+    everything below one node with one title meets in an aggregate: the child
+    that the tree has, else the first URL's contribution, which is a directory
+    if the URL goes on and a page if it ends there. That child is the node that
+    all paths with this title go on from. A directory that very many paths
+    share is aggregated partly before the shuffle.
     Returns new nodes (site, node_id string, parent_id string, title, level, url).
     """
     c = missing.join(crumbs, ["site", "url"], "left").select(
         "site", "url", F.coalesce("crumbs", F.array().cast("array<string>")).alias("cr"), "page_title")
     heads = F.array(*[F.lit(h) for h in CRUMB_HEADS + [ROOT_TITLE.lower()]])
-    cr = F.when((F.size("cr") > 0) & F.array_contains(heads, F.lower(F.element_at("cr", 1))),
-                F.slice("cr", 2, 1 << 20)).otherwise(F.col("cr"))
-    c = c.select("site", "url", "page_title", F.size("cr").alias("n_raw"), cr.alias("cr"))
-    no_crumbs = c.where(F.col("n_raw") == 0).select(
-        "site", F.concat(F.lit("page:"), "url").alias("node_id"), F.lit("0").alias("parent_id"),
-        F.col("page_title").alias("title"), F.lit(1).alias("level"), "url")
-    w = c.where(F.col("n_raw") > 0).select(
-        "site", "url",
-        F.coalesce(F.try_element_at("cr", F.lit(-1)), F.lit("Untitled")).alias("self_title"),
-        F.when(F.size("cr") > 0, F.slice("cr", 1, F.size("cr") - 1)).otherwise(F.array().cast("array<string>")).alias("dirs"))
-    kids = tree.select("site", F.col("parent_id").cast("string").alias("p"), F.lower("title").alias("lt"),
-                       F.col("node_id").cast("string").alias("child"), "level", "sib_ord")
-    state = w.select("site", "url", "self_title", "dirs", F.lit("0").alias("node"), F.lit(0).alias("lvl"),
-                     F.lit(1).alias("d"), F.lit(False).alias("done"))
-    while True:  # every round ends a path or shortens it, so the deepest one bounds the rounds
-        active = state.where(~F.col("done") & (F.col("d") <= F.size("dirs")))
-        if active.isEmpty():
+    cut = F.when((F.size("cr") > 0) & F.array_contains(heads, F.lower(F.element_at("cr", 1))),
+                 F.slice("cr", 2, 1 << 20)).otherwise(F.col("cr"))
+    c = c.select("site", "url", "page_title", F.size("cr").alias("n_raw"), cut.alias("cr"))
+    own_title = F.when(F.col("n_raw") == 0, F.col("page_title")).otherwise(F.coalesce(F.try_element_at("cr", F.lit(-1)), F.lit("Untitled")))
+    dirs = F.when(F.size("cr") > 0, F.slice("cr", 1, F.size("cr") - 1)).otherwise(F.array().cast("array<string>"))
+    kids = (tree.groupBy("site", F.col("parent_id").cast("string").alias("node"), F.lower("title").alias("key"))
+            .agg(F.min_by(F.struct(F.col("node_id").cast("string").alias("id"), F.col("level").alias("level")), F.col("sib_ord")).alias("had")))
+    state = cut_lineage(c.select("site", "url", own_title.alias("own_title"), dirs.alias("dirs"), F.lit("0").alias("node"), F.lit(0).alias("lvl")))
+    depth, added = 0, []
+    while True:  # every round goes one directory deeper, so the longest path bounds the rounds
+        here = state.withColumn("goes_on", F.size("dirs") > depth)
+        here = here.withColumn("title", F.when(F.col("goes_on"), F.get("dirs", F.lit(depth))).otherwise(F.col("own_title")))
+        here = here.withColumn("key", F.lower("title"))
+        pages = here.where(~F.col("goes_on"))
+        added.append(pages.select("site", F.concat(F.lit("page:"), "url").alias("node_id"), F.col("node").alias("parent_id"),
+                                  "title", (F.col("lvl") + 1).alias("level"), "url"))
+        first = here.groupBy("site", "node", "key").agg(
+            F.min(F.struct("url", "goes_on", "title", "lvl")).alias("f"), F.max("goes_on").alias("needed"))
+        under = F.when(F.col("node").startswith("dir:"), F.col("node")).otherwise(F.concat(F.lit("dir:"), "node"))
+        made = F.when(F.col("f.goes_on"), F.concat(under, F.lit("/"), "key")).otherwise(F.concat(F.lit("page:"), "f.url"))
+        child = first.where("needed").join(kids, ["site", "node", "key"], "left").select(
+            "site", "node", "key", F.coalesce("had.id", made).alias("child"), F.coalesce("had.level", F.col("f.lvl") + 1).alias("clvl"),
+            (F.col("had").isNull() & F.col("f.goes_on")).alias("new"), F.col("f.title").alias("title"))
+        child = cut_lineage(child)
+        added.append(child.where("new").select("site", F.col("child").alias("node_id"), F.col("node").alias("parent_id"), "title",
+                                               F.col("clvl").alias("level"), F.lit(None).cast("string").alias("url")))
+        going = here.where("goes_on").join(child.select("site", "node", "key", "child", "clvl"), ["site", "node", "key"])
+        state = cut_lineage(going.select("site", "url", "own_title", "dirs", F.col("child").alias("node"), F.col("clvl").alias("lvl")))
+        depth += 1
+        if state.isEmpty():
             break
-        seg = F.lower(F.element_at("dirs", F.col("d")))
-        a = active.withColumn("seg", seg)
-        hit = (a.join(kids, (a.site == kids.site) & (a.node == kids.p) & (a.seg == kids.lt))
-               .groupBy(a.site, a.url).agg(F.min_by(kids.child, kids.sib_ord).alias("child"),
-                                           F.min_by(kids.level, kids.sib_ord).alias("clvl")))
-        stepped = a.join(hit, ["site", "url"], "left").select(
-            "site", "url", "self_title", "dirs",
-            F.coalesce("child", "node").alias("node"), F.coalesce("clvl", "lvl").alias("lvl"),
-            F.when(F.col("child").isNotNull(), F.col("d") + 1).otherwise(F.col("d")).alias("d"),
-            F.col("child").isNull().alias("done"))
-        rest = state.join(active.select("site", "url"), ["site", "url"], "left_anti")
-        state = cut_lineage(rest.unionByName(stepped))
-    # Remaining crumbs become virtual directories under the matched anchor.
-    rem = state.select("site", "url", "self_title", "node", "lvl",
-                       F.slice("dirs", F.col("d"), F.greatest(F.size("dirs") - F.col("d") + 1, F.lit(0))).alias("rest"))
-    dirs = rem.select("site", "node", "lvl", F.posexplode("rest").alias("k", "t"), "rest")
-    dirs = dirs.select("site", "node", "lvl", "k", "t", F.slice("rest", 1, F.col("k") + 1).alias("prefix")).distinct()
-    did = F.concat(F.lit("dir:"), F.col("node"), F.lit("/"), F.array_join(F.transform("prefix", lambda x: F.lower(x)), "/"))
-    pid = F.when(F.col("k") == 0, F.col("node")).otherwise(
-        F.concat(F.lit("dir:"), F.col("node"), F.lit("/"),
-                 F.array_join(F.transform(F.slice("prefix", 1, F.col("k")), lambda x: F.lower(x)), "/")))
-    new_dirs = dirs.select("site", did.alias("node_id"), pid.alias("parent_id"), F.col("t").alias("title"),
-                           (F.col("lvl") + F.col("k") + 1).alias("level"), F.lit(None).cast("string").alias("url"))
-    new_dirs = new_dirs.groupBy("site", "node_id").agg(F.min("parent_id").alias("parent_id"), F.min("title").alias("title"),
-                                                     F.min("level").alias("level"), F.min("url").alias("url"))
-    last = F.when(F.size("rest") == 0, F.col("node")).otherwise(
-        F.concat(F.lit("dir:"), F.col("node"), F.lit("/"), F.array_join(F.transform("rest", lambda x: F.lower(x)), "/")))
-    pages = rem.select("site", F.concat(F.lit("page:"), "url").alias("node_id"), last.alias("parent_id"),
-                       F.col("self_title").alias("title"), (F.col("lvl") + F.size("rest") + 1).alias("level"), "url")
-    return no_crumbs.unionByName(new_dirs).unionByName(pages)
+    out = added[0]
+    for part in added[1:]:
+        out = out.unionByName(part)
+    return out

@@ -12,12 +12,13 @@ from ..operators import extract as X
 from ..operators import fusion as FU
 from ..operators import links as L
 from ..operators import sitemaps as SM
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 from ..sources import fetches as FE
 from ..sources import markdown_files as MF
 from ..sources.rich_pages import RICH_HTML, rich_pages
 from ..sources.tables import read_table
 from . import duck as D
+from .pipeline import discover
 from .q_html import _ANCHORS, _BLOCK, _NAV, _md_oracle, decode
 from .registry import query
 
@@ -109,20 +110,6 @@ def _repair_sql(title: str, content: str) -> str:
     return f"(CASE WHEN {needs} AND {cand} IS NOT NULL THEN {fixed} ELSE {title} END)"
 
 
-@query("native_pages", oracle=f"""
-WITH {MD_FETCH_SQL}, {PROBE_SQL}
-SELECT site, url, {_repair_sql(f"(CASE WHEN length(url) % 2 = 0 THEN {D.title_from_url('url')} ELSE 'Untitled' END)", 'body')} AS title, md5(body) AS content_md5, 'native_probe' AS source
-FROM hits""")
-def native_pages(spark, sf):
-    """Probe hits as page records; a hierarchy that knows every URL of even
-    length gives titles, and placeholders are repaired from the content."""
-    urls, fetches = _probe_inputs(spark, sf)
-    hits = FU.probe_resolve(urls, fetches)
-    known = urls.where(F.length("url") % 2 == 0).select("site", "url", U.title_from_url("url").alias("title"))
-    p = FU.native_pages(hits, known)
-    return p.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
-
-
 @query("sitemap_urls", headline=True, oracle=f"SELECT DISTINCT {D.site_of('url')} AS site, url FROM pages")
 def sitemap_urls(spark, sf):
     """Page URLs reachable from each site's sitemap index (index loop with a
@@ -210,25 +197,40 @@ smap AS (
 )"""
 
 
-def _fusion_inputs(spark, sf):
-    pages = _pages(spark, sf)
-    entry = FU.entry_pages(pages.select("page_id", "url"))
-    entry_html = pages.join(entry.select("page_id"), "page_id", "left_semi")
-    sidebar = X.sidebar_hierarchy_rows(entry_html).join(entry.select("page_id", "site"), "page_id").select(
-        "site", "url", "title", "level", "ord")
-    fetches = FE.fetch_table(spark, sf, ("sitemap",))
-    smap = SM.resolve_sitemap_index(fetches, SM.scan_sitemaps(fetches).select("site", "url"))
-    edges = L.link_edges(entry_html)
-    heur = FU.urls_to_nodes(edges.join(entry.select("site", "base_url"), "site")
-                            .select("site", F.col("to_url").alias("url"), "base_url")).select("site", "url", "title", "depth")
-    return sidebar, smap, heur, entry.select("site", "base_url")
+def _discovered(spark, sf):
+    return discover(_pages(spark, sf), FE.fetch_table(spark, sf, ("sitemap",)))
+
+
+@query("native_pages", oracle=f"""
+WITH {_FUSED_SQL}, {MD_FETCH_SQL}, {PROBE_SQL}
+SELECT h.site, h.url, {_repair_sql("coalesce(u.title, 'Untitled')", 'h.body')} AS title, md5(h.body) AS content_md5, 'native_probe' AS source
+FROM hits h LEFT JOIN fused u ON u.site = h.site AND u.url = h.url""")
+def native_pages(spark, sf):
+    """Probe hits as page records, titled from the fused nodes; what they do
+    not name is repaired from the content."""
+    urls, fetches = _probe_inputs(spark, sf)
+    p = FU.native_pages(FU.probe_resolve(urls, fetches), _discovered(spark, sf).fused.select("site", "url", "title"))
+    return p.select("site", "url", "title", F.md5("content").alias("content_md5"), "source")
 
 
 @query("fuse_sources", headline=True, oracle=f"WITH {_FUSED_SQL} SELECT site, url, title, depth, ord, source FROM fused")
 def fuse_sources(spark, sf):
     """One hierarchy per site from sidebar, sitemap and link scan."""
-    sidebar, smap, heur, bases = _fusion_inputs(spark, sf)
-    return FU.fuse_sources(sidebar, smap, heur, bases)
+    return _discovered(spark, sf).fused
+
+
+@query("fused_order", oracle=f"""WITH {_FUSED_SQL}
+SELECT site, url, source, row_number() OVER (PARTITION BY site ORDER BY ord, url) - 1 AS node_order FROM fused""")
+def fused_order(spark, sf):
+    """Fused nodes with their place in their site's reading order."""
+    return FU.order_fused(_discovered(spark, sf).fused).select("site", "url", "source", "node_order")
+
+
+@query("url_order", oracle=f"""
+SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) - 1 AS node_order FROM (SELECT DISTINCT {D.site_of('url')} AS site, url FROM pages)""")
+def url_order(spark, sf):
+    """Every site's URLs with their place by name."""
+    return FU.order_urls(_pages(spark, sf).select(U.site_of("url").alias("site"), "url"))
 
 
 @query("discovery_counts", oracle=f"""
@@ -242,10 +244,7 @@ c AS (
 SELECT c.site, c.sidebar, c.sitemap, c.heuristic, m.merged
 FROM c JOIN (SELECT site, count(*) AS merged FROM fused GROUP BY site) m ON m.site = c.site""")
 def discovery_counts(spark, sf):
-    # Each source feeds both the fusion and the counts: computed once.
-    sidebar, smap, heur, bases = (cut_lineage(d) for d in _fusion_inputs(spark, sf))
-    fused = FU.fuse_sources(sidebar, smap, heur, bases)
-    return FU.discovery_counts(sidebar, smap, heur, fused)
+    return _discovered(spark, sf).counts()
 
 
 _HTML_TEXT = D.py_strip(decode("regexp_replace(regexp_extract(body, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g')"))
@@ -306,30 +305,39 @@ repo_links AS (
 )"""
 
 
+# Every eleventh file is no UTF-8, alike for both engines.
+_BROKEN = "page_id % 11 = 3"
+
+
 def _checkout(spark, sf) -> str:
-    """Markdown files of a check-out, one per page, written from ``pages``."""
+    """A packed check-out with one Markdown file per page, written from ``pages``."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/checkout-{uuid.uuid4().hex}"
-    body = FE.markdown_body(F.col("html"))
-    (read_table(spark, sf, "pages", "page_id", "html").select("page_id", body.alias("value"))
-     .write.partitionBy("page_id").text(root))
+    body = F.concat(FE.markdown_body(F.col("html")), F.lit("\n")).cast("binary")
+    content = F.when(F.expr(_BROKEN), F.concat(body, F.unhex(F.lit("FFFE")))).otherwise(body)
+    path = F.concat(F.lit("docs/page-"), F.col("page_id"), F.lit(".md"))
+    MF.pack_checkout(read_table(spark, sf, "pages", "page_id", "html").select(path.alias("path"), content.alias("content")), root)
     return root
 
 
+_PAGE_OF_PATH = F.regexp_extract("path", r"page-([0-9]+)[.]md$", 1).cast("long").alias("page_id")
+
+
 @query("markdown_corpus", oracle=f"""
 WITH b AS (SELECT page_id, {_MD_BODY} || chr(10) AS body FROM pages)
-SELECT page_id, {D.py_strip("substr(split_part(body, chr(10), 1), 3)")} AS title, md5(body) AS content_md5, 'github' AS source FROM b""")
+SELECT page_id, CASE WHEN NOT ({_BROKEN}) THEN {D.py_strip("substr(split_part(body, chr(10), 1), 3)")} END AS title,
+       CASE WHEN NOT ({_BROKEN}) THEN md5(body) END AS content_md5, 'github' AS source, CASE WHEN {_BROKEN} THEN 'not UTF-8' END AS error FROM b""")
 def markdown_corpus(spark, sf):
-    """Page records of a repository check-out: one per file, titled by its first heading."""
-    found = MF.scan_markdown_corpus(spark, _checkout(spark, sf), glob="*.txt")
-    return found.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"), "title",
-                        F.md5("content").alias("content_md5"), "source")
+    """Page records of a repository check-out: one per file, titled by its first
+    heading; files that are no text are reported."""
+    found = MF.scan_packed_checkout(spark, _checkout(spark, sf), "docs")
+    return found.select(_PAGE_OF_PATH, "title", F.md5("content").alias("content_md5"), "source", "error")
 
 
 @query("strategy_fallback", oracle=f"""
 WITH {_BODY_CTES}, {_REPO_SQL},
 md_pages AS ({_md_oracle()}),
 gh AS (SELECT {D.site_of('url')} AS site, count(*) AS n FROM pages
-       WHERE {D.site_of('url')} IN (SELECT site FROM repos WHERE repo_url IN ({', '.join(D.q(r) for r in CHECKED_OUT)})) GROUP BY 1),
+       WHERE NOT ({_BROKEN}) AND {D.site_of('url')} IN (SELECT site FROM repos WHERE repo_url IN ({', '.join(D.q(r) for r in CHECKED_OUT)})) GROUP BY 1),
 sm AS (SELECT site, count(*) AS n FROM both_ GROUP BY site),
 sc AS (SELECT {D.site_of('p.url')} AS site, count(*) AS n FROM md_pages m JOIN pages p ON p.page_id = m.page_id
        WHERE m.content <> '' AND (length({D.py_strip('m.content')}) > 50 OR coalesce(m.title, '') <> '') GROUP BY 1),
@@ -345,8 +353,7 @@ def strategy_fallback(spark, sf):
     sites = pages.select("page_id", U.site_of("url").alias("site"), "url")
     urls = sites.select("site", "url").distinct()
     with_repo = L.detect_repo(rich_pages(pages)).where(F.col("repo_url").isin(*CHECKED_OUT)).select("site")
-    files = MF.scan_markdown_corpus(spark, _checkout(spark, sf), glob="*.txt").select(
-        F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"))
+    files = MF.scan_packed_checkout(spark, _checkout(spark, sf)).where("error IS NULL").select(_PAGE_OF_PATH)
     github = (files.join(sites, "page_id").join(with_repo, "site", "left_semi")
               .select("site", "url", F.lit("github").alias("strategy")))
     sitemap = FU.body_fallback(urls, fetches).select("site", "url", F.lit("sitemap").alias("strategy"))

@@ -14,6 +14,7 @@ from ..functions import text as TX
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import links as L
+from ..functions.elements import elements_function
 from ..sources.rich_pages import rich_oracle, rich_pages
 from ..sources.tables import read_table
 from . import duck as D
@@ -284,3 +285,21 @@ def scan_diagnostics(spark, sf):
     return (pages.select("page_id").join(per_page, "page_id", "left")
             .na.fill(0, ["total_anchors", "filtered_links"])
             .select("page_id", "total_anchors", "filtered_links", F.lit("heuristic").alias("method")))
+
+
+@query("element_rows", oracle=rich_oracle(f"""
+WITH a AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 1)) AS h,
+         unnest(regexp_extract_all(html, '<a href="([^"]*)">(.*?)</a>', 2)) AS t FROM pages
+), g AS (SELECT page_id, {decode('h')} AS href, {D.py_strip(decode("regexp_replace(t, '<[^>]*>', '', 'g')"))} AS text FROM a)
+SELECT page_id, 'a' AS tag, text, href FROM g WHERE strpos(href, 'github.com') > 0 OR starts_with(href, 'mailto:')
+UNION ALL
+SELECT page_id, 'script' AS tag, '' AS text, NULL AS href FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '<script id="__NEXT_DATA__" type="application/json">')) FROM pages)"""))
+def element_rows(spark, sf):
+    """Elements by CSS selector, through the SQL table function in a lateral join."""
+    elements_function(spark)
+    rich_pages(_pages(spark, sf)).createOrReplaceTempView("rich_captured_pages")
+    return spark.sql("""
+      SELECT p.page_id, e.tag, CASE WHEN e.tag = 'script' THEN '' ELSE e.text END AS text, e.href
+      FROM rich_captured_pages p, LATERAL elements('a[href*="github.com"], a[href^="mailto:"], script#__NEXT_DATA__[type$=json]', p.html) e""")

@@ -86,8 +86,6 @@ def missing_from_tree(spark, sf):
 _CRUMB = D.py_strip(decode("x"))
 _TITLE = ("trim(regexp_replace(" + decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
           + ", '[\t\n\f\r ]+', ' ', 'g'), chr(9) || chr(10) || chr(12) || chr(13) || ' ')")
-_DIR = "'dir:' || node || '/' || array_to_string(list_transform({}, lambda x: lower(x)), '/')"
-
 HEAL_SQL = _ENTRY_TREE_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
 miss AS (
   SELECT s.site, s.url FROM smap s
@@ -104,37 +102,37 @@ miss AS (
     CASE WHEN len(c.raw) > 0 AND lower(c.raw[1]) IN ('home', 'docs', 'documentation root') THEN c.raw[2:] ELSE c.raw END AS cut
   FROM miss m JOIN crumbed c ON c.site = m.site AND c.url = m.url
 ), w AS (
-  SELECT site, url, coalesce(cut[-1], 'Untitled') AS self_title, cut[1 : greatest(len(cut) - 1, 0)] AS dirs FROM cr WHERE len(raw) > 0
+  SELECT site, url, CASE WHEN len(raw) = 0 THEN page_title ELSE coalesce(cut[-1], 'Untitled') END AS own_title,
+         CASE WHEN len(raw) = 0 THEN [] ELSE cut[1 : greatest(len(cut) - 1, 0)] END AS dirs FROM cr
 ), kids AS (
-  SELECT site, CAST(parent_id AS VARCHAR) AS p, lower(title) AS lt, CAST(node_id AS VARCHAR) AS child, level FROM etree
+  SELECT site, CAST(parent_id AS VARCHAR) AS p, lower(title) AS key, CAST(node_id AS VARCHAR) AS child, level FROM etree
   QUALIFY row_number() OVER (PARTITION BY site, parent_id, lower(title) ORDER BY sib_ord) = 1
 ), walk AS (
-  SELECT site, url, self_title, dirs, '0' AS node, 0 AS lvl, 0 AS d FROM w
+  -- One row a URL and depth: the node it stands on, and how that came to be.
+  SELECT site, url, own_title, dirs, 0 AS d, '0' AS node, 0 AS lvl, NULL::VARCHAR AS above, NULL::VARCHAR AS made FROM w
   UNION ALL
-  SELECT k.site, x.url, x.self_title, x.dirs, k.child, k.level, x.d + 1
-  FROM walk x JOIN kids k ON k.site = x.site AND k.p = x.node AND k.lt = lower(x.dirs[x.d + 1]) WHERE x.d < len(x.dirs)
-), stopped AS (
-  SELECT site, url, self_title, node, lvl, dirs[d + 1 :] AS rest FROM walk
-  QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY d DESC) = 1
-), prefixes AS (
-  SELECT site, node, lvl, k, rest[1:k] AS prefix, rest[k] AS t
-  FROM (SELECT *, unnest(range(1, len(rest) + 1)) AS k FROM stopped)
+  SELECT site, url, own_title, dirs, d + 1,
+    coalesce(child, CASE WHEN f.goes_on THEN CASE WHEN starts_with(node, 'dir:') THEN '' ELSE 'dir:' END || node || '/' || key ELSE 'page:' || f.url END),
+    coalesce(clvl, lvl + 1), node, CASE WHEN child IS NULL AND f.goes_on THEN f.title END
+  FROM (
+    SELECT x.*, k.child, k.level AS clvl,
+      first_value(struct_pack(url := x.url, goes_on := x.goes_on, title := x.title)) OVER (PARTITION BY x.site, x.node, x.key ORDER BY x.url) AS f
+    FROM (SELECT *, d < len(dirs) AS goes_on, CASE WHEN d < len(dirs) THEN dirs[d + 1] ELSE own_title END AS title,
+                 lower(CASE WHEN d < len(dirs) THEN dirs[d + 1] ELSE own_title END) AS key FROM walk) x
+    LEFT JOIN kids k ON k.site = x.site AND k.p = x.node AND k.key = x.key)
+  WHERE goes_on
 )
-SELECT site, 'page:' || url AS node_id, '0' AS parent_id, page_title AS title, 1 AS level, url FROM cr WHERE len(raw) = 0
-UNION ALL
-SELECT site, node_id, min(parent_id), min(t), CAST(min(level) AS INTEGER), CAST(NULL AS VARCHAR) FROM (
-  SELECT site, {_DIR.format('prefix')} AS node_id, CASE WHEN k = 1 THEN node ELSE {_DIR.format('prefix[1 : k - 1]')} END AS parent_id, t, lvl + k AS level
-  FROM prefixes) GROUP BY site, node_id
+SELECT site, 'page:' || url AS node_id, node AS parent_id, own_title AS title, CAST(lvl + 1 AS INTEGER) AS level, url FROM walk WHERE d = len(dirs)
 UNION ALL
-SELECT site, 'page:' || url, CASE WHEN len(rest) = 0 THEN node ELSE {_DIR.format('rest')} END, self_title, CAST(lvl + len(rest) + 1 AS INTEGER), url
-FROM stopped"""
+SELECT DISTINCT site, node, above, made, CAST(lvl AS INTEGER), CAST(NULL AS VARCHAR) FROM walk WHERE made IS NOT NULL"""
 
 
 @query("heal_tree", oracle=HEAL_SQL)
 def heal_tree(spark, sf):
     """Nodes that attach every missing URL to its site's tree by breadcrumbs.
     The pages get breadcrumbs of all kinds first: none, into an existing
-    directory, into new ones, into a new one below an existing one."""
+    directory, into new ones, into a new one below an existing one, below a
+    page that another one's breadcrumbs name."""
     pages, tree, smap = _entry_inputs(spark, sf)
     # The tree is read by the verification and by every matching round: computed once.
     tree = cut_lineage(tree)

@@ -110,23 +110,29 @@ _SKIP = D.q(P.SKIP_RE)
 _BLOCK = " OR ".join(f"strpos(lower({D.url_path('url')}), {D.q(t)}) > 0" for t in P.LINK_BLOCKLIST)
 
 
+# The URL that links to a page, by the length of the page's own.
+_LINKED = "CASE WHEN length(url) % 3 = 0 THEN replace(url, '://', '://www.') ELSE url END"
+
+
 @query("url_filter", oracle=f"""
 SELECT page_id,
   (strpos(lower(url), {D.q(SECTION)}) > 0 AND {_EXCL}) AS keep_section,
   strpos(url, {D.q(SECTION)}) > 0 AS keep_exact,
   (url IS NOT NULL AND url <> '' AND NOT starts_with(url, '#')
-     AND {D.url_netloc('url')} = {D.url_netloc('url')}
+     AND {D.url_netloc('url')} = {D.url_netloc('entry')}
      AND NOT regexp_matches(lower(url), {_SKIP})) AS valid_page,
   ({_BLOCK}) AS blocked,
   regexp_matches(lower({D.url_path('url')}), {D.q(P.ASSET_RE)}) AS is_asset
-FROM pages""")
+FROM (SELECT *, {_LINKED} AS entry FROM pages)""")
 def url_filter(spark, sf):
+    """Filters of every URL; the host it must have is that of the URL it is
+    taken to be linked from: its own site, or for some pages ``www.`` of it."""
     u = F.col("url")
-    return _pages(spark, sf).select(
+    return _pages(spark, sf).withColumn("entry", F.expr(_LINKED)).select(
         "page_id",
         P.include_exclude(u, SECTION, EXCLUDE).alias("keep_section"),
         P.include_exclude(u, SECTION, None, case_sensitive=True).alias("keep_exact"),
-        P.valid_page_url(u, U.url_netloc(u)).alias("valid_page"),
+        P.valid_page_url(u, U.url_netloc("entry")).alias("valid_page"),
         P.link_blocked(u).alias("blocked"),
         P.asset_extension(u).alias("is_asset"),
     )

@@ -23,12 +23,13 @@ TOC_HTML = """CASE WHEN page_id % 3 = 0 THEN replace(html, '<nav>', concat(
   '<a class="toclink" href="/v">V</a><a class="toclink" href="/w">W</a></div><nav>')) ELSE html END"""
 
 #: Breadcrumbs: none, under a link of the site's entry page (``first``), under
-#: two new directories, under one new directory below that link.
+#: two new directories, under one new directory below that link (every seventh
+#: page: below a page restored itself).
 CRUMBED_HTML = """replace(html, '<article>', concat(CASE page_id % 4
   WHEN 0 THEN ''
   WHEN 1 THEN concat('<nav aria-label="Breadcrumb"><ol><li>Home</li><li>', first, '</li><li>Leaf ', page_id, '</li></ol></nav>')
   WHEN 2 THEN concat('<nav aria-label="Breadcrumb"><ol><li>Docs</li><li>Section X', page_id % 3, '</li><li>/</li><li>Deep</li><li>Leaf ', page_id, '</li></ol></nav>')
-  ELSE concat('<nav aria-label="Breadcrumb"><ol><li>', first, '</li><li>New ', page_id % 5, '</li><li>Leaf ', page_id, '</li></ol></nav>')
+  ELSE concat('<nav aria-label="Breadcrumb"><ol><li>', first, '</li><li>', CASE WHEN page_id % 7 = 0 THEN concat('leaf ', page_id - 2) ELSE concat('New ', page_id % 5) END, '</li><li>Leaf ', page_id, '</li></ol></nav>')
 END, '<article>'))"""
 
 #: Text of the first navigation link, as it stands in the markup.
