@@ -15,7 +15,7 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import links as L
 from ..functions.elements import elements_function
-from ..sources.rich_pages import rich_oracle, rich_pages
+from ..sources.rich_pages import SIDEBAR_HTML, rich_oracle, rich_pages, sidebar_pages
 from ..sources.tables import read_table
 from . import duck as D
 from .registry import query
@@ -303,3 +303,57 @@ def element_rows(spark, sf):
     return spark.sql("""
       SELECT p.page_id, e.tag, CASE WHEN e.tag = 'script' THEN '' ELSE e.text END AS text, e.href
       FROM rich_captured_pages p, LATERAL elements('a[href*="github.com"], a[href^="mailto:"], script#__NEXT_DATA__[type$=json]', p.html) e""")
+
+
+SIDED_SQL = f"""
+sited AS (SELECT DISTINCT {D.site_of('url')} AS site, url FROM pages),
+firsts AS (
+  SELECT site, max(url) FILTER (k = 1) AS u1, max(url) FILTER (k = 2) AS u2, max(url) FILTER (k = 3) AS u3
+  FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS k FROM sited) GROUP BY site
+), sided AS (
+  SELECT p.page_id, p.url, {SIDEBAR_HTML} AS html, u1, u2, u3, page_id % 3 <> 0 AS with_reference,
+         CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a[ >]')) AS INTEGER) AS n_nav
+  FROM pages p JOIN firsts f ON f.site = {D.site_of('p.url')}
+)"""
+
+# Links of the nested sidebar in document order.
+SIDE_LINKS_SQL = f"""
+side_links AS (
+  SELECT page_id, url AS page_url, 0 AS i, 1 AS level, NULL::VARCHAR AS section, u1 AS href, 'Start' AS title FROM sided
+  UNION ALL SELECT page_id, url, 1, 2, 'Guide & more', coalesce(u2, {resolve_sql('url', "'/g2'")}), 'Twox' FROM sided
+  UNION ALL SELECT page_id, url, 2, 3, 'Guide & more', coalesce(u3, {resolve_sql('url', "'/g3'")}), 'Three' FROM sided
+  UNION ALL SELECT page_id, url, 3, 2, 'Guide & more', {resolve_sql('url', "'/four' || CAST(page_id AS VARCHAR)")}, 'Four' FROM sided
+  UNION ALL SELECT page_id, url, 3 + k, 2, 'Reference', {resolve_sql('url', "'/r' || CAST(k AS VARCHAR)")}, 'R' || CAST(k AS VARCHAR)
+    FROM (SELECT *, unnest(range(1, 7)) AS k FROM sided WHERE with_reference)
+)"""
+
+SIDE_ENTRIES_SQL = f"""
+{SIDED_SQL}, {SIDE_LINKS_SQL}, {_NAV},
+side_entries AS (
+  SELECT page_id, i, level, section, split_part(href, '#', 1) AS url, title FROM side_links
+  SEMI JOIN (SELECT page_id FROM sided WHERE n_nav <= CASE WHEN with_reference THEN 10 ELSE 4 END) a USING (page_id)
+  UNION ALL
+  SELECT n.page_id, CAST(n.i AS INTEGER), 1, NULL, split_part(n.abs_url, '#', 1), {D.py_strip(decode("regexp_replace(a.t, '<[^>]*>', '', 'g')"))}
+  FROM nav_abs n JOIN nav_a a ON a.page_id = n.page_id AND a.i = n.i
+  SEMI JOIN (SELECT page_id FROM sided WHERE n_nav > CASE WHEN with_reference THEN 10 ELSE 4 END) b ON b.page_id = n.page_id
+  WHERE n.href <> '' AND split_part(n.abs_url, '#', 1) <> ''
+), side_rows AS (
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, section, url, title
+  FROM (SELECT * FROM side_entries QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY i) = 1)
+)"""
+
+
+@query("sidebar_sections", oracle=f"WITH {SIDE_ENTRIES_SQL} SELECT * FROM side_rows")
+def sidebar_sections(spark, sf):
+    """Hierarchy of pages with a nested, sectioned sidebar beside a plain one:
+    the larger is read, whichever that is."""
+    return X.sidebar_hierarchy_rows(sidebar_pages(_pages(spark, sf))).select("page_id", "ord", "level", "section", "url", "title")
+
+
+@query("sidebar_containers", oracle=f"""
+WITH {SIDED_SQL}
+SELECT page_id, 0 AS cand_pos, 'aside' AS cand_tag, CASE WHEN with_reference THEN 10 ELSE 4 END AS n_links FROM sided
+UNION ALL SELECT page_id, 1, 'nav', n_nav FROM sided""")
+def sidebar_containers(spark, sf):
+    """Links per sidebar candidate of pages that have two."""
+    return X.sidebar_candidates(sidebar_pages(_pages(spark, sf)))

@@ -9,10 +9,10 @@ from ..functions import urls as U
 from ..operators import fusion as FU
 from ..operators import tree as TR
 from ..session import cut_lineage
-from ..sources.rich_pages import CRUMBED_HTML, FIRST_LINK, TOC_HTML, rich_oracle, rich_pages
+from ..sources.rich_pages import CRUMBED_HTML, FIRST_LINK, TOC_HTML, rich_oracle, rich_pages, sidebar_pages
 from ..sources.tables import read_table
 from . import duck as D
-from .q_html import _NAV, decode
+from .q_html import _NAV, SIDE_LINKS_SQL, SIDED_SQL, decode, resolve_sql
 from .registry import query
 
 
@@ -144,3 +144,24 @@ def heal_tree(spark, sf):
     crumbs = TR.page_crumbs(crumbed.join(missing.select("url").distinct(), "url", "left_semi"), keep_url=True).select(
         U.site_of("url").alias("site"), "url", "crumbs", "page_title")
     return TR.heal_tree(tree, missing, cut_lineage(crumbs))
+
+
+@query("sidebar_tree_sections", oracle=f"""
+WITH {SIDED_SQL}, {SIDE_LINKS_SQL}, items AS (
+  -- Node and parent numbers as the items stand: two headers hold links of their own.
+  SELECT page_id, CASE WHEN i = 0 THEN 1 WHEN i <= 3 THEN i + 2 ELSE i + 3 END AS node_id,
+         CASE WHEN i = 0 THEN 0 WHEN i = 2 THEN 3 WHEN i <= 3 THEN 2 ELSE 6 END AS parent_id, title, level, split_part(href, '#', 1) AS url,
+         CASE WHEN i IN (0, 1, 2) THEN 0 WHEN i = 3 THEN 1 ELSE i - 4 END AS sib_ord FROM side_links
+  UNION ALL SELECT page_id, 2, 0, 'Guide & more', 1, NULL, 1 FROM sided
+  UNION ALL SELECT page_id, 6, 0, 'Reference', 1, NULL, 2 FROM sided WHERE with_reference
+), flat AS (
+  SELECT page_id, k AS node_id, 0 AS parent_id, substr('TUVW', k, 1) AS title, 1 AS level,
+         {resolve_sql('url', "CASE k WHEN 1 THEN '/t' || CAST(page_id AS VARCHAR) WHEN 2 THEN '/u' WHEN 3 THEN '/v' ELSE '/w' END")} AS url, k - 1 AS sib_ord
+  FROM (SELECT *, unnest(range(1, 5)) AS k FROM sided WHERE page_id % 3 = 0)
+), every AS (SELECT * FROM items WHERE page_id % 3 <> 0 UNION ALL SELECT * FROM flat)
+SELECT page_id, CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, title, CAST(level AS INTEGER) AS level, url,
+       CAST(sib_ord AS INTEGER) AS sib_ord FROM every""")
+def sidebar_tree_sections(spark, sf):
+    """Trees of nested sidebars with labelled sections; every third page has a
+    table of contents of marked links instead (flat layout)."""
+    return TR.page_trees(rich_pages(sidebar_pages(_pages(spark, sf)), TOC_HTML))

@@ -6,9 +6,11 @@ depends on the page's id alone, so the derived table grows with ``pages``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+
 #: Tables, repository links and JSON scripts, put before the article's end.
 RICH_HTML = """replace(html, '</article>', concat(CASE page_id % 4
   WHEN 0 THEN concat('<table><tr><th>Key</th><th>N</th></tr><tr><td>page <b>', page_id, '</b></td><td>', page_id % 7, '</td></tr></table>')
@@ -36,6 +38,30 @@ END, '<article>'))"""
 FIRST_LINK = """regexp_extract(html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
 
 
+_HREF = "replace(replace({}, '&', '&amp;'), '\"', '&quot;')"
+
+#: A nested sidebar before the navigation, of the site's first URLs by name
+#: (u1 to u3) and some of its own: three levels, two labelled sections (the
+#: second on two pages of three), a link with inner markup, one with a fragment.
+SIDEBAR_HTML = f"""replace(html, '<nav>', concat('<aside class="side"><ul><li><a href="', {_HREF.format('u1')},
+  '">Start</a></li><li><div>Guide &amp; more</div><ul><li><a href="', coalesce({_HREF.format('u2')}, '/g2'), '">Two <b>x</b></a><ul><li><a href="',
+  coalesce({_HREF.format('u3')}, '/g3'), '#part">Three</a></li></ul></li><li><a href="/four', page_id, '">Four</a></li></ul></li>',
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<li><div>Reference</div><ul>',
+    '<li><a href="/r1">R1</a></li><li><a href="/r2">R2</a></li><li><a href="/r3">R3</a></li>',
+    '<li><a href="/r4">R4</a></li><li><a href="/r5">R5</a></li><li><a href="/r6">R6</a></li></ul></li>') END,
+  '</ul></aside><nav>'))"""
+
+
+def sidebar_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``SIDEBAR_HTML``. A site's first URLs are ranked with a limit,
+    so that a window holds no more than those."""
+    sited = pages.select(U.site_of("url").alias("site"), "url").distinct()
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+    ranked = sited.withColumn("k", rank).where("k <= 3")
+    firsts = ranked.groupBy("site").agg(*[F.max(F.when(F.col("k") == i, F.col("url"))).alias(f"u{i}") for i in (1, 2, 3)])
+    return pages.withColumn("site", U.site_of("url")).join(firsts, "site").select("page_id", "url", F.expr(SIDEBAR_HTML).alias("html"))
+
+
 def rich_pages(pages: DataFrame, html: str = RICH_HTML) -> DataFrame:
     return pages.select("page_id", "url", F.expr(html).alias("html"))
 
