@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from .functions import urls as U
 from .operators import assets as A
 from .operators import consolidate as C
-from .plans.pipeline import SiteOptions, discover, run_stats, site_documents, write_diagnostics
+from .plans.pipeline import FLOWS, SiteOptions, discover, run_stats, scan_diagnostics, write_diagnostics
 from .session import build_session, cut_lineage
 from .sources import fetches as FE
 
 
 def run(spark: SparkSession, pages_path: str, out_dir: str, fetches_path: str | None = None,
         section: str | None = None, exclude: str | None = None,
-        downloaded: str = "1970-01-01 00:00:00 UTC") -> None:
+        downloaded: str = "1970-01-01 00:00:00 UTC", flow: str = "fusion") -> None:
     t0 = time.time()
     pages = spark.read.parquet(pages_path).select("page_id", "url", "html")
     fetches = FE.html_fetches(pages.select("url", "html"))
@@ -37,12 +37,13 @@ def run(spark: SparkSession, pages_path: str, out_dir: str, fetches_path: str |
         fetches = fetches.unionByName(FE.sitemap_fetches(pages.select("url")))
     opts = SiteOptions(section_path=section, exclude_path=exclude, downloaded=downloaded)
     found = discover(pages, fetches)
-    blocks = cut_lineage(site_documents(pages, fetches, opts, found))
+    blocks = cut_lineage(FLOWS[flow](pages, fetches, opts, found))
     C.sink_documents(blocks, f"{out_dir}/documents")
     assets = A.asset_refs(pages.select(U.site_of("url").alias("site"), "url", F.lit(None).cast("string").alias("content"), "html"))
     stats = run_stats(blocks, assets, time.time() - t0)
-    both = stats.join(found.counts(), "site", "left").withColumn("section", F.lit(section))
-    write_diagnostics(both, f"{out_dir}/diagnostics")
+    entry_html = pages.join(found.entry.select("page_id", "site"), "page_id").select("site", "page_id", "url", "html")
+    every = stats.join(found.counts(), "site", "left").join(scan_diagnostics(entry_html), "site", "left")
+    write_diagnostics(every.withColumn("section", F.lit(section)).withColumn("flow", F.lit(flow)), f"{out_dir}/diagnostics")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -52,11 +53,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--fetches")
     ap.add_argument("--section")
     ap.add_argument("--exclude")
+    ap.add_argument("--flow", choices=sorted(FLOWS), default="fusion")
     ap.add_argument("--downloaded", default=time.strftime("%Y-%m-%d %H:%M:%S UTC", time.gmtime()))
     a = ap.parse_args(argv)
     spark = build_session()
     try:
-        run(spark, a.pages, a.out, a.fetches, a.section, a.exclude, a.downloaded)
+        run(spark, a.pages, a.out, a.fetches, a.section, a.exclude, a.downloaded, a.flow)
     finally:
         spark.stop()
 

@@ -15,7 +15,7 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import links as L
 from ..functions.elements import elements_function
-from ..sources.rich_pages import SIDEBAR_HTML, rich_oracle, rich_pages, sidebar_pages
+from ..sources.rich_pages import ARTICLE_HTML, SIDEBAR_HTML, rich_oracle, rich_pages, sidebar_pages
 from ..sources.tables import read_table
 from . import duck as D
 from .registry import query
@@ -357,3 +357,16 @@ UNION ALL SELECT page_id, 1, 'nav', n_nav FROM sided""")
 def sidebar_containers(spark, sf):
     """Links per sidebar candidate of pages that have two."""
     return X.sidebar_candidates(sidebar_pages(_pages(spark, sf)))
+
+
+@query("page_markdown_blocks", oracle="""
+SELECT page_id, 'Page ' || page_id AS title, '# Page ' || page_id || '\n\n' || CASE page_id % 4
+  WHEN 0 THEN '### Lists & more\n\n- one bold ' || page_id || '\n- two\n\n- first\n\n```\nx = ' || page_id || '\ny = 2\n```'
+  WHEN 1 THEN 'Text with c, link and  em\n\n| Key | N |  |\n| --- | --- | --- |\n| page ' || page_id || ' |  |  |\n| a | b | c |'
+  WHEN 2 THEN '$x^{' || page_id || '}$ done\n $$\nsum ' || page_id || '\n$$'
+  ELSE 'quoted ' || page_id || '\n## Last' END AS content
+FROM pages""")
+def page_markdown_blocks(spark, sf):
+    """Markdown of lists, code, tables of unequal rows, links, images, formulas
+    in line and displayed, and quotes."""
+    return X.markdown_pages(rich_pages(_pages(spark, sf), ARTICLE_HTML)).select("page_id", F.col("h1_title").alias("title"), "content")

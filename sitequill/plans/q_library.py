@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import assets as A
 from ..operators import consolidate as C
 from ..operators import library as LB
-from ..session import ensure_checkpoint_dir
+from ..operators.document_table import DocumentTable
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import corpus as CP
+from ..sources.tables import read_table
 from . import duck as D
 from .q_consolidate import DOWNLOADED, NL, _document_sql, _inputs
 from .registry import query
@@ -102,3 +104,32 @@ def run_stats(spark, sf):
     pages, _, _ = _inputs(spark, sf)
     linked = pages.select("site", "url", F.expr(_ASSET_LINK).alias("content"), F.lit(None).cast("string").alias("html"))
     return stats(_blocks(spark, sf), A.asset_refs(linked), 12.5)
+
+
+@query("library_newest", oracle=f"""
+WITH {_doc_cte()}, sizes AS (
+  SELECT site AS document,
+    max(CASE WHEN part = 0 THEN {D.py_strip("substr(split_part(block, chr(10), 1), 3)")} END) AS title,
+    max(CASE WHEN part = 0 THEN regexp_extract(block, '\\*\\*Source:\\*\\* (https?://[^[:space:]]+)', 1) END) AS source,
+    CAST(sum(octet_length(encode(block))) + count(*) FILTER (WHERE part = 1) AS BIGINT) AS size, length(site) > 12 AS again
+  FROM docs GROUP BY site)
+SELECT document, title, source, size, CASE WHEN again THEN TIMESTAMP '2024-03-02 08:00:00' ELSE TIMESTAMP '2024-03-01 08:00:00' END AS modified,
+       TIMESTAMP '2024-03-01 08:00:00' AS created, row_number() OVER (ORDER BY again DESC, document) - 1 AS newest
+FROM sizes""")
+def library_newest(spark, sf):
+    """Every site's document appended to a library table, those of longer names
+    once more a day later; the listing, newest first, from its manifest."""
+    blocks = cut_lineage(_blocks(spark, sf))
+    library = DocumentTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/library-{uuid.uuid4().hex}")
+    library.add(blocks, 0, "2024-03-01 08:00:00")
+    library.add(blocks.where(F.length("site") > 12), 1, "2024-03-02 08:00:00")
+    return library.metadata()
+
+
+@query("title_mentions", oracle=f"""
+WITH {_RECORDS}, t AS (SELECT DISTINCT substr(text, 1, 12) AS target FROM documents WHERE text IS NOT NULL AND length(text) >= 6)
+SELECT h.site, h.line_no, h.text, t.target FROM heads h JOIN t ON strpos(h.text, t.target) > 0""")
+def title_mentions(spark, sf):
+    """Headings that hold the beginning of any document of the corpus."""
+    docs = read_table(spark, sf, "documents", "text").where("text IS NOT NULL AND length(text) >= 6")
+    return LB.target_heading_audit(LB.heading_audit(_blocks(spark, sf)), docs.select(F.left("text", F.lit(12)).alias("target")).distinct())

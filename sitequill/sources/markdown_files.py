@@ -30,7 +30,8 @@ def scan_markdown_files(spark: SparkSession, repo_dir: str, section_path: str |
     sub-directory), recursively, read as bytes: (title, url, content, source,
     path, error). ``error`` says why a file cannot be read as UTF-8 text; its
     title and content are null then, and the other files are not affected. The
-    folder may be on any file system Spark reads; a missing one gives no rows."""
+    folder may be on any file system Spark reads; a missing one gives no rows,
+    and neither does a file of no bytes."""
     root = repo_dir.rstrip("/")
     search = f"{root}/{section_path.strip('/')}" if section_path else root
     try:

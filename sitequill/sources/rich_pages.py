@@ -38,6 +38,15 @@ END, '<article>'))"""
 FIRST_LINK = """regexp_extract(html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
 
 
+#: Articles of lists and code, of tables, links and images, of formulas, of
+#: quotes and headings only, by the page's id. The parts around stay.
+ARTICLE_HTML = """concat(split_part(html, '<article>', 1), '<article><h1>Page ', page_id, '</h1>', CASE page_id % 4
+  WHEN 0 THEN concat('<h3>Lists &amp; more</h3><ul><li>one <b>bold</b> ', page_id, '</li><li>two</li></ul><ol><li>first</li></ol><pre><code class="language-python">x = ', page_id, '\ny = 2</code></pre>')
+  WHEN 1 THEN concat('<p>Text with <code>c</code>, <a href="/l', page_id, '">link</a> and <img src="/i.png" alt="pic"> <em>em</em></p><table><tr><th>Key</th><th>N</th></tr><tr><td>page ', page_id, '</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table>')
+  WHEN 2 THEN concat('<p><span class="katex"><span class="katex-mathml"><math><semantics><annotation encoding="application/x-tex">x^{', page_id, '}</annotation></semantics></math></span><span class="katex-html">shown</span></span> done</p><div><span class="katex"><span class="katex-display"><annotation encoding="application/x-tex">sum ', page_id, '</annotation></span></span></div>')
+  ELSE concat('<blockquote>quoted ', page_id, '</blockquote><hr><h2>Last</h2>')
+END, '</article>', split_part(html, '</article>', 2))"""
+
 _HREF = "replace(replace({}, '&', '&amp;'), '\"', '&quot;')"
 
 #: A nested sidebar before the navigation, of the site's first URLs by name
