@@ -24,7 +24,7 @@ from .common import id_text
 SHINGLE_WORDS = 5
 #: Hashes below this string are retained: one in two.
 THRESHOLD = "8"
-#: Sketches kept for long documents alone, ``fingerprints``: one in 16.
+#: One in 16, enough where all documents are long.
 THIN_THRESHOLD = "1"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -61,18 +61,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
 
 
-def merged(sketches: Column) -> Column:
-    """Sketch of the union of documents from an array of their sketches."""
-    return F.sort_array(F.array_distinct(F.flatten(sketches)))
+def merged(sketches: Column, threshold: str = THRESHOLD) -> Column:
+    """Sketch of the union of documents from an array of their sketches, which
+    all have this threshold: what lies below it, and, only where nothing does,
+    the smallest hash of all."""
+    limit = int(threshold.ljust(15, "0"), 16)
+    every = F.flatten(sketches)
+    below = F.filter(every, lambda x: x < limit)
+    return F.when((F.size(below) == 0) & (F.size(every) > 0), F.array(F.array_min(every))).otherwise(F.sort_array(F.array_distinct(below)))
 
 
 def digest(a: Column) -> Column:
     return F.md5(F.array_join(a.cast("array<string>"), ",").cast("binary"))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THIN_THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sketch) of every row. Null text: empty sketch. Texts of some
-    hundred words and less need ``THRESHOLD``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sketch) of every row. Null text: empty sketch. Sketches compare
+    and merge with those of the same threshold; texts of some hundred words and
+    less need one no lower than the default."""
     return id_text(docs, id_col, text_col).select("doc_id", sketch(F.col("text"), shingle, threshold).alias("sketch"))
 
 

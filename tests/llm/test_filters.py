@@ -429,15 +429,34 @@ def test_containment_of_unequal_documents_and_unions(make_docs):
     a, b = " ".join(long), " ".join(long[3000:5000])
     c = " ".join(long[:10_004])
     d = " ".join(long[10_000:])
-    df = fingerprints.fingerprints(make_docs([(1, a), (2, b), (3, c), (4, d)]))
+    thin = fingerprints.THIN_THRESHOLD
+    df = fingerprints.fingerprints(make_docs([(1, a), (2, b), (3, c), (4, d)]), threshold=thin)
     got = {r.doc_id: r.sketch for r in df.collect()}
     assert set(got[2]) <= set(got[1]) and abs(len(got[1]) / 20_000 - 1 / 16) < 0.01
     pair = df.groupBy().agg(F.max(F.when(F.col("doc_id") == 1, F.col("sketch"))).alias("a"), F.max(F.when(F.col("doc_id") == 2, F.col("sketch"))).alias("b"),
                             F.collect_list(F.when(F.col("doc_id") >= 3, F.col("sketch"))).alias("parts"))
-    r = pair.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("near"), (fingerprints.merged(F.col("parts")) == F.col("a")).alias("same")).first()
+    r = pair.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("near"), (fingerprints.merged(F.col("parts"), thin) == F.col("a")).alias("same")).first()
     assert r.near == 1.0 and r.same
 
 
+def test_merged_sketches_are_those_of_the_union(make_docs):
+    """Short documents, of which some have no hash below the threshold."""
+    rng = random.Random(6)
+    groups = [[" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.choice([0, 1, 3, 5, 6, 9]))) for _ in range(rng.randint(1, 3))] for _ in range(150)]
+    parts = make_docs([(g, t) for g, texts in enumerate(groups) for t in texts])
+    for threshold in (fingerprints.THRESHOLD, fingerprints.THIN_THRESHOLD):
+        limit = int(threshold.ljust(15, "0"), 16)
+        sketches = fingerprints.fingerprints(parts, threshold=threshold)
+        got = {r.doc_id: r.s for r in sketches.groupBy("doc_id").agg(fingerprints.merged(F.collect_list("sketch"), threshold).alias("s")).collect()}
+        for g, texts in enumerate(groups):
+            hashes = set()
+            for t in texts:
+                w = t.split()
+                hashes |= {int(hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:15], 16) for i in range(max(len(w) - 4, min(len(w), 1)))}
+            below = sorted(h for h in hashes if h < limit)
+            assert got[g] == (below or ([min(hashes)] if hashes else []))
+
+
 def test_short_documents_keep_their_likeness(make_docs):
     rng = random.Random(1)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 120)))) for i in range(400)]
