@@ -319,7 +319,8 @@ def _checkout(spark, sf) -> str:
     return root
 
 
-_PAGE_OF_PATH = F.regexp_extract("path", r"page-([0-9]+)[.]md$", 1).cast("long").alias("page_id")
+def _page_of_path():
+    return F.regexp_extract("path", r"page-([0-9]+)[.]md$", 1).cast("long").alias("page_id")
 
 
 @query("markdown_corpus", oracle=f"""
@@ -330,7 +331,7 @@ def markdown_corpus(spark, sf):
     """Page records of a repository check-out: one per file, titled by its first
     heading; files that are no text are reported."""
     found = MF.scan_packed_checkout(spark, _checkout(spark, sf), "docs")
-    return found.select(_PAGE_OF_PATH, "title", F.md5("content").alias("content_md5"), "source", "error")
+    return found.select(_page_of_path(), "title", F.md5("content").alias("content_md5"), "source", "error")
 
 
 @query("strategy_fallback", oracle=f"""
@@ -353,7 +354,7 @@ def strategy_fallback(spark, sf):
     sites = pages.select("page_id", U.site_of("url").alias("site"), "url")
     urls = sites.select("site", "url").distinct()
     with_repo = L.detect_repo(rich_pages(pages)).where(F.col("repo_url").isin(*CHECKED_OUT)).select("site")
-    files = MF.scan_packed_checkout(spark, _checkout(spark, sf)).where("error IS NULL").select(_PAGE_OF_PATH)
+    files = MF.scan_packed_checkout(spark, _checkout(spark, sf)).where("error IS NULL").select(_page_of_path())
     github = (files.join(sites, "page_id").join(with_repo, "site", "left_semi")
               .select("site", "url", F.lit("github").alias("strategy")))
     sitemap = FU.body_fallback(urls, fetches).select("site", "url", F.lit("sitemap").alias("strategy"))

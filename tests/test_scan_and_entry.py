@@ -28,6 +28,16 @@ def test_markdown_corpus_scan(spark, tmp_path):
     assert scan_markdown_corpus(spark, str(tmp_path), "missing").count() == 0
 
 
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as E; print(len(E.queries()) >= len(E.oracle_sql()) > 60)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.strip() == "True"
+
+
 def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["site", "part", "k1", "k2", "block"]
