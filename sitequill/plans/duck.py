@@ -150,3 +150,19 @@ def asset_filename(x):
 def url_extension(x):
     return f"lower(regexp_extract({url_path(x)}, '(\\.[^./]*)$', 1))"
 
+
+# ---------------------------------------------------------------------------
+# Fixed values as the oracles state them, written out so that an oracle does
+# not share the constant that it checks.
+# ---------------------------------------------------------------------------
+
+SKIP_RE = (r"/search|/login|/logout|/edit|/admin|/api/|/assets/|/static/|\.(css|js|json|xml|rss|txt)$|\.(jpg|png|gif|svg|ico|pdf)$"
+           r"|mailto:|tel:|javascript:")
+ASSET_RE = r"\.(png|jpg|jpeg|gif|svg|webp|ico|pdf|zip|tar|gz)$"
+BLOCKED = ("/login", "/signup", "/signin", "/register", "twitter.com", "discord.gg")
+PLACEHOLDER_TITLES = ("Untitled", "Native Page", "Introduction")
+IMAGE_LINK_RE = r"!\[(.*?)\]\((?:[^)]*/)?([^/?#)]+\.(?i:png|jpg|jpeg|gif|svg|webp|ico|pdf|zip|tar|gz))(?:[?#][^)]*)?\)"
+SOURCE_LINE_RE = r"\*\*Source:\*\* (https?://\S+)"
+LINE_END_RE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+HEADING_RE = ("(?s)^(#+)[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000]+(.*)")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import predicates as P
 from ..functions import urls as U
 from ..operators import assets as A
 from ..sources import fetches as FE
@@ -74,7 +73,7 @@ apages AS (
 )"""
 
 
-_ASSET_WHERE = f"regexp_matches(lower({D.url_path('asset_url')}), {D.q(P.ASSET_RE)})"
+_ASSET_WHERE = f"regexp_matches(lower({D.url_path('asset_url')}), {D.q(D.ASSET_RE)})"
 
 
 @query("asset_refs", oracle=f"WITH {_refs_sql()} SELECT site, asset_url FROM assets WHERE {_ASSET_WHERE}")
@@ -99,7 +98,7 @@ def asset_count(spark, sf):
 
 
 @query("rewrite_asset_links", oracle=f"""
-SELECT page_id, regexp_replace({CONTENT_SQL}, {D.q(A.REWRITE_RE)}, '![\\1](assets/\\2)', 'g') AS content
+SELECT page_id, regexp_replace({CONTENT_SQL}, {D.q(D.IMAGE_LINK_RE)}, '![\\1](assets/\\2)', 'g') AS content
 FROM (SELECT page_id, regexp_extract(html, {D.q(FE.LANG_RE)}, 1) AS lang FROM pages)""")
 def rewrite_asset_links(spark, sf):
     p = asset_pages(spark, sf)

@@ -12,7 +12,7 @@ from .registry import query
 
 DOWNLOADED = "2024-01-01 00:00:00 UTC"
 NL = "chr(10)"
-HEAD = D.q(C.HEAD_RE)
+HEAD = D.q(D.HEADING_RE)
 
 
 # -- SQL twins -------------------------------------------------------------------

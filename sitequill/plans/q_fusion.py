@@ -102,11 +102,11 @@ def remaining_urls(spark, sf):
 
 
 def _repair_sql(title: str, content: str) -> str:
-    lines = f"list_transform(regexp_split_to_array({content}, {D.q(FU.SPLITLINES_RE)})[1:20], lambda l: {D.py_strip('l')})"
+    lines = f"list_transform(regexp_split_to_array({content}, {D.q(D.LINE_END_RE)})[1:20], lambda l: {D.py_strip('l')})"
     cand = f"list_filter({lines}, lambda l: starts_with(l, '# ') OR starts_with(l, 'title: '))[1]"
     fixed = (f"(CASE WHEN starts_with({cand}, '# ') THEN {D.py_strip(f'substr({cand}, 3)')} "
              f"ELSE trim(trim({D.py_strip(f'substr({cand}, 8)')}, '\"'), '''') END)")
-    needs = f"({title} IN ({', '.join(D.q(t) for t in FU.TITLES_TO_REPAIR)}) OR {title} IS NULL OR {title} = '')"
+    needs = f"({title} IN ({', '.join(D.q(t) for t in D.PLACEHOLDER_TITLES)}) OR {title} IS NULL OR {title} = '')"
     return f"(CASE WHEN {needs} AND {cand} IS NOT NULL THEN {fixed} ELSE {title} END)"
 
 

@@ -47,7 +47,7 @@ anchors AS (
   SELECT page_id, url, {resolve_sql('url', 'href')} AS abs_url FROM anchors
 )"""
 
-_BLOCK = " OR ".join(f"strpos(lower({D.url_path('abs_url')}), {D.q(t)}) > 0" for t in P.LINK_BLOCKLIST)
+_BLOCK = " OR ".join(f"strpos(lower({D.url_path('abs_url')}), {D.q(t)}) > 0" for t in D.BLOCKED)
 
 
 @query("link_edges", headline=True, oracle=f"""
@@ -81,7 +81,7 @@ WITH {_NAV}, valid AS (
   SELECT * FROM nav_abs
   WHERE href <> '' AND text <> '' AND abs_url IS NOT NULL AND abs_url <> '' AND NOT starts_with(abs_url, '#')
     AND {D.url_netloc('abs_url')} = {D.url_netloc('url')}
-    AND NOT regexp_matches(lower(abs_url), {D.q(P.SKIP_RE)})
+    AND NOT regexp_matches(lower(abs_url), {D.q(D.SKIP_RE)})
 ), firsts AS (
   SELECT page_id, abs_url, min(i) AS i FROM valid GROUP BY page_id, abs_url
 ), ordered AS (

@@ -73,7 +73,7 @@ def target_heading_audit(spark, sf):
 WITH {_doc_cte()}
 SELECT site,
   max(CASE WHEN part = 0 THEN {D.py_strip("substr(split_part(block, chr(10), 1), 3)")} END) AS title,
-  max(CASE WHEN part = 0 THEN regexp_extract(block, {D.q(LB.SOURCE_RE)}, 1) END) AS source,
+  max(CASE WHEN part = 0 THEN regexp_extract(block, {D.q(D.SOURCE_LINE_RE)}, 1) END) AS source,
   CAST(sum(octet_length(encode(block))) + count(*) FILTER (WHERE part = 1) AS BIGINT) AS size
 FROM docs GROUP BY site""")
 def library_metadata(spark, sf):

@@ -106,8 +106,8 @@ def url_dedup(spark, sf):
 
 
 _EXCL = " AND ".join(f"strpos(lower(url), {D.q(t)}) = 0" for t in P.exclude_terms(EXCLUDE))
-_SKIP = D.q(P.SKIP_RE)
-_BLOCK = " OR ".join(f"strpos(lower({D.url_path('url')}), {D.q(t)}) > 0" for t in P.LINK_BLOCKLIST)
+_SKIP = D.q(D.SKIP_RE)
+_BLOCK = " OR ".join(f"strpos(lower({D.url_path('url')}), {D.q(t)}) > 0" for t in D.BLOCKED)
 
 
 # The URL that links to a page, by the length of the page's own.
@@ -122,7 +122,7 @@ SELECT page_id,
      AND {D.url_netloc('url')} = {D.url_netloc('entry')}
      AND NOT regexp_matches(lower(url), {_SKIP})) AS valid_page,
   ({_BLOCK}) AS blocked,
-  regexp_matches(lower({D.url_path('url')}), {D.q(P.ASSET_RE)}) AS is_asset
+  regexp_matches(lower({D.url_path('url')}), {D.q(D.ASSET_RE)}) AS is_asset
 FROM (SELECT *, {_LINKED} AS entry FROM pages)""")
 def url_filter(spark, sf):
     """Filters of every URL; the host it must have is that of the URL it is
