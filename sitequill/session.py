@@ -33,13 +33,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # string offsets so a batch of large pages cannot overflow 2 GB.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.sql.execution.arrow.useLargeVarTypes", "true")
-        # Local tables are small: without this a whole table is one split, read by one core.
-        .config("spark.sql.files.maxPartitionBytes", os.environ.get("SITEQUILL_SPLIT_BYTES", "1m"))
-        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", os.environ.get("SITEQUILL_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.master.startswith("local["):
+        # Local tables are small: without this a whole table is one split, read by
+        # one core. A cluster keeps its own split size (CLUSTER_SETTINGS).
+        spark.conf.set("spark.sql.files.maxPartitionBytes", os.environ.get("SITEQUILL_SPLIT_BYTES", "1m"))
+        spark.conf.set("spark.sql.files.openCostInBytes", "64k")
     ensure_checkpoint_dir(spark)
     return spark
 
