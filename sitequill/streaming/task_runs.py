@@ -18,7 +18,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,6 +33,7 @@ RUN_SCHEMA = "task_id long, run_status string, error string, current long, total
 _STATE = ("last_batch long, p_seq long, current long, total long, status string, s_seq long, stage string, "
           "n_log_lines long, seen boolean, e_seq long, code long")
 _FIELDS = [f.split()[0] for f in _STATE.split(", ")]
+_RUN = Row(*[f.split()[0] for f in RUN_SCHEMA.split(", ")])
 _INPUT = "task_id long, batch_id long, p_seq long, current long, total long, status string, s_seq long, stage string, n_log_lines long, e_seq long, code long"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,37 +71,37 @@ class TaskRun(StatefulProcessor):
         self.run = handle.getValueState("run", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
+        # Each call of the state is a round trip to the JVM, so that they are few:
+        # one read, one write, and timers only for a run that has ended.
         held = dict(zip(_FIELDS, self.run.get(), strict=True)) if self.run.exists() else dict.fromkeys(_FIELDS) | {"n_log_lines": 0, "seen": False}
+        had_ended = held["code"] is not None
         # At most one digest a partition and micro-batch; the batches in order.
-        found = [r for part in rows for r in part.astype(object).where(part.notna(), None).to_dict("records")]
+        found = list(rows)
         for r in sorted((r for r in found if r["batch_id"] is not None), key=lambda r: r["batch_id"]):
             if held["last_batch"] is not None and r["batch_id"] <= held["last_batch"]:
                 continue
-            held["last_batch"], held["seen"] = int(r["batch_id"]), True
-            held["n_log_lines"] += int(r["n_log_lines"])
+            held["last_batch"], held["seen"] = r["batch_id"], True
+            held["n_log_lines"] += r["n_log_lines"]
             for mark, others in (("p_seq", ("current", "total", "status")), ("s_seq", ("stage",)), ("e_seq", ("code",))):
                 if r[mark] is not None and (held[mark] is None or r[mark] > held[mark]):
-                    held[mark] = int(r[mark])
-                    held.update((c, r[c] if r[c] is None or isinstance(r[c], str) else int(r[c])) for c in others)
+                    held.update((c, r[c]) for c in (mark, *others))
         self.run.update(tuple(held[f] for f in _FIELDS))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if had_ended:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if held["code"] is not None:
             self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), self.now(found)) + self.keep_ended_ms)
-        yield pd.DataFrame([self._row(key[0], held)], columns=[f.split()[0] for f in RUN_SCHEMA.split(", ")]).astype(
-            {c: "Int64" for c in ("current", "total", "n_log_lines")})
+        yield self._row(key[0], held)
 
-    def _row(self, task_id, held) -> tuple:
+    def _row(self, task_id, held) -> Row:
         code = held["code"]
         run = "pending" if not held["seen"] else "running" if code is None else "completed" if code == 0 else "failed"
         keeps_stage = held["s_seq"] is not None and (held["p_seq"] is None or held["s_seq"] > held["p_seq"])
-        return (int(task_id), run, f"Process exited with code {code}" if run == "failed" else None, held["current"], held["total"],
-                held["status"], held["stage"] if keeps_stage else None, held["n_log_lines"])
+        return _RUN(task_id, run, f"Process exited with code {code}" if run == "failed" else None, held["current"], held["total"],
+                    held["status"], held["stage"] if keeps_stage else None, held["n_log_lines"])
 
     @staticmethod
-    def now(rows: list[dict]) -> int:
+    def now(rows: list[Row]) -> int:
         """Time of the micro-batch, in milliseconds."""
         return max(int(r["at"].timestamp() * 1000) for r in rows)
 
@@ -163,7 +164,7 @@ class TaskRuns:
         # Time is that of the micro-batch, so no row is ever late; timers fire when
         # it has moved on. (In processing-time mode a query never runs out of batches.)
         timed = rows.withColumn("at", F.current_timestamp()).withWatermark("at", "0 seconds")
-        merged = timed.groupBy("task_id").transformWithStateInPandas(TaskRun(self.keep_ended_ms), RUN_SCHEMA, "Update", "EventTime")
+        merged = timed.groupBy("task_id").transformWithState(TaskRun(self.keep_ended_ms), RUN_SCHEMA, "Update", "EventTime")
         with _state_store(self.spark):
             query = (merged.writeStream.outputMode("update").foreachBatch(self.table.sink(self.compact_every, latest_runs))
                      .option("checkpointLocation", f"{self.root}/checkpoint-runs").trigger(availableNow=True).start())

@@ -114,3 +114,57 @@ def test_raw_lines_are_combined_before_python(spark, order):
     lines = spark.createDataFrame([(t, i * order, x) for i, (t, x) in enumerate(LINES)], "task_id long, seq long, line string")
     plan = TR.digest_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+class _Handle:
+    """Stands for the state of one task; notes each call, as each is a round trip."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "update":
+                self.held = given[0]
+            elif name == "registerTimer":
+                self.timers.append(given[0])
+            elif name == "deleteTimer":
+                self.timers.remove(given[0])
+            return {"exists": self.held is not None, "get": self.held, "listTimers": self.timers}.get(name)
+
+        return call
+
+
+class _Times:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_few_state_calls_a_task():
+    from datetime import UTC, datetime
+
+    from pyspark.sql import Row
+
+    handle, run = _Handle(), TR.TaskRun(1000)
+    run.init(handle)
+    names = [f.split()[0] for f in TR._INPUT.split(", ")]
+
+    def step(at, **digest):
+        handle.calls.clear()
+        row = Row(*names, "at")(*(({"task_id": 7} | digest).get(n) for n in names), datetime.fromtimestamp(at, UTC))
+        (out,) = run.handleInputRows((7,), iter([row]), _Times())
+        return out.asDict(), handle.calls
+
+    big = 2**53 + 1
+    out, calls = step(1)
+    assert (out["run_status"], calls) == ("pending", ["exists", "update"])
+    out, calls = step(2, batch_id=0, p_seq=1, current=big, total=None, n_log_lines=2)
+    assert (out["run_status"], out["current"], out["total"], out["n_log_lines"], calls) == ("running", big, None, 2, ["exists", "get", "update"])
+    out, calls = step(3, batch_id=1, n_log_lines=0, e_seq=9, code=4)
+    assert (out["run_status"], out["error"], calls) == ("failed", "Process exited with code 4", ["exists", "get", "update", "registerTimer"])
+    assert step(4, batch_id=2, n_log_lines=1)[1] == ["exists", "get", "update", "listTimers", "deleteTimer", "registerTimer"]
+    assert handle.timers == [5000]
