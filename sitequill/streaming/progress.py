@@ -186,13 +186,32 @@ def scratch_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
 EXIT_RE = r"^EXIT (-?[0-9]+)$"
 STATEFUL_OUT = ("task_id long, current long, total long, status string, stage string, n_log_lines long, "
                 "last_seq long, run_status string")
+DIGEST_SCHEMA = "task_id long, digest string"
 STATEFUL_STATE = ("p_seq long, current long, total long, status string, s_seq long, stage string, "
                   "n_log long, last_seq long")
 
 
+def run_digests(lines: DataFrame) -> DataFrame:
+    """One row per task of (task_id, seq, line): ``digest``, a JSON object of its
+    latest progress, stage and exit, its last line and its number of log lines.
+    As text, numbers reach Python as they are: a column with nulls would be one
+    of floats there."""
+    parsed = parse_event_lines(lines).where("task_id IS NOT NULL")
+    is_exit = F.coalesce(F.col("text").rlike(EXIT_RE), F.lit(False))
+    found = parsed.groupBy("task_id").agg(
+        F.max(F.when(F.col("type") == "progress", F.struct("seq", "current", "total", "status"))).alias("p"),
+        F.max(F.when(F.col("type") == "stage", F.struct("seq", "stage"))).alias("s"),
+        F.count(F.when((F.col("kind") == "log") & ~is_exit, 1)).alias("n_log"),
+        F.max(F.when(~is_exit, F.col("seq"))).alias("last_seq"),
+        F.max(F.when(is_exit, F.struct("seq", F.regexp_extract("text", EXIT_RE, 1).alias("code")))).alias("ended"))
+    return found.select("task_id", F.to_json(F.struct("p", "s", "n_log", "last_seq", "ended")).alias("digest"))
+
+
 def _stateful_update(key, batches, state):
-    """Fold one task's new lines into its state; emit the task's row; drop the
+    """Fold one task's new digests into its state; emit the task's row; drop the
     state once the exit line has been seen (the run is over)."""
+    import json
+
     import pandas as pd
 
     if state.exists:
@@ -200,41 +219,30 @@ def _stateful_update(key, batches, state):
     else:
         p_seq = cur = tot = st = s_seq = stage = None
         n_log, last = 0, None
-    code = None
-    for pdf in batches:
-        exits, lines = pdf[pdf["kind"] == "exit"], pdf[pdf["kind"] != "exit"]
-        if len(exits):
-            code = int(exits["exit_code"].iloc[-1])
-        if not len(lines):
-            continue
-        top = lines["seq"].max()
-        last = top if last is None else max(last, top)
-        n_log += int((lines["kind"] == "log").sum())
-        events = lines[lines["kind"] != "log"]
-        progress, stages = events[events["type"] == "progress"], events[events["type"] == "stage"]
-        if len(progress):
-            newest = progress.loc[progress["seq"].idxmax()]
-            if p_seq is None or newest["seq"] > p_seq:
-                p_seq, cur, tot, st = newest["seq"], newest["current"], newest["total"], newest["status"]
-        if len(stages):
-            newest = stages.loc[stages["seq"].idxmax()]
-            if s_seq is None or newest["seq"] > s_seq:
-                s_seq, stage = newest["seq"], newest["stage"]
-
-    def opt_int(v):
-        return None if v is None or pd.isna(v) else int(v)
-
-    p_seq, cur, tot, s_seq, last = (opt_int(v) for v in (p_seq, cur, tot, s_seq, last))
+    ended = None
+    for digest in (json.loads(d) for pdf in batches for d in pdf["digest"]):
+        p, s, top, end = (digest.get(x) for x in ("p", "s", "last_seq", "ended"))
+        n_log += digest["n_log"]
+        if top is not None:
+            last = top if last is None else max(last, top)
+        if p and (p_seq is None or p["seq"] > p_seq):
+            p_seq, cur, tot, st = (p.get(x) for x in ("seq", "current", "total", "status"))
+        if s and (s_seq is None or s["seq"] > s_seq):
+            s_seq, stage = s["seq"], s.get("stage")
+        if end and (ended is None or end["seq"] > ended["seq"]):
+            ended = end
+    code = None if ended is None else int(ended["code"])
+
     keep_stage = s_seq is not None and (p_seq is None or s_seq > p_seq)
     run_status = "running" if code is None else ("completed" if code == 0 else "failed")
     if code is None:
-        state.update((p_seq, cur, tot, st, s_seq, stage, int(n_log), last))
+        state.update((p_seq, cur, tot, st, s_seq, stage, n_log, last))
     else:
         state.remove()
 
     yield pd.DataFrame([{
-        "task_id": int(key[0]), "current": opt_int(cur), "total": opt_int(tot), "status": st,
-        "stage": stage if keep_stage else None, "n_log_lines": int(n_log), "last_seq": opt_int(last),
+        "task_id": int(key[0]), "current": cur, "total": tot, "status": st,
+        "stage": stage if keep_stage else None, "n_log_lines": n_log, "last_seq": last,
         "run_status": run_status,
     }])
 
@@ -242,24 +250,28 @@ def _stateful_update(key, batches, state):
 def stream_task_runs(spark: SparkSession, lines: DataFrame, exits: DataFrame, root: str) -> DataFrame:
     """Per-task state kept by ``applyInPandasWithState`` and dropped when a run
     exits. Run output is landed first and each task's exit line afterwards (a
-    later micro-batch), as a process prints before it exits. Each trigger
-    appends its updated rows; the result is the latest row per task."""
+    later micro-batch), as a process prints before it exits. A first query writes
+    one digest per task and micro-batch of lines (built-in aggregates, combined
+    before the shuffle), so raw lines never reach Python; the second folds the
+    digests into the state. It starts when the first has ended, so no micro-batch
+    of digests is replayed after it was read. Each trigger appends its updated
+    rows; the result is the latest row per task."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    source, out, ckpt = (os.path.join(root, d) for d in ("source", "out", "checkpoint"))
+    source, digests, out = (os.path.join(root, d) for d in ("source", "digests", "out"))
+
+    def run(rows, write, checkpoint):
+        q = (rows.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", os.path.join(root, checkpoint)).trigger(availableNow=True).start())
+        q.awaitTermination()
 
     def run_once():
         src = spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", 4).json(source)
-        parsed = parse_event_lines(src).withColumn("exit_code", F.regexp_extract("text", EXIT_RE, 1))
-        parsed = parsed.withColumn("kind", F.when(F.col("text").rlike(EXIT_RE), F.lit("exit")).otherwise(F.col("kind")))
-        q = (parsed.select("task_id", "seq", "kind", "type", "current", "total", "status", "stage", "exit_code")
-             .groupBy("task_id")
-             .applyInPandasWithState(_stateful_update, STATEFUL_OUT, STATEFUL_STATE, "update",
-                                     GroupStateTimeout.NoTimeout)
-             .writeStream.outputMode("update")
-             .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}"))
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
+        run(src, lambda b, i: run_digests(b).write.mode("overwrite").parquet(f"{digests}/batch-{i:010d}"), "checkpoint-digests")
+        new = spark.readStream.schema(DIGEST_SCHEMA).parquet(f"{digests}/batch-*")
+        runs = new.groupBy("task_id").applyInPandasWithState(
+            _stateful_update, STATEFUL_OUT, STATEFUL_STATE, "update", GroupStateTimeout.NoTimeout)
+        run(runs, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch_id={i}"), "checkpoint")
 
     lines.repartition(8).write.mode("append").json(source)
     run_once()

@@ -168,3 +168,27 @@ def test_few_state_calls_a_task():
     assert (out["run_status"], out["error"], calls) == ("failed", "Process exited with code 4", ["exists", "get", "update", "registerTimer"])
     assert step(4, batch_id=2, n_log_lines=1)[1] == ["exists", "get", "update", "listTimers", "deleteTimer", "registerTimer"]
     assert handle.timers == [5000]
+
+
+def test_stateful_runs_take_digests(spark, tmp_path, monkeypatch):
+    """Python folds one row per task and micro-batch, however many lines there
+    are; a task without an id is no task; large numbers stay as they are."""
+    fold, noted, big = PG._stateful_update, str(tmp_path / "noted"), 2**53 + 1
+
+    def noting(key, batches, state):
+        batches = list(batches)
+        with open(noted, "a") as f:
+            f.write(f"{key[0]} {sum(map(len, batches))}\n")
+        yield from fold(key, iter(batches), state)
+
+    monkeypatch.setattr(PG, "_stateful_update", noting)
+    report = 'JSON-SINK: {"type": "progress", "data": {"current": %d, "status": "s"}}'
+    lines = [(1, big + i, "log") for i in range(500)] + [(1, big + 500, report % big), (1, 3, report % 1), (2, 1, 'JSON-SINK: {"type": "stage", "data": "merging"}'),
+             (2, 2, " "), (3, 5, "EXIT x"), (4, 1, "  "), (None, 6, "lost")]
+    schema = "task_id long, seq long, line string"
+    got = PG.stream_task_runs(spark, spark.createDataFrame(lines, schema), spark.createDataFrame([(1, big + 501, "EXIT 0"), (2, 3, "EXIT -2")], schema), str(tmp_path / "run"))
+    assert sorted(map(tuple, got.collect())) == [
+        (1, big, None, "s", None, 500, big + 500, "completed"), (2, None, None, None, "merging", 0, 1, "failed"),
+        (3, None, None, None, None, 1, 5, "running")]
+    taken = [tuple(map(int, x.split())) for x in open(noted)]
+    assert {t for t, _ in taken} == {1, 2, 3} and all(n <= 2 for _, n in taken)  # two micro-batches of lines
